@@ -7,10 +7,12 @@ symbols have changed since they were queued are stale and skipped. Decoding conc
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import itertools
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,9 @@ from pyspark.sql import DataFrame
 
 #: The splitting pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_CHARS = 400_000, 64  #: words kept per process, and the longest word kept: bounds memory only
+JOINED_SPACE = re.compile(r"\s (?!\S)")
+PLACE = (1 << 32) - 1
+CACHE_WORDS, CACHE_CHARS = 400_000, 48  #: words kept per process, and the longest word kept: bounds memory only
 SLICE_BYTES = 4 << 20  #: text encoded before its rows are handed on
 
 
@@ -42,10 +46,11 @@ class Codec:
         symbols = byte_symbols()
         to_byte = {c: b for b, c in enumerate(symbols)}
         self.byte_ids = [vocab[c] for c in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.byte_words = [array("i", [i]).tobytes() for i in self.byte_ids]
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
         size = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
         self.strings: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -55,58 +60,84 @@ class Codec:
             self.strings[i] = content.encode()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.find = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        ids = [self.byte_ids[b] for b in word.encode("utf-8", "surrogatepass")]
-        n, merges = len(ids), self.merges
-        if n < 2:
-            return tuple(ids)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode_word(self, word: str) -> bytes:
+        """Ids as packed 32-bit integers. A queue entry is rank << 32 | place; a pair's entry in ``merges`` is rank << 32 | id of the merged symbol."""
+        ids = list(map(self.byte_ids.__getitem__, word.encode("utf-8", "surrogatepass")))
+        n, merge = len(ids), self.merges.get
+        queue = [(m >> 32 << 32) | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merge(a << 32 | b)) is not None]
+        if not queue:
+            return array("i", ids).tobytes()
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
+        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            _, i, a, b, merged = heapq.heappop(queue)
-            j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue  # stale: a neighbour has merged since
-            ids[i], ids[j] = merged, -1
+            entry = pop(queue)
+            i = entry & PLACE
+            a, j = ids[i], nxt[i]
+            if a < 0 or j >= n:
+                continue  # stale: the symbol is gone, or nothing follows it
+            m = merge(a << 32 | ids[j])
+            if m is None or m >> 32 != entry >> 32:
+                continue  # stale: one of the two has merged since
+            ids[i] = merged = m & PLACE
+            ids[j] = -1
             nxt[i] = k = nxt[j]
             if k < n:
                 prev[k] = i
-                if m := merges.get((merged, ids[k])):
-                    heapq.heappush(queue, (m[0], i, merged, ids[k], m[1]))
-            if (p := prev[i]) >= 0 and (m := merges.get((ids[p], merged))):
-                heapq.heappush(queue, (m[0], p, ids[p], merged, m[1]))
-        return tuple(x for x in ids if x >= 0)
-
-    def _lookup(self, word: str) -> tuple[int, ...]:
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = ids
+                if (m := merge(merged << 32 | ids[k])) is not None:
+                    push(queue, (m >> 32 << 32) | i)
+            p = prev[i]
+            if p >= 0 and (m := merge(ids[p] << 32 | merged)) is not None:
+                push(queue, (m >> 32 << 32) | p)
+        return array("i", [x for x in ids if x >= 0]).tobytes()
+
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        """Two generations of kept words: a full young one becomes the old one, so common words stay."""
+        if len(key) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_WORDS:
+                self.old = self.young
+                self.young = {}
+            self.young[key] = ids
         return ids
 
-    def encode_into(self, text: str, out: array) -> None:
-        """Append the ids of a text; strings of added tokens in the text become their ids."""
-        cache = self.cache
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a space followed by ``chunk``, which holds no space."""
+        ids = self.old.get(chunk)
+        if ids is not None:
+            return self._keep(chunk, ids)
+        if chunk.isalpha():
+            return self._keep(chunk, self.encode_word(" " + chunk))
+        head, last = chunk[:-1], chunk[-1:]
+        if last and last in ".,;:!?" and head.isalpha():
+            return (self.young.get(head) or self._chunk(head)) + self.byte_words[ord(last)]
+        return self._keep(chunk, b"".join(map(self.encode_word, self.find(" " + chunk))))
+
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of a text, packed; strings of added tokens in the text become their ids.
+
+        No word of the pattern reaches over a space that starts it, so a text is cut at its spaces first and the chunks
+        are looked up; only a space with white space before it and none but white space after it would join a longer run.
+        """
+        out: list[bytes] = []
         for part in self.split_added.split(text) if self.split_added and any(s in text for s in self.added) else (text,):
             if part in self.added:
-                out.append(self.added[part])
-                continue
-            words = self.find(part)
-            try:
-                out.extend(itertools.chain.from_iterable([cache[w] for w in words]))
-            except KeyError:
-                out.extend(itertools.chain.from_iterable([self._lookup(w) for w in words]))
+                out.append(array("i", [self.added[part]]).tobytes())
+            elif JOINED_SPACE.search(part):
+                out.extend(map(self.encode_word, self.find(part)))
+            else:
+                first, *rest = part.split(" ")
+                out.extend(map(self.encode_word, self.find(first)))
+                chunk = self._chunk
+                for at in range(0, len(rest), 4096):  # the young generation may change
+                    get = self.young.get
+                    out.extend([get(c) or chunk(c) for c in rest[at : at + 4096]])
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        out = array("i")
-        self.encode_into(text or "", out)
-        return out.tolist()
+        return array("i", self.encode_packed(text or "")).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that aren't UTF-8 become U+FFFD."""
@@ -144,17 +175,15 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary_path))  # a few MB, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the kept words hold no cycles, and walking over them is slow
         codec = _codec(shared.value)
         for batch in batches:
             for start, n in _slices(batch, batch.column(text_col)):
                 part = batch.slice(start, n)
-                ids, ends = array("i"), array("i", [0])
-                for text in part.column(text_col).to_pylist():
-                    if text:
-                        codec.encode_into(text, ids)
-                    ends.append(len(ids))
-                plain = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, pa.py_buffer(a)])
-                column = pa.ListArray.from_arrays(plain(ends), plain(ids))
+                ids = [codec.encode_packed(t) if t else b"" for t in part.column(text_col).to_pylist()]
+                ends = array("i", itertools.accumulate((len(x) // 4 for x in ids), initial=0))
+                plain = lambda b: pa.Array.from_buffers(pa.int32(), len(b) // 4, [None, pa.py_buffer(b)])
+                column = pa.ListArray.from_arrays(plain(ends.tobytes()), plain(b"".join(ids)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids_col])
 
     return docs.mapInArrow(run, _schema(docs, ids_col, "array<int>"))
