@@ -38,7 +38,7 @@ def votes() -> dict[str, Column]:
         "lines": vote((F.col("__lines") >= 4) & (F.col("__own_lines") / F.col("__lines") < 0.7), F.col("__own_lines") == F.col("__lines")),
         "function_words": vote((n >= 20) & (F.col("__function") < 3), F.col("__function") >= 8),
         "word_length": vote((F.col("__letters") / F.greatest(n, F.lit(1)) > 12) | (F.col("__letters") / F.greatest(n, F.lit(1)) < 2), (F.col("__letters") / F.greatest(n, F.lit(1))).between(3, 9)),
-        "length": vote(n < 5, n >= 60),
+        "length": vote(n < 2, n >= 60),
     }
 
 
@@ -57,13 +57,14 @@ def measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-7) -> tuple[np.ndarray, float, np.ndarray]:
-    """Two-class EM over vote patterns (rows of -1, 0, 1). Returns vote probabilities [class, labeller, vote + 1], the
-    share of good documents and each pattern's posterior of good. It starts from majority votes, so class 1 is good."""
+    """Two-class EM over vote patterns (rows of -1, 0, 1). Returns vote probabilities [class, labeller, vote], the
+    share of good documents and each pattern's posterior of good. An abstention says
+    nothing of the class. It starts from majority votes, so class 1 is good."""
     m, w = patterns.shape[1], counts.astype(float)
     ones, zeros = (patterns == 1).sum(1), (patterns == 0).sum(1)
     post = (ones + 2.0) / (ones + 3.0 * zeros + 4.0)  # a complaint weighs more than a compliment
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
-    prob, prior = np.zeros((2, m, 3)), 0.5
+    hot = np.stack([patterns == v for v in (0, 1)], 2).astype(float)
+    prob, prior = np.zeros((2, m, 2)), 0.5
     for _ in range(rounds):
         prior = float(np.clip((w * post).sum() / max(w.sum(), 1e-9), 0.02, 0.98))
         for c, q in ((1, post), (0, 1 - post)):

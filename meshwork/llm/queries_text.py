@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm import bpe
+from meshwork.llm.jaccard_join import jaccard_join
 from meshwork.llm.license_scan import TEMPLATES, THRESHOLD, license_scan, words
 from meshwork.llm.quality import quality
 from meshwork.llm.toxicity import toxicity
@@ -74,3 +75,10 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) LEFT JOIN s USING (
 """
 QUERIES = {f.__name__: f for f in (op2_bpe, op3_toxicity, op5_license_scan, op10_quality)}
 ORACLE: dict[str, str] = {"op5_license_scan": OP5_SQL}
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+
+
+QUERIES["op7_jaccard_join"] = op7_jaccard_join

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, with isotonic calibration.
 
-Labels are learnt in two parts: one part yields the lexicon (words, word beginnings and word ends that mark the class), the
-other fits trees and calibration on features whose lexicon has not seen those rows. Both parts are bounded samples.
+The lexicon (words, word beginnings and word ends that mark the class) is learnt from a bounded sample of labelled rows in
+folds, so that trees and calibration are fitted on features whose lexicon has not seen the row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled sample that is brought to the driver: by smallest hash of the id, whole texts.
 MAX_LABELLED = 10_000
+FOLDS = 3
 MAX_WORDS = 20_000  #: lexicon entries kept, strongest first
 WORD = re.compile(r"[^\W_]+(?:['’*@$#0-9][^\W_]+)*")
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -55,20 +56,24 @@ def affixes(word: str) -> list[str]:
     return [a for n in AFFIXES if len(word) > n for a in ("^" + word[:n], word[-n:] + "$")]
 
 
-def learn_lexicon(texts: list[str], labels: list[int], least: int = 4, floor: float = 2.0) -> Lexicon:
-    """Words and affixes whose smoothed log odds by document are at least ``floor``."""
-    n = [0, 0]
-    counts = (Counter(), Counter())
+def document_counts(texts: list[str], labels: list[int]) -> tuple[Counter, Counter, list[int]]:
+    """Per class, how many documents hold each word and affix; and the documents of each class."""
+    counts, n = (Counter(), Counter()), [0, 0]
     for text, y in zip(texts, labels, strict=True):
-        words = set(WORD.findall(text.lower()))
+        words = {w.lower() for w in WORD.findall(text)}
         n[y] += 1
         counts[y].update(words)
         counts[y].update({a for w in words for a in affixes(w)})
+    return counts[0], counts[1], n
+
+
+def make_lexicon(clean: Counter, marked: Counter, n: list[int], least: int = 4, floor: float = 2.0) -> Lexicon:
+    """Words and affixes whose smoothed log odds by document are at least ``floor``."""
 
     def odds(k: str) -> float:
-        return math.log((counts[1][k] + 0.5) / (n[1] + 1)) - math.log((counts[0][k] + 0.5) / (n[0] + 1))
+        return math.log((marked[k] + 0.5) / (n[1] + 1)) - math.log((clean[k] + 0.5) / (n[0] + 1))
 
-    scored = {k: odds(k) for k, c in counts[1].items() if c >= least}
+    scored = {k: odds(k) for k, c in marked.items() if c >= least}
     top = sorted((k for k, v in scored.items() if v >= floor), key=lambda k: (-scored[k], k))[:MAX_WORDS]
     is_affix = lambda k: k[0] == "^" or k[-1] == "$"
     return Lexicon({k: scored[k] for k in top if not is_affix(k)}, {k: scored[k] for k in top if is_affix(k)})
@@ -223,24 +228,26 @@ class Model:
 def fit_model(rows: list[tuple[str, str, int]]) -> Model:
     """Fit on (id, text, label). With one class only, the score is that class's rate.
 
-    A third of the rows by hash is for trees and calibration, and in it calibration has folds of its own.
+    Each fold's features come from the lexicon of the other folds, so no row has marked its own words; its calibration score
+    comes from trees that haven't seen it. Scoring uses the lexicon of all rows.
     """
-    y = np.array([r[2] for r in rows], float)
+    y = np.array([r[2] for r in rows], int)
     if len(rows) < 20 or y.min() == y.max():
         return Model(Lexicon(), None, None, float(y.mean()) if len(rows) else 0.0)
-    fold = np.array([zlib.crc32(f"fold{r[0]}".encode()) for r in rows])
-    for_words = fold % 5 < 2
-    if y[for_words].sum() < 5 or y[~for_words].sum() < 5:
-        for_words = np.ones(len(rows), bool)
-    lexicon = learn_lexicon([rows[i][1] for i in np.flatnonzero(for_words)], [int(v) for v in y[for_words]])
-    rest = ~for_words if not for_words.all() else for_words
-    x = np.array([features(rows[i][1], lexicon) for i in np.flatnonzero(rest)])
-    yr, part = y[rest], (fold[rest] // 5) % 3
-    held = np.empty(len(yr))
-    for k in range(3):  # scores for calibration come from trees that haven't seen the row
-        here = part == k
-        held[here] = Trees().fit(x[~here], yr[~here]).score(x[here]) if here.any() and (~here).any() else 0.0
-    return Model(lexicon, Trees().fit(x, yr), Isotonic().fit(held, yr))
+    fold = np.array([zlib.crc32(f"fold{r[0]}".encode()) % FOLDS for r in rows])
+    own = [document_counts([rows[i][1] for i in np.flatnonzero(fold == k)], y[fold == k].tolist()) for k in range(FOLDS)]
+    clean, marked = sum((o[0] for o in own), Counter()), sum((o[1] for o in own), Counter())
+    n = [sum(o[2][c] for o in own) for c in (0, 1)]
+    x = np.empty((len(rows), len(FEATURES)))
+    for k in range(FOLDS):
+        lexicon = make_lexicon(clean - own[k][0], marked - own[k][1], [n[c] - own[k][2][c] for c in (0, 1)])
+        for i in np.flatnonzero(fold == k):
+            x[i] = features(rows[i][1], lexicon)
+    held = np.zeros(len(rows))
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            held[fold == k] = Trees().fit(x[fold != k], y[fold != k]).score(x[fold == k])
+    return Model(make_lexicon(clean, marked, n), Trees().fit(x, y), Isotonic().fit(held, y.astype(float)))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
