@@ -28,6 +28,8 @@ SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A table of ids up to this many rows (a few MB) may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
+#: Once the pairs left in unsettled buckets are at most this many for each row, pivots no longer save anything.
+PAIRS_PER_MEMBER = 50
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -238,9 +240,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     state = members.withColumn("component", F.col("class"))
     links = tested = comps = None
-    low, top = 1, members.agg(F.max("rank")).first()[0] or 0
+    low, leap, total = 1, False, prints.count()
+    top = members.agg(F.max("rank")).first()[0] or 0
     while low < top:
-        high = 2 * low if low > 1 else 2
+        high = top + 1 if leap else max(2, 2 * low)
         pairs = _pairs(state, low, high, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
@@ -252,7 +255,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         state = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         mixed = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
         state = written(state.join(mixed, "bucket", "left_semi"), "state")  # buckets of one component are done
-        low, top = high, state.agg(F.max("rank")).first()[0] or 0
+        size, top = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("rank").alias("r")).agg(F.sum(F.col("m") * F.col("m")), F.max("r")).first()
+        # pivots double from round to round; once what is left is in proportion to the members, it is done at once
+        low, leap = high, (size or 0) <= PAIRS_PER_MEMBER * total
+        top = top or 0
     drop(sets)
     classes = classes.select("class", "rep", "copies")
     if comps is not None:
@@ -262,7 +268,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         classes = classes.withColumn("component_id", F.col("rep"))
     table = written(classes.select("class", "copies", "component_id"), "named")
-    total = prints.count()
     rows = prints.select("__id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     out = lookup(rows.withColumnRenamed("class", "__class"), "__class", F.xxhash64("__id"), table, "class", "copies", total)
     return out.select(F.col("__id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"))
