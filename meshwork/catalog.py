@@ -1,4 +1,389 @@
-"""Registered queries over the test tables, with their SQL equivalents."""
+"""Registered queries over the test tables, with their SQL equivalents.
+
+The graphs: ``handoff``, from the user of an event to the user of the next event of the same kind and day (weight: how
+often); ``ties``, the same without direction and loops; ``trade``, from the customer's nation to the supplier's.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meshwork.operators import centrality as C
+from meshwork.operators import paths as P
+from meshwork.operators import structure as S
+from meshwork.operators.graph import Graph
+from meshwork.plans.durable import checkpointed, new_path
+from meshwork.sources import generators, graphml
+from meshwork.specs import GraphSpecs
 
 QUERIES: dict = {}
 ORACLE: dict = {}
+LOOSE = GraphSpecs(missing_nodes="create", self_loops=True, multi_edges=False, dedupe="last")
+
+E_SQL = """h AS (SELECT user_id AS u, lead(user_id) OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS v FROM events),
+e AS (SELECT u, v, count(*)::DOUBLE AS w FROM h WHERE v IS NOT NULL GROUP BY u, v),
+n AS (SELECT u AS id FROM e UNION SELECT v FROM e)"""
+T_SQL = E_SQL + """,
+t AS (SELECT least(u, v) AS u, greatest(u, v) AS v, sum(w) AS w FROM e WHERE u <> v GROUP BY 1, 2),
+s AS (SELECT u AS a, v AS b, w FROM t UNION ALL SELECT v, u, w FROM t)"""
+
+
+def _hops(spark: SparkSession, sf: str) -> DataFrame:
+    ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+    w = Window.partitionBy("event_type", F.to_date("ts")).orderBy("ts", "event_id")
+    return ev.select(F.col("user_id").alias("u"), F.lead("user_id").over(w).alias("v")).where("v is not null")
+
+
+def _graph(edges: DataFrame, specs: GraphSpecs) -> Graph:
+    """Nodes are the edges' ends; their order is the order of ids."""
+    e = checkpointed(edges.withColumn("seq", F.xxhash64("u", "v")))
+    names = e.select(F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("seq", F.col("name"))
+    return Graph.build(names, e, specs)
+
+
+def handoff(spark: SparkSession, sf: str) -> Graph:
+    return _graph(_hops(spark, sf).groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("weight")), LOOSE)
+
+
+def ties(spark: SparkSession, sf: str) -> Graph:
+    e = _hops(spark, sf).where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return _graph(e, LOOSE.but(directed=False, self_loops=False))
+
+
+def handoff_multi(spark: SparkSession, sf: str) -> Graph:
+    e = checkpointed(_hops(spark, sf).withColumn("seq", F.monotonically_increasing_id()).withColumn("weight", F.lit(1.0)))
+    names = e.select(F.explode(F.array("u", "v")).alias("name")).distinct().withColumn("seq", F.col("name"))
+    return Graph.build(names, e, LOOSE.but(multi_edges=True))
+
+
+def _one(spark: SparkSession, **values) -> DataFrame:
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _degree_sql(select: str, value: str) -> str:
+    return f"WITH {E_SQL}, d AS ({select}) SELECT id AS name, coalesce(sum(x), 0)::{value} AS value FROM n LEFT JOIN d USING (id) GROUP BY id"
+
+
+IN, OUT = "SELECT v AS id, {0} AS x FROM e", "SELECT u AS id, {0} AS x FROM e"
+for _name, _sql, _method, _kind in (
+    ("degree_all", OUT.format(1) + " UNION ALL " + IN.format(1), "get_degree_for_all_nodes", "BIGINT"),
+    ("in_degree_all", IN.format(1), "get_in_degree_for_all_nodes", "BIGINT"),
+    ("out_degree_all", OUT.format(1), "get_out_degree_for_all_nodes", "BIGINT"),
+    ("weighted_degree_all", OUT.format("w") + " UNION ALL " + IN.format("w"), "get_weighted_degree_for_all_nodes", "DOUBLE"),
+    ("weighted_in_degree_all", IN.format("w"), "get_weighted_in_degree_for_all_nodes", "DOUBLE"),
+    ("weighted_out_degree_all", OUT.format("w"), "get_weighted_out_degree_for_all_nodes", "DOUBLE"),
+):
+    QUERIES[_name] = lambda spark, sf, m=_method: getattr(handoff(spark, sf), m)()
+    ORACLE[_name] = _degree_sql(_sql, _kind)
+
+
+@query(f"WITH {E_SQL}, d AS (SELECT u AS id FROM e UNION ALL SELECT v FROM e) SELECT id AS name, round(count(*) / ((SELECT count(*) FROM n) - 1.0), 6) AS value FROM d GROUP BY id")
+def degree_centrality(spark, sf):
+    return C.degree_centrality(handoff(spark, sf)).select("name", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {E_SQL} SELECT (SELECT count(*) FROM n) AS nodes, count(*) AS edges, count(*)::DOUBLE AS size, sum(w) AS weight, round(count(*) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1.0)), 9) AS density FROM e")
+def density_size(spark, sf):
+    g = handoff(spark, sf)
+    return _one(spark, nodes=g.number_of_nodes(), edges=g.number_of_edges(), size=g.size(), weight=g.size(True), density=round(g.get_density(), 9)).withColumns({"nodes": F.col("nodes").cast("long"), "edges": F.col("edges").cast("long")})
+
+
+@query(f"WITH {E_SQL} SELECT v AS u, u AS v, w AS weight FROM e")
+def reverse(spark, sf):
+    return handoff(spark, sf).reverse().edges.select("u", "v", "weight")
+
+
+for _how in ("min", "max", "sum"):
+    QUERIES[f"to_undirected_{_how}"] = lambda spark, sf, h=_how: handoff(spark, sf).to_undirected(h).edges.select("u", "v", "weight")
+    ORACLE[f"to_undirected_{_how}"] = f"WITH {E_SQL} SELECT least(u, v) AS u, greatest(u, v) AS v, {_how}(w) AS weight FROM e GROUP BY 1, 2"
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e")
+def to_single_edges(spark, sf):
+    return handoff_multi(spark, sf).to_single_edges().edges.select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, 2.5::DOUBLE AS weight FROM e")
+def set_weights(spark, sf):
+    return handoff(spark, sf).set_all_edge_weights(2.5).edges.select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u <> v")
+def drop_loops(spark, sf):
+    return _graph(_hops(spark, sf).groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("weight")), LOOSE.but(self_loops=False, loops_forbidden="drop")).edges.select("u", "v", "weight")
+
+
+for _keep, _fn in (("first", "arg_min"), ("last", "arg_max")):
+    ORACLE[f"dedupe_keep_{_keep}"] = f"SELECT l_partkey AS u, l_suppkey + 1000000000 AS v, {_fn}(l_quantity::DOUBLE, l_orderkey * 10 + l_linenumber) AS weight FROM lineitem GROUP BY 1, 2"
+    QUERIES[f"dedupe_keep_{_keep}"] = lambda spark, sf, k=_keep: Graph.build(
+        spark.createDataFrame([], "seq long, name long"),
+        spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000000).alias("v"), F.col("l_quantity").cast("double").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")),
+        GraphSpecs(missing_nodes="create", dedupe=k)).edges.select("u", "v", "weight")
+
+PICK = [1, 2, 3, 5, 8]
+PICKED = "(1, 2, 3, 5, 8)"
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u IN {PICKED} AND v IN {PICKED}")
+def subgraph(spark, sf):
+    return handoff(spark, sf).get_subgraph(PICK).edges.select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL}, k AS (SELECT v AS id FROM e WHERE u = 3 UNION SELECT u FROM e WHERE v = 3 UNION SELECT 3) SELECT u, v, w AS weight FROM e WHERE u IN (SELECT id FROM k) AND v IN (SELECT id FROM k)")
+def ego_graph(spark, sf):
+    return handoff(spark, sf).get_ego_graph(3).edges.select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u IN {PICKED} AND v NOT IN {PICKED}")
+def edge_boundary(spark, sf):
+    return S.edge_boundary(handoff(spark, sf), PICK).select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT sum(w) AS cut FROM e WHERE (u IN {PICKED} AND v IN (4, 6, 7)) OR (v IN {PICKED} AND u IN (4, 6, 7))")
+def cut_size(spark, sf):
+    return _one(spark, cut=S.cut_size(handoff(spark, sf), PICK, [4, 6, 7], True))
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u IN {PICKED} OR v IN {PICKED}")
+def edges_for_nodes(spark, sf):
+    return handoff(spark, sf).get_edges_for_nodes(PICK).select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE v IN {PICKED}")
+def in_edges_for_nodes(spark, sf):
+    return handoff(spark, sf).get_in_edges_for_nodes(PICK).select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u IN {PICKED}")
+def out_edges_for_nodes(spark, sf):
+    return handoff(spark, sf).get_out_edges_for_nodes(PICK).select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT v AS name FROM e WHERE u = 3 UNION SELECT u FROM e WHERE v = 3")
+def neighbors(spark, sf):
+    return handoff(spark, sf).get_neighbor_nodes(3).select("name")
+
+
+@query(f"WITH {E_SQL} SELECT u AS name, count(DISTINCT v) AS k, sum(DISTINCT v)::BIGINT AS total FROM e GROUP BY u")
+def successors_map(spark, sf):
+    return handoff(spark, sf).get_successors_map().select("name", F.size("successors").cast("long").alias("k"), F.aggregate("successors", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {E_SQL} SELECT v AS name, count(DISTINCT u) AS k, sum(DISTINCT u)::BIGINT AS total FROM e GROUP BY v")
+def predecessors_map(spark, sf):
+    return handoff(spark, sf).get_predecessors_map().select("name", F.size("predecessors").cast("long").alias("k"), F.aggregate("predecessors", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {E_SQL}, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM n) SELECT a.i AS i, b.i AS j, w AS value FROM e JOIN x a ON a.id = u JOIN x b ON b.id = v")
+def adjacency_coo(spark, sf):
+    return handoff(spark, sf).get_adjacency_matrix_sprs(True)
+
+
+TRI = "tri AS (SELECT x.a, sum(x.s * y.s * z.s) AS t FROM st x JOIN st y ON x.b = y.a JOIN st z ON z.a = y.b AND z.b = x.a GROUP BY x.a)"
+U_ST = "st AS (SELECT a, b, 1.0::DOUBLE AS s FROM s)"
+UW_ST = "st AS (SELECT a, b, cbrt(w / (SELECT max(w) FROM t)) AS s FROM s)"
+D_ST = "l AS (SELECT * FROM e WHERE u <> v), st AS (SELECT a, b, sum(s) AS s FROM (SELECT u AS a, v AS b, {0} AS s FROM l UNION ALL SELECT v, u, {0} FROM l) GROUP BY a, b)"
+DEG = "deg AS (SELECT a, count(*) AS d FROM s GROUP BY a)"
+D_DEG = "deg AS (SELECT a, sum(k) AS d, count(*) FILTER (k = 2) AS r FROM (SELECT a, b, count(*) AS k FROM (SELECT u AS a, v AS b FROM l UNION ALL SELECT v, u FROM l) GROUP BY a, b) GROUP BY a)"
+
+
+def _cluster_sql(st: str, deg: str, possible: str) -> str:
+    return f"WITH {T_SQL}, {st}, {TRI}, {deg} SELECT id AS name, round(CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE t / ({possible}) END, 6) AS value FROM n0 LEFT JOIN tri ON tri.a = id LEFT JOIN deg ON deg.a = id"
+
+
+UND, DIR = "d * (d - 1.0)", "2.0 * (d * (d - 1.0) - 2 * r)"
+for _name, _of, _weighted, _sql in (
+    ("clustering_u", ties, False, _cluster_sql(U_ST, DEG, UND)), ("clustering_uw", ties, True, _cluster_sql(UW_ST, DEG, UND)),
+    ("clustering_d", handoff, False, _cluster_sql(D_ST.format("1.0::DOUBLE"), D_DEG, DIR)), ("clustering_dw", handoff, True, _cluster_sql(D_ST.format("cbrt(w / (SELECT max(w) FROM e))"), D_DEG, DIR)),
+):
+    QUERIES[_name] = lambda spark, sf, f=_of, w=_weighted: S.clustering(f(spark, sf), w).select("name", F.round("value", 6).alias("value"))
+    ORACLE[_name] = _sql.replace("n0", "n" if _of is handoff else "(SELECT DISTINCT a AS id FROM s)")
+
+
+@query(f"WITH {T_SQL}, {U_ST}, {TRI} SELECT id AS name, (coalesce(t, 0) / 2)::BIGINT AS value FROM (SELECT DISTINCT a AS id FROM s) LEFT JOIN tri ON tri.a = id")
+def triangles(spark, sf):
+    return S.triangles(ties(spark, sf))
+
+
+@query(f"WITH {T_SQL}, {U_ST}, {TRI}, {DEG} SELECT round((SELECT sum(t) FROM tri) / (SELECT sum(d * (d - 1.0)) FROM deg), 9) AS transitivity")
+def transitivity(spark, sf):
+    return _one(spark, transitivity=round(S.transitivity(ties(spark, sf)), 9))
+
+
+@query(f"WITH {T_SQL}, {U_ST}, {TRI}, {DEG} SELECT round(avg(CASE WHEN coalesce(t, 0) = 0 THEN 0 ELSE t / ({UND}) END), 9) AS value FROM deg LEFT JOIN tri USING (a)")
+def average_clustering(spark, sf):
+    return _one(spark, value=round(S.average_clustering(ties(spark, sf)), 9))
+
+
+@query(f"WITH {T_SQL}, m AS (SELECT x.a, x.b, count(z.b) AS k FROM s x LEFT JOIN s y ON y.a = x.a LEFT JOIN s z ON z.a = x.b AND z.b = y.b GROUP BY x.a, x.b) SELECT a AS name, k AS multiplicity, count(*) AS cnt FROM m GROUP BY a, k")
+def generalized_degree(spark, sf):
+    return S.generalized_degree(ties(spark, sf))
+
+
+@query(f"""WITH {T_SQL}, {DEG}, c AS (SELECT x.b AS p, y.b AS q, count(*) AS c FROM s x JOIN s y ON x.a = y.a AND x.b < y.b GROUP BY 1, 2),
+pr AS (SELECT x.a AS v, x.b AS p, y.b AS q FROM s x JOIN s y ON x.a = y.a AND x.b < y.b),
+z AS (SELECT v, c.c - 1 AS q, dp.d AS kp, dq.d AS kq, c.c + CASE WHEN tie.a IS NULL THEN 0 ELSE 1 END AS th FROM pr JOIN c USING (p, q) JOIN deg dp ON dp.a = p JOIN deg dq ON dq.a = q LEFT JOIN s tie ON tie.a = p AND tie.b = q),
+y AS (SELECT v, sum(q) AS q, sum(kp - th + kq - th + q) AS a FROM z GROUP BY v)
+SELECT deg.a AS name, round(CASE WHEN y.a > 0 THEN y.q / y.a::DOUBLE ELSE 0 END, 6) AS value FROM deg LEFT JOIN y ON y.v = deg.a""")
+def square_clustering(spark, sf):
+    return S.square_clustering(ties(spark, sf)).select("name", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {T_SQL}, p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM s),
+q AS (SELECT x.a, y.b, sum(x.p * y.p) AS q FROM p x JOIN p y ON x.b = y.a WHERE x.a <> y.b GROUP BY 1, 2)
+SELECT p.a AS name, round(sum((p.p + coalesce(q.q, 0)) ** 2), 6) AS value FROM p LEFT JOIN q ON q.a = p.a AND q.b = p.b GROUP BY 1""")
+def constraint(spark, sf):
+    return S.constraint(ties(spark, sf), weighted=True).select("name", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT sum(w) AS m FROM e), f AS (SELECT u % 5 AS c, w AS o, 0 AS i, CASE WHEN u % 5 = v % 5 THEN w ELSE 0 END AS l FROM e UNION ALL SELECT v % 5, 0, w, 0 FROM e),
+g AS (SELECT c, sum(o) AS o, sum(i) AS i, sum(l) AS l FROM f GROUP BY c) SELECT round(sum(l / m - o * i / (m * m)), 9) AS modularity FROM g, m""")
+def modularity(spark, sf):
+    g = handoff(spark, sf)
+    return _one(spark, modularity=round(S.modularity(g, g.nodes.select("name", (F.col("name") % 5).alias("community")), True), 9))
+
+
+R_SQL = "r(s, t) AS (SELECT id, id FROM n UNION SELECT r.s, e.v FROM r JOIN e ON e.u = r.t)"
+D0_SQL = "d(s, t, d) USING KEY (s, t) AS (SELECT id, id, 0 FROM n UNION SELECT x.s, e.v, min(x.d) + 1 FROM d x JOIN e ON e.u = x.t WHERE NOT EXISTS (SELECT 1 FROM recurring.d y WHERE y.s = x.s AND y.t = e.v) GROUP BY x.s, e.v)"
+DW_SQL = "d(s, t, d) USING KEY (s, t) AS (SELECT id, id, 0.0::DOUBLE FROM n UNION SELECT x.s, e.v, min(x.d + e.w) FROM d x JOIN e ON e.u = x.t LEFT JOIN recurring.d y ON y.s = x.s AND y.t = e.v WHERE y.d IS NULL OR x.d + e.w < y.d GROUP BY x.s, e.v)"
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL} SELECT t AS name, d AS level FROM d WHERE s = 3")
+def bfs(spark, sf):
+    return P.breadth_first_search(handoff(spark, sf), 3)
+
+
+@query(f"WITH RECURSIVE {E_SQL}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(s, t) AS (SELECT id, id FROM n UNION SELECT r.s, b.v FROM r JOIN b ON b.u = r.t) SELECT s AS name, min(t) AS component FROM r GROUP BY s")
+def wcc(spark, sf):
+    return P.weakly_connected_components(handoff(spark, sf))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {R_SQL} SELECT a.s AS name, min(a.t) AS component FROM r a JOIN r b ON a.s = b.t AND a.t = b.s GROUP BY a.s")
+def scc(spark, sf):
+    """The component is named by its least member."""
+    c = P.strongly_connected_components(handoff(spark, sf))
+    return c.join(c.groupBy("component").agg(F.min("name").alias("low")), "component").select("name", F.col("low").alias("component"))
+
+
+@query(f"WITH RECURSIVE {T_SQL}, r(s, t) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.s, s.b FROM r JOIN s ON s.a = r.t) SELECT s AS name, min(t) AS component FROM r GROUP BY s")
+def connected_components(spark, sf):
+    return P.connected_components(ties(spark, sf))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL} SELECT s AS source, t AS target, d::DOUBLE AS distance FROM d")
+def all_pairs_lengths(spark, sf):
+    return P.all_pairs(handoff(spark, sf))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {DW_SQL} SELECT s AS source, t AS target, d AS distance FROM d")
+def all_pairs_weighted(spark, sf):
+    return P.all_pairs(handoff(spark, sf), True)
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {DW_SQL} SELECT s AS source, t AS target, d AS distance FROM d WHERE s IN (3, 5)")
+def multi_source_weighted(spark, sf):
+    return P.multi_source(handoff(spark, sf), [3, 5], True, with_paths=False)
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {DW_SQL}, p(t, d, path) AS (SELECT 3::BIGINT, 0.0::DOUBLE, '3' UNION ALL
+SELECT e.v, p.d + e.w, p.path || ',' || e.v FROM p JOIN e ON e.u = p.t JOIN d ON d.s = 3 AND d.t = e.v AND d.d = p.d + e.w)
+SELECT t AS target, d AS distance, count(*) AS k, min(path) AS first FROM p GROUP BY t, d""")
+def shortest_paths(spark, sf):
+    r = P.single_source(handoff(spark, sf), 3, True)
+    return r.select("target", "distance", F.size("paths").cast("long").alias("k"), F.array_min(F.transform("paths", lambda p: F.array_join(p.cast("array<string>"), ","))).alias("first"))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL}, c AS (SELECT t, count(*) - 1 AS r, sum(d) AS x FROM d GROUP BY t) SELECT t AS name, round(CASE WHEN x > 0 THEN r / x::DOUBLE * r / ((SELECT count(*) FROM n) - 1.0) ELSE 0 END, 6) AS value FROM c")
+def closeness(spark, sf):
+    return C.closeness_centrality(handoff(spark, sf)).select("name", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {DW_SQL}, c AS (SELECT t, count(*) - 1 AS r, sum(d) AS x FROM d GROUP BY t) SELECT t AS name, round(CASE WHEN x > 0 THEN r / x::DOUBLE * r / ((SELECT count(*) FROM n) - 1.0) ELSE 0 END, 6) AS value FROM c")
+def closeness_weighted(spark, sf):
+    return C.closeness_centrality(handoff(spark, sf), True).select("name", F.round("value", 6).alias("value"))
+
+
+G_SQL = "g(s, t, d, sig) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL SELECT g.s, e.v, g.d + 1, sum(g.sig) FROM g JOIN e ON e.u = g.t JOIN d ON d.s = g.s AND d.t = e.v AND d.d = g.d + 1 GROUP BY g.s, e.v, g.d + 1)"
+B_SQL = "bt AS (SELECT a.t AS id, sum(a.sig * b.sig / c.sig) AS x FROM g a JOIN g b ON b.s = a.t JOIN g c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d WHERE a.s <> a.t AND b.t <> a.t AND a.s <> b.t GROUP BY a.t)"
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL}, {G_SQL}, {B_SQL} SELECT id AS name, round(coalesce(x, 0), 5) AS value FROM n LEFT JOIN bt USING (id)")
+def betweenness(spark, sf):
+    return C.betweenness_centrality(handoff(spark, sf), False, False).select("name", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL}, {G_SQL}, {B_SQL} SELECT round(sum(coalesce(x, 0)) / count(*), 5) AS value FROM n LEFT JOIN bt USING (id)")
+def average_betweenness(spark, sf):
+    return _one(spark, value=round(C.average_node_betweenness(handoff(spark, sf)), 5))
+
+
+@query(f"WITH {E_SQL} SELECT round(count(DISTINCT v) / ((SELECT count(*) FROM n) - 5.0), 9) AS value FROM e WHERE u IN {PICKED} AND v NOT IN {PICKED}")
+def group_degree(spark, sf):
+    return _one(spark, value=round(C.group_degree_centrality(handoff(spark, sf), PICK), 9))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {D0_SQL}, m AS (SELECT s, min(d) AS d FROM d WHERE t IN {PICKED} GROUP BY s) SELECT round(((SELECT count(*) FROM n) - 5) / sum(d)::DOUBLE, 9) AS value FROM m")
+def group_closeness(spark, sf):
+    return _one(spark, value=round(C.group_closeness_centrality(handoff(spark, sf), PICK), 9))
+
+
+def betweenness_weighted(spark, sf):
+    return C.betweenness_centrality(handoff(spark, sf), True, True)
+
+
+def group_betweenness(spark, sf):
+    return _one(spark, value=C.group_betweenness_centrality(handoff(spark, sf), PICK))
+
+
+def eigenvector(spark, sf):
+    return C.eigenvector_centrality(handoff(spark, sf), True)
+
+
+def louvain(spark, sf):
+    return C.louvain_communities(ties(spark, sf), True)
+
+
+def leiden(spark, sf):
+    return C.leiden(ties(spark, sf), True)
+
+
+def equal_partitions(spark, sf):
+    return P.bfs_equal_size_partitions(handoff(spark, sf), 4)
+
+
+def spectral_gap(spark, sf):
+    return _one(spark, value=C.spectral_gap(ties(spark, sf), True))
+
+
+def gnp(spark, sf):
+    return generators.fast_gnp_random_graph(spark, 200, 0.1, True, 7).edges.select("u", "v", "weight")
+
+
+def karate(spark, sf):
+    return generators.karate_club_graph(spark).edges.select("u", "v", "weight")
+
+
+def complete(spark, sf):
+    return generators.complete_graph(spark, 50, False).edges.select("u", "v")
+
+
+for _f in (betweenness_weighted, group_betweenness, eigenvector, louvain, leiden, equal_partitions, spectral_gap, gnp, karate, complete):
+    QUERIES[_f.__name__] = _f
+
+
+@query(f"WITH {E_SQL} SELECT u::VARCHAR AS u, v::VARCHAR AS v, w AS weight FROM e")
+def graphml_roundtrip(spark, sf):
+    path = new_path(spark, "graphml")
+    graphml.write_graphml_file(handoff(spark, sf), path)
+    return graphml.read_graphml_file(spark, path, LOOSE).edges.select("u", "v", "weight")

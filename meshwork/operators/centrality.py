@@ -101,6 +101,17 @@ def eigenvector_centrality(g: Graph, weighted: bool = False, max_iter: int = 100
     g.ensure_not_multi_edges()
     n = g.number_of_nodes()
     w = F.when(F.isnan("weight"), 1.0).otherwise(F.col("weight")) if weighted else F.lit(1.0)
+    if P.small_enough(g):
+        c = P.csr(Graph(g.nodes, g.edges.withColumn("weight", w), g.specs), True)
+        src, v = np.repeat(np.arange(n), np.diff(c.start)), np.full(n, 1.0 / max(n, 1))
+        for _ in range(max_iter):
+            y = v + np.bincount(c.dst, c.weight * v[src], n)
+            y /= np.sqrt((y * y).sum()) or 1.0
+            moved, v = np.abs(y - v).sum(), y
+            if moved < n * tolerance:
+                rows = g.spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "value": v}), "idx long, value double")
+                return g.nodes.join(rows, "idx").select("name", "value")
+        raise GraphError("PowerIterationFailedConvergence", f"not within {max_iter} iterations")
     adj = checkpointed(g.adj.select("src", F.col("dst").alias("name"), w.alias("w")))
     x = checkpointed(g.nodes.select("name", F.lit(1.0 / max(n, 1)).alias("x")))
     for _ in range(max_iter):

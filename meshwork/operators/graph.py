@@ -356,8 +356,8 @@ class Graph:
     # ---- conversions ----
     def reverse(self) -> Graph:
         self.ensure_directed()
-        e = self.edges.withColumnsRenamed({"u": "v", "v": "u"})
-        return Graph(self.nodes, e.select(*self.edges.columns), self.specs)
+        swap = {"u": F.col("v").alias("u"), "v": F.col("u").alias("v")}
+        return Graph(self.nodes, self.edges.select(*[swap.get(c, F.col(c)) for c in self.edges.columns]), self.specs)
 
     def set_all_edge_weights(self, weight: float) -> Graph:
         return Graph(self.nodes, self.edges.withColumn("weight", F.lit(float(weight))), self.specs)

@@ -32,3 +32,40 @@ def fast_gnp_random_graph(spark: SparkSession, n: int, p: float, directed: bool,
     e = _pairs(spark, n, directed).where(unit(1) < p).withColumn("weight", unit(2))
     nodes = spark.range(n).select(F.col("id").alias("seq"), F.col("id").cast("int").alias("name"))
     return Graph.build(nodes, e, GraphSpecs(directed=directed))
+
+
+#: Zachary's karate club (fixed values): for each member the earlier members it meets, with the weight of the later row.
+KARATE = {
+    1: "0:4",
+    2: "0:5 1:6",
+    3: "0:3 1:3 2:3",
+    4: "0:3",
+    5: "0:3",
+    6: "0:3 4:2 5:5",
+    7: "0:2 1:4 2:4 3:3",
+    8: "0:2 2:5",
+    9: "2:1",
+    10: "0:2 4:3 5:3",
+    11: "0:3",
+    12: "0:1 3:3",
+    13: "0:3 1:5 2:3 3:3",
+    16: "5:3 6:3",
+    17: "0:2 1:1",
+    19: "0:2 1:2",
+    21: "0:2 1:2",
+    25: "23:5 24:2",
+    27: "2:2 23:4 24:3",
+    28: "2:2",
+    29: "23:3 26:4",
+    30: "1:2 8:3",
+    31: "0:2 24:2 25:7 28:2",
+    32: "2:2 8:3 14:3 15:3 18:1 20:3 22:2 23:5 29:4 30:3 31:4",
+    33: "8:4 9:2 13:3 14:2 15:4 18:2 19:1 20:1 22:3 23:4 26:2 27:4 28:2 29:2 30:3 31:4 32:5",
+}
+
+
+def karate_club_graph(spark: SparkSession) -> Graph:
+    """34 nodes, 78 weighted undirected edges."""
+    edges = [(u, v, w) for v, row in KARATE.items() for u, w in (map(int, x.split(":")) for x in row.split())]
+    edges.sort()
+    return Graph.of(spark, GraphSpecs(directed=False), edges, list(range(34)), "int")
