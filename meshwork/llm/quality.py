@@ -34,8 +34,8 @@ def votes() -> dict[str, Column]:
     return {
         "marks": vote(F.col("__marks") / chars > 0.03, F.col("__marks") == 0),
         "bars": vote(F.col("__bars") / F.greatest(n, F.lit(1)) > 0.08, F.col("__bars") == 0),
-        "variety": vote((n >= 20) & (F.col("__distinct") / n < 0.25), (n >= 20) & (F.col("__distinct") / n > 0.4)),
-        "lines": vote((F.col("__lines") >= 4) & (F.col("__own_lines") / F.col("__lines") < 0.7), F.col("__own_lines") == F.col("__lines")),
+        "variety": vote((n >= 20) & (F.col("__distinct") < 0.25 * n), (n >= 20) & (F.col("__distinct") > 0.4 * n)),
+        "lines": vote((F.col("__lines") >= 4) & (F.col("__own_lines") < 0.7 * F.col("__lines")), F.col("__own_lines") == F.col("__lines")),
         "function_words": vote((n >= 20) & (F.col("__function") < 3), F.col("__function") >= 8),
         "word_length": vote((F.col("__letters") / F.greatest(n, F.lit(1)) > 12) | (F.col("__letters") / F.greatest(n, F.lit(1)) < 2), (F.col("__letters") / F.greatest(n, F.lit(1))).between(3, 9)),
         "length": vote(n < 2, n >= 60),
