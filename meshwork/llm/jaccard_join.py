@@ -243,20 +243,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low, leap, total = 1, False, prints.count()
     top = members.agg(F.max("rank")).first()[0] or 0
     while low < top:
-        high = top + 1 if leap else max(2, 2 * low)
+        high = top + 1 if leap else (2 if low == 1 else 4 * low)
         pairs = _pairs(state, low, high, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
         new = written(_links(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        comps = written(components(links), "components")
-        state = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        mixed = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-        state = written(state.join(mixed, "bucket", "left_semi"), "state")  # buckets of one component are done
+        if not new.isEmpty():  # without new links components, and so the buckets left, are as they were
+            links = new if links is None else links.unionByName(new)
+            comps = written(components(links), "components")
+            state = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+            mixed = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+            state = written(state.join(mixed, "bucket", "left_semi"), "state")  # buckets of one component are done
         size, top = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("rank").alias("r")).agg(F.sum(F.col("m") * F.col("m")), F.max("r")).first()
-        # pivots double from round to round; once what is left is in proportion to the members, it is done at once
+        # pivots grow fourfold from round to round; once what is left is in proportion to the members, it is done at once
         low, leap = high, (size or 0) <= PAIRS_PER_MEMBER * total
         top = top or 0
     drop(sets)
