@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.plans.durable import written
+
 DIMS = 1 << 16
 MAX_TRAINING = 6_000  #: documents that the scorer is trained on: those of smallest id hash
 #: Frequent short words of English, French, German and Spanish.
@@ -134,6 +136,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """
     named = votes()
     voted = measures(docs, id_col, text_col).select("__id", F.concat_ws("", *[(v + 1).cast("string") for v in named.values()]).alias("__votes"))
+    voted = written(voted, "votes")  # read for the counts of patterns and for the choice of training rows
     found = voted.groupBy("__votes").agg(F.count(F.lit(1)).alias("n")).orderBy("__votes").collect()  # at most 3 ** labellers
     patterns = np.array([[int(c) - 1 for c in r[0]] for r in found], int).reshape(-1, len(named))
     _, prior, post = em(patterns, np.array([r[1] for r in found]))
