@@ -5,9 +5,12 @@ at most k features. The feature domain is cut into ceil((k + 1) / 2) parts, one
 that part is cut into three, and the two thirds without the difference are equal: one signature for each choice of two.
 So linked sets share a signature, whatever else they hold, and only sets that share one are compared, exactly.
 
-Equal sets are one class. Inside a bucket of classes that share a signature, all are compared with the bucket's first
-class; then only classes that are still in different components meet, pivot by pivot, so that a group of near copies
-costs about its size and not its square.
+Equal sets are one class. Inside a bucket of classes that share a signature, each is compared with the least class that
+is first in one of its buckets; then only classes that are still in different components meet. While such pairs are many,
+they meet pivot by pivot; once few are left, the members outside a bucket's largest component meet its other members.
+So a group of near copies costs about its size and not its square. A pair first meets the bound of its parity sketches: a
+sketch holds the parity of the set's members in each of 256 cells, two sketches differ in at most as many bits as the
+sets have differences, and so no link is lost where they differ in more bits than a link allows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.plans.components import components
@@ -28,8 +31,13 @@ SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A table of ids up to this many rows (a few MB) may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
-#: Once the pairs left in unsettled buckets are at most this many for each row, pivots no longer save anything.
+#: Once the pairs of different components left in buckets are at most this many for each row, pivots no longer save anything.
 PAIRS_PER_MEMBER = 50
+#: Parity sketches are this many 64-bit words.
+SKETCH_WORDS = 4
+SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
+#: Classes that a task remembers to have sent the signatures of (bounds memory only; sending them again does no harm).
+SEEN_CLASSES = 1_000_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -158,21 +166,54 @@ def digests(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return _mix(sums, seed + 100).view(np.int64)
 
 
-def fingerprint(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(__id, __text) to (__id, n_shingles, class, check, sigs); class and check are 64-bit digests of the set."""
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity sketches, a row of SKETCH_WORDS words for each set."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = _mix(np.concatenate(sets), 31) >> np.uint64(64 - 6)
+    word = _mix(np.concatenate(sets), 32) % np.uint64(SKETCH_WORDS)
+    out = np.zeros(len(sets) * SKETCH_WORDS, np.uint64)
+    np.bitwise_xor.at(out, owner * SKETCH_WORDS + word.astype(np.int64), np.uint64(1) << cell)
+    return out.reshape(-1, SKETCH_WORDS).view(np.int64)
+
+
+def fingerprint(rows: DataFrame, n: int) -> DataFrame:
+    """(__id, __text) to (__id, n_shingles, class, check, sketch words); class and check are 64-bit digests of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands = Shingler(n), Bands(percent)
+        shingler = Shingler(n)
         for batch in batches:
             for start, part in _slices(batch.column(1).to_pylist()):
                 sets = shingler.sets(part)
+                words = [pa.array(np.ascontiguousarray(w)) for w in sketches(sets).T]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(sets, 21)), pa.array(digests(sets, 22)),
-                     _lists([signatures(s, bands) if len(s) else s for s in sets])], ["__id", "n_shingles", "class", "check", "sigs"],
+                    [batch.column(0).slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(sets, 21)), pa.array(digests(sets, 22)), *words],
+                    ["__id", "n_shingles", "class", "check", *SKETCH],
                 )
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__id {kind}, n_shingles long, class long, check long, sigs array<long>")
+    return rows.mapInArrow(run, f"__id {kind}, n_shingles long, class long, check long, " + ", ".join(f"{p} long" for p in SKETCH))
+
+
+def signature_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Texts (column __text) to (sig, class), a row for each signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, bands, seen = Shingler(n), Bands(percent), set()
+        for batch in batches:
+            for _, part in _slices(batch.column(0).to_pylist()):
+                sets = shingler.sets(part)
+                names, found = [], []
+                for name, s in zip(digests(sets, 21).tolist(), sets, strict=True):
+                    if len(s) and name not in seen:
+                        if len(seen) < SEEN_CLASSES:
+                            seen.add(name)
+                        names.append(name)
+                        found.append(signatures(s, bands))
+                if found:
+                    own = np.repeat(np.array(names, np.int64), [len(f) for f in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own)], ["sig", "class"])
+
+    return rows.select("__text").mapInArrow(run, "sig long, class long")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -189,20 +230,51 @@ def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (u, v) of classes those that link, by exact comparison of their sets."""
+    """Of candidate pairs (u, v) of classes those that link, by exact comparison of their sets.
+
+    Up to BROADCAST_ROWS pairs their ids go to the sets, so that only the sets of these pairs are shuffled, and once.
+    """
     a = sets.select(F.col("class").alias("u"), F.col("set").alias("a"))
     b = sets.select(F.col("class").alias("v"), F.col("set").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    if pairs.count() <= BROADCAST_ROWS:
+        b = b.join(F.broadcast(pairs.select("v").distinct()), "v", "left_semi")
+        pairs = F.broadcast(pairs)
+    both = a.join(pairs, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
     return both.where(F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * percent).select("u", "v")
 
 
-def _pairs(members: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of a bucket's members of rank low to high - 1 with later members of other components and of a size that can match."""
-    pivot = members.where((F.col("rank") >= low) & (F.col("rank") < high))
-    pivot = pivot.select("bucket", F.col("class").alias("u"), F.col("rank").alias("r"), F.col("component").alias("c"), F.col("size").alias("s"))
-    both = pivot.join(members, "bucket").where((F.col("rank") > F.col("r")) & (F.col("component") != F.col("c")))
+def _meet(pivots: DataFrame, members: DataFrame, percent: int, once: Column) -> DataFrame:
+    """Pairs u < v of a bucket's pivots with members of other components, of a size and a sketch that can match.
+
+    ``once``, of the pivot's ``r`` and the member's columns, tells the one of two meetings of a pair that counts.
+    """
+    pivots = pivots.select("bucket", F.col("class").alias("u"), F.col("rank").alias("r"), F.col("component").alias("c"), F.col("size").alias("s"), *[F.col(p).alias(f"u{p}") for p in SKETCH])
+    both = pivots.join(members, "bucket").where(once & (F.col("component") != F.col("c")))
     both = both.where(F.least("size", "s") * 100 >= F.greatest("size", "s") * percent)
-    return both.select("u", F.col("class").alias("v")).distinct()  # u < v, as ranks follow classes
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"u{p}"))) for p in SKETCH), F.lit(0))
+    both = both.where(bits * (100 + percent) <= (F.col("size") + F.col("s")) * (100 - percent))
+    return both.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")).distinct()
+
+
+def _pivot_pairs(state: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+    """Members of rank low to high - 1 meet those of greater rank."""
+    return _meet(state.where((F.col("rank") >= low) & (F.col("rank") < high)), state, percent, F.col("rank") > F.col("r"))
+
+
+def _last_pairs(state: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components: one of the two is outside the bucket's largest component."""
+    sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main"))
+    marked = state.join(largest, "bucket")
+    return _meet(marked.where("component <> main"), marked, percent, (F.col("component") == F.col("main")) | (F.col("rank") > F.col("r")))
+
+
+def _left(state: DataFrame) -> tuple[int, int]:
+    """Ordered pairs of different components in the buckets, and the greatest rank."""
+    sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("r"))
+    each = sizes.groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.max("r").alias("r"))
+    found = each.agg(F.sum("x"), F.max("r")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -214,19 +286,24 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (then it is null). Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    prints = written(fingerprint(rows, n, percent), "prints")
+    prints = written(fingerprint(rows, n), "prints")
     named = prints.where("n_shingles > 0")
+    first = [F.min(c).alias(c) for c in SKETCH]
     classes = written(named.groupBy("class").agg(
-        F.min("__id").alias("rep"), F.min("check").alias("check"), F.max("check").alias("check2"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
+        F.min("__id").alias("rep"), F.min("check").alias("check"), F.max("check").alias("check2"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"), *first), "classes")
     if not classes.where("check <> check2").isEmpty():
         raise ValueError("two different sets share a 64-bit digest; take other seeds for the digests")
-    # each (signature, class) once; this one exchange serves both sides of the join
-    spread = named.select(F.explode("sigs").alias("sig"), "class").repartition("sig").distinct()
-    shared = spread.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(class))").alias("x")).where("lo < hi")
-    joint = written(spread.join(shared.select("sig", "lo", "hi", "m", "x"), "sig"), "joint")
+    # one row of each class sends its signatures; beyond the bound all rows do, as a shuffle of the texts costs more
+    own = rows
+    if classes.count() <= BROADCAST_ROWS:
+        reps = F.broadcast(classes.select("rep"))
+        own = rows.join(reps, rows["__id"].eqNullSafe(reps["rep"]), "left_semi")
+    sig = Window.partitionBy("sig")
+    spread = signature_rows(own, n, percent).select(
+        "class", F.min("class").over(sig).alias("lo"), F.max("class").over(sig).alias("hi"), F.count(F.lit(1)).over(sig).alias("m"), F.expr("bit_xor(xxhash64(class))").over(sig).alias("x"))
     # buckets with the same members are one bucket
-    bucket = F.xxhash64("lo", "hi", "m", "x").alias("bucket")
-    members = joint.select(bucket, "class").distinct().join(classes.select("class", "size"), "class")
+    joint = written(spread.where("lo < hi").select(F.xxhash64("lo", "hi", "m", "x").alias("bucket"), "class"), "joint")
+    members = joint.distinct().join(classes.select("class", "size", *SKETCH), "class")
     members = written(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class"))), "members")
     drop(joint)
 
@@ -240,11 +317,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     state = members.withColumn("component", F.col("class"))
     links = tested = comps = None
-    low, leap, total = 1, False, prints.count()
+    low, left, last, total, opening = 1, 0, False, prints.count(), True
     top = members.agg(F.max("rank")).first()[0] or 0
     while low < top:
-        high = top + 1 if leap else (2 if low == 1 else 4 * low)
-        pairs = _pairs(state, low, high, percent)
+        high = 2 if low == 1 else 4 * low
+        pairs = _last_pairs(state, percent) if last else _pivot_pairs(state, low, high, percent)
+        if opening:
+            pairs = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -256,10 +335,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             state = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
             mixed = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
             state = written(state.join(mixed, "bucket", "left_semi"), "state")  # buckets of one component are done
-        size, top = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.max("rank").alias("r")).agg(F.sum(F.col("m") * F.col("m")), F.max("r")).first()
-        # pivots grow fourfold from round to round; once what is left is in proportion to the members, it is done at once
-        low, leap = high, (size or 0) <= PAIRS_PER_MEMBER * total
-        top = top or 0
+        if last:
+            break
+        before = None if opening else left
+        left, top = _left(state)
+        low, opening = 1 if opening else high, False  # the opening left out pairs of rank 1
+        # the end comes when little is left, or when a round of pivots did not halve it: then most of it doesn't link
+        last = left <= PAIRS_PER_MEMBER * total or (before is not None and 2 * left > before)
     drop(sets)
     classes = classes.select("class", "rep", "copies")
     if comps is not None:
