@@ -1,17 +1,20 @@
-"""License scans: exact set-similarity join of text blocks (lines) with license templates.
+"""License scans: exact set-similarity join of text blocks (windows of words) with license templates.
 
-Tokens are ordered by how often the whole corpus holds them, rarest first. A block that contains at least ``threshold`` of
-a template's distinct tokens must hold one of the template's prefix tokens, its |T| - need + 1 rarest ones; blocks with
-fewer tokens than needed, or whose first shared token leaves too few on either side, are dropped before verification.
+Blocks are windows over the word sequence of the whole text, so a notice may be wrapped over lines, and a long line is no
+block of its own. Tokens are ordered by how often the whole corpus holds them, rarest first. A block that contains at least
+``threshold`` of a template's distinct tokens must hold one of the template's prefix tokens, its |T| - need + 1 rarest ones;
+texts with none of these, or with fewer of the template's words than needed, are dropped before verification.
 The templates are a fixed library, so they, not the corpus, are what every task holds.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,8 @@ TEMPLATES = (
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
 )
 THRESHOLD = 0.8
+#: A window holds at most this many times the template's words.
+SPREAD = 2.0
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _BLOCKS = bytes(10 if c == 10 else _WORDS[c] for c in range(256))
@@ -44,45 +49,65 @@ class Template:
     label: str
     ordered: tuple[bytes, ...]  #: distinct tokens, rarest in the corpus first
     need: int
+    span: int  #: most words of a window
 
     @property
-    def prefix(self) -> tuple[bytes, ...]:
-        return self.ordered[: len(self.ordered) - self.need + 1]
+    def rare(self) -> frozenset[bytes]:
+        """The prefix: a window without any of these holds too few."""
+        return frozenset(self.ordered[: len(self.ordered) - self.need + 1])
 
 
-def compile_templates(templates, frequency: dict[bytes, int], threshold: float) -> list[Template]:
+def compile_templates(templates, frequency: dict[bytes, int], threshold: float, spread: float = SPREAD) -> list[Template]:
     out = []
     for label, text in templates:
         tokens = sorted(set(words(text)), key=lambda t: (frequency.get(t, 0), t))
-        out.append(Template(label, tuple(tokens), max(1, math.ceil(threshold * len(tokens) - 1e-9))))
+        out.append(Template(label, tuple(tokens), max(1, math.ceil(threshold * len(tokens) - 1e-9)), math.ceil(spread * len(words(text)))))
     return out
 
 
 class Matcher:
     def __init__(self, templates: list[Template]):
-        self.rank = {t: i for i, t in enumerate(dict.fromkeys(t for x in templates for t in x.ordered))}
-        self.index: dict[bytes, list[tuple[int, int]]] = {}
+        self.index = {t for x in templates for t in x.rare}
+        self.holders: dict[bytes, list[int]] = {}
         for k, x in enumerate(templates):
-            for i, t in enumerate(x.prefix):
-                self.index.setdefault(t, []).append((k, i))
+            for t in x.ordered:
+                self.holders.setdefault(t, []).append(k)
         self.templates = templates
 
-    def block(self, tokens: set[bytes]) -> list[tuple[int, float]]:
-        """Templates whose containment in the block reaches the threshold, with that containment."""
-        tried, out = set(), []
-        for t in tokens & self.index.keys():
-            for k, i in self.index[t]:
-                x = self.templates[k]
-                if k in tried or len(tokens) < x.need:
-                    continue  # too short a block
-                if x.ordered[:i] and any(p in tokens for p in x.ordered[:i]):
-                    continue  # an earlier token is shared: that one leads to this pair
-                if len(x.ordered) - i < x.need:
-                    continue  # the place of the first shared token leaves too few
-                tried.add(k)
-                shared = sum(p in tokens for p in x.ordered[i:])
-                if shared >= x.need:
-                    out.append((k, shared / len(x.ordered)))
+    def windows(self, found: list[bytes]) -> list[tuple[int, int, float]]:
+        """(place of the first shared word, template, containment) of the windows that reach a template's threshold.
+
+        For each end, the shortest window of at most ``span`` words that holds as many of the template's tokens as any such
+        window; of overlapping ones the fullest, then the first, stays.
+        """
+        at: dict[int, list[int]] = {}
+        if self.index.isdisjoint(found):
+            return []
+        for i, t in enumerate(found):
+            for k in self.holders.get(t, ()):
+                at.setdefault(k, []).append(i)
+        out = []
+        for k, places in at.items():
+            x = self.templates[k]
+            if len(places) < x.need or not any(found[i] in x.rare for i in places):
+                continue  # too few words, or none of the prefix
+            held: Counter = Counter()
+            low, hits = 0, []
+            for i in places:
+                held[found[i]] += 1
+                while i - places[low] >= x.span or held[found[places[low]]] > 1:
+                    held[found[places[low]]] -= 1
+                    if not held[found[places[low]]]:
+                        del held[found[places[low]]]
+                    low += 1
+                if len(held) >= x.need:
+                    hits.append((-len(held), places[low], i))
+            kept: list[tuple[int, int]] = []
+            for n, start, end in sorted(hits):
+                j = bisect_left(kept, (start, end))
+                if (j == 0 or kept[j - 1][1] < start) and (j == len(kept) or kept[j][0] > end):
+                    kept.insert(j, (start, end))
+                    out.append((start, k, -n / len(x.ordered)))
         return sorted(out)
 
     def scan(self, text: str) -> tuple[int, list[tuple[str, int]], list[tuple[int, str, float]]]:
@@ -96,9 +121,9 @@ class Matcher:
                 places.append((label, line.count(b" ", 0, at)))
                 at = line.find(needle, at + 1)
         blocks = []
-        if not self.index.keys().isdisjoint(found):
-            for n, raw in enumerate(text.encode("utf-8", "surrogatepass").translate(_BLOCKS).split(b"\n")):
-                blocks += [(n, self.templates[k].label, c) for k, c in self.block(set(raw.split()))]
+        if hits := self.windows(found):
+            ends = list(accumulate(len(raw.split()) for raw in text.encode("utf-8", "surrogatepass").translate(_BLOCKS).split(b"\n")))
+            blocks = sorted((bisect_right(ends, i), self.templates[k].label, c) for i, k, c in hits)
         return len(found), sorted(places, key=lambda p: (p[1], p[0])), blocks
 
 
@@ -121,14 +146,16 @@ def token_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "te
 RESULT = "n_words long, phrases array<struct<label:string,word:long>>, blocks array<struct<line:int,label:string,containment:double>>"
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD, spread: float = SPREAD) -> DataFrame:
     """One row per row: id, n_words, phrases (label, place in words) and blocks (line, label, containment).
 
+    A block is a window over the words of the whole text, across line breaks, of at most ``spread`` times the template's words;
+    its line is that of its first shared word. Blocks of one template don't overlap.
     Null and empty texts have no words. Whole texts are scanned, whatever their length. Repeated rows give repeated results;
     an empty table an empty result. Only the two named columns are read, so other names cannot clash.
     """
     vocabulary = {t for _, x in templates for t in words(x)}
-    ready = compile_templates(templates, token_frequency(docs, vocabulary, text_col), threshold)
+    ready = compile_templates(templates, token_frequency(docs, vocabulary, text_col), threshold, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(ready)

@@ -51,6 +51,16 @@ def test_license_scan(spark):
     assert got[2].n_words == 0 and got[3].n_words == 2
 
 
+def test_license_scan_wrapped_and_long_lines(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = "x\n# Permission is hereby granted, free of charge,\n# to any person obtaining a copy of this software"
+    gpl = "This work is licensed under the\r\nGNU General Public\r\nLicense, version 3."
+    far = " filler ".join(["w " * 40 + w for w in "released under the mit x license".split()])
+    rows = [(1, bsd), (2, mit), (3, gpl), (4, far), (5, "w " * 5000 + "released under the mit license " + "w " * 5000), (6, bsd + "\n" + bsd)]
+    got = {r.doc_id: [(b.line, b.label, b.containment) for b in r.blocks] for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: [(0, "bsd-text", 1.0)], 2: [(1, "mit-text", 1.0)], 3: [(0, "gpl-notice", 1.0)], 4: [], 5: [(0, "mit-notice", 1.0)], 6: [(0, "bsd-text", 1.0), (2, "bsd-text", 1.0)]}
+
+
 def test_jaccard_join_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (1, 2, 3, 8, 30, 90, 400)]
