@@ -214,8 +214,8 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per row: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept (id = component_id).
 
-    Vectors are compared only within a label. Those without a label or an id, or null, empty, zero or with null or non-finite
-    components, and those whose length differs from the label's longest, link with nothing. Equal vectors link with each other. Repeated
+    Vectors are compared only within a label and with those of their own length. Those without a label or an id, or null, empty,
+    zero or with null or non-finite components, link with nothing. Equal vectors link with each other. Repeated
     rows count as vectors of their own. Other columns are ignored; an empty table gives an empty result.
     """
     v = F.col("__v")
@@ -225,18 +225,18 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     base = base.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.col("__label"), v.cast("array<string>")), 256)))
     classes = base.where("key is not null").groupBy("key").agg(F.first("__label").alias("label"), F.first("__v").alias("v"), F.min("__id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("d", F.size("v")), "classes")
-    per = classes.groupBy("label").agg(F.max("d").alias("dim"), F.count(F.lit(1)).alias("in_label"))
-    placed = classes.join(per, "label").where("d = dim").withColumns({
-        "shards": F.expr(f"1 + (in_label - 1) div {SHARD_ROWS}"), "blocks": F.expr(f"1 + (in_label - 1) div {BLOCK_ROWS}")})
+    per = classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("alike"))
+    placed = classes.join(per, ["label", "d"]).withColumns({
+        "shards": F.expr(f"1 + (alike - 1) div {SHARD_ROWS}"), "blocks": F.expr(f"1 + (alike - 1) div {BLOCK_ROWS}")})
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("key"), "shards")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks"))
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[_order(pdf["key"])]
         graph = Hnsw(_unit(pdf["v"]))
         data = pickle.dumps((graph, pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)), protocol=5)
-        return pd.DataFrame({"label": [key[0]], "shard": [key[1]], "blocks": [int(pdf["blocks"].iloc[0])], "graph": [data]})
+        return pd.DataFrame({"label": [key[0]], "d": [key[1]], "shard": [key[2]], "blocks": [int(pdf["blocks"].iloc[0])], "graph": [data]})
 
-    graphs = written(placed.groupBy("label", "shard").applyInPandas(build, "label string, shard long, blocks long, graph binary"), "graphs")
+    graphs = written(placed.groupBy("label", "d", "shard").applyInPandas(build, "label string, d int, shard long, blocks long, graph binary"), "graphs")
 
     def search(key, queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(graph):
@@ -244,9 +244,9 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         shard, ids, weights = pickle.loads(graph["graph"].iloc[0])
         return _query(shard, ids, weights, _unit(queries["v"]), queries["rep"].to_numpy(np.int64), threshold)
 
-    asked = placed.select("label", "block", "rep", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    offered = graphs.select("label", "shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    keys = ["label", "shard", "block"]
+    asked = placed.select("label", "d", "block", "rep", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    offered = graphs.select("label", "d", "shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    keys = ["label", "d", "shard", "block"]
     found = written(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, "u long, v long, n long"), "found")
     drop(graphs)
     links = found.where("v < 0").groupBy("u").agg(F.sum("n").alias("others"))

@@ -91,6 +91,12 @@ def test_embeddings(spark):
     assert got[1] == (3, 1, True) and got[9] == (3, 1, False) and got[3] == (3, 1, False) and all(got[k] == (0, k, True) for k in (4, 5, 6, 7, 8, 10))
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [1.0, 0.0, 0.0], 0), (4, [0.0, 1.0], 0), (5, [1.0, 0.0, 0.1], 0), (6, [1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3), 6: (0, 6)}
+
+
 def test_warc_magic_in_payloads(spark):
     m = warc.MAGIC
     fake = m + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
