@@ -2,12 +2,14 @@
 
 Equal vectors of a label are one class. Classes are dealt to shards of bounded size; each shard gets a graph of its own,
 built in batches with numpy. Every block of classes queries every shard of its label: a query's beam widens while all that
-it holds is within the threshold, and the whole block's beam widens until an audit of some of its queries against brute
-force finds (nearly) all links; a beam as wide as the shard is brute force. Cosines are verified in double precision.
+it holds is within the threshold, and the whole block's beam widens until it finds all links that an audit of its queries
+against brute force sees; the audit goes on until it has seen enough of them, over the whole block if need be, and its
+answers are used. A beam as wide as the shard is brute force. Cosines are verified in double precision.
 """
 
 from __future__ import annotations
 
+import logging
 import pickle
 
 import numpy as np
@@ -20,7 +22,9 @@ from meshwork.plans.durable import drop, written
 from meshwork.plans.skew import lookup
 
 SHARD_ROWS, BLOCK_ROWS = 20_000, 2_000  #: classes in a shard's graph, and in a block of queries: memory of one task
-AUDIT, RECALL = 48, 0.995  #: queries of a block held against brute force, and the share of links they must find
+#: Queries of a block are held against brute force so many at a time, until they have so many links to other vectors.
+AUDIT, AUDIT_LINKS = 48, 200
+log = logging.getLogger(__name__)
 
 
 class Hnsw:
@@ -171,20 +175,37 @@ def _order(keys) -> np.ndarray:
     return np.argsort(np.asarray(keys), kind="stable")
 
 
+def _audit(shard: Hnsw, ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> dict[int, np.ndarray]:
+    """True links to other vectors, by brute force, of queries in a mixed order: where links are sparse, of all queries."""
+    truth: dict[int, np.ndarray] = {}
+    order, seen = np.random.default_rng(len(q)).permutation(len(q)), 0
+    for a in range(0, len(q), AUDIT):
+        part = order[a : a + AUDIT]
+        for i, near in zip(part.tolist(), q[part] @ shard.x.T >= least, strict=True):
+            h = np.flatnonzero(near)
+            truth[i] = h[ids[h] != own[i]]
+            seen += len(truth[i])
+        if seen >= AUDIT_LINKS:
+            break
+    return truth
+
+
 def _query(shard: Hnsw, ids: np.ndarray, weights: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float) -> pd.DataFrame:
-    slack = 1e-12
-    audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = [np.flatnonzero(shard.x @ q[i] >= threshold - slack) for i in audit]
-    ef = 32
-    while True:
-        hits = shard.within(q, threshold - slack, ef)
-        found = sum(len(np.intersect1d(hits[i], t)) for i, t in zip(audit, truth, strict=True))
-        if found >= RECALL * sum(map(len, truth)) or ef >= len(shard.x):
+    least = threshold - 1e-12
+    truth = _audit(shard, ids, q, own, least)
+    rest = np.setdiff1d(np.arange(len(q)), list(truth))
+    hits, true, found, ef = dict(truth), sum(map(len, truth.values())), 0, 32
+    while len(rest):
+        got = shard.within(q, least, ef)
+        found = sum(len(np.intersect1d(got[i], t)) for i, t in truth.items())
+        if found >= true or ef >= len(shard.x):
+            hits.update((i, got[i]) for i in rest)
             break
         ef *= 2
+    log.info("%d of %d queries audited; beam %d for the others found %d of %d true links", len(truth), len(q), ef if len(rest) else 0, found, true)
     us, vs, links = [], [], []
-    for i, h in enumerate(hits):
-        other = h[ids[h] != own[i]]
+    for i in range(len(q)):
+        other = hits[i][ids[hits[i]] != own[i]]
         links.append(int(weights[other].sum()))
         us.append(np.full(len(other), own[i], np.int64))
         vs.append(ids[other])

@@ -5,7 +5,7 @@ import zlib
 
 import numpy as np
 
-from meshwork.llm import exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, toxicity, warc
+from meshwork.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, toxicity, warc
 from meshwork.llm.embedding_dedup import near_dedup
 
 TEXTS = [(1, "a  b\tc"), (2, "a b c"), (3, None), (4, ""), (5, "x " * 3000), (6, "a b c"), (6, "a b c"), (None, "a b c"), (7, "mit license " + "0" * 40)]
@@ -97,6 +97,29 @@ def test_embeddings_of_several_lengths(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3), 6: (0, 6)}
 
 
+def test_audit_where_links_are_sparse():
+    rng = np.random.default_rng(4)
+    shard = embedding_dedup.Hnsw(embedding_dedup._unit(rng.normal(size=(600, 32))))
+    for links in shard.links:
+        links[:] = -1  # a graph that finds next to nothing
+    q = embedding_dedup._unit(rng.normal(size=(200, 32)))
+    q[1] = shard.x[577]
+    out = embedding_dedup._query(shard, np.arange(600), np.ones(600, int), q, np.arange(1000, 1200), 0.93)
+    assert {(r.u, r.n) for r in out.itertuples() if r.v < 0 and r.n} == {(1001, 1)}
+
+
+def test_embeddings_of_a_label_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 80)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 16))
+    x[300:] = x[:100] + 0.1 * rng.normal(size=(100, 16))
+    near = embedding_dedup._unit(x) @ embedding_dedup._unit(x).T >= 0.93
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_dedup(df).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in range(400)} and sum(got.values())
+
+
 def test_warc_magic_in_payloads(spark):
     m = warc.MAGIC
     fake = m + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
