@@ -357,7 +357,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows whose id names their component: one document of each group stays. Rows without an id stay."""
-    found = jaccard_join(docs, id_col, text_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows whose id and text name their component: one document of each group stays. Rows without an id stay.
+
+    A document is an id with a text, so of rows that repeat an id each is judged by its own text; of such rows in one group
+    that have the smallest id, the one of smallest text hash stays. Rows that repeat both stay or go together.
+    """
+    both = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
+    found = jaccard_join(docs.select(both.alias("__doc"), F.col(text_col).alias("__text")), "__doc", "__text", **options)
+    gone = found.where(~F.col("__doc").eqNullSafe(F.col("component_id"))).select(F.col("__doc.id").alias("__gone"), F.col("__doc.text").alias("__hash")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left_anti")

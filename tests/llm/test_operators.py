@@ -85,6 +85,15 @@ def test_jaccard_join_equals_brute_force(spark):
     assert got == want
 
 
+def test_keep_one_of_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (2, "a text of its own that nothing else is like"), (3, "x y z " + long[:40]), (3, "b c d"), (None, long), (4, ""), (4, None)]
+    rows += [(5, "p q r s t " * 9 + "end"), (5, "p q r s t " * 9 + "End"), (6, "p q r s t " * 9 + "end")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, rows), n=5, percent=80).collect()]
+    gone = sorted(set(rows) - set(kept), key=str)
+    assert len(kept) == len(set(kept)) == len(rows) - 3 and gone[0] == rows[1] and gone[1] in rows[8:10] and gone[2] == rows[10]
+
+
 def test_embeddings(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, None, 0), (7, [1.0, 0.0], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0], 0), (10, [None, 1.0], 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
