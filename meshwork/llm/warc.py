@@ -162,16 +162,16 @@ def _joined(spark: SparkSession, path: str, thin: DataFrame, split: DataFrame) -
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` as WARC, read the archives back, and return one row per record.
 
-    id, payload_bytes, payload_digest (both of the full payload; a revisit's from the response it names), record_type,
-    refers_to. ``path`` defaults to a folder in the shared one.
+    id, payload_bytes, payload_digest (both of the full payload; a revisit's from the response it names, that of its
+    digest if several have the id), record_type, refers_to. ``path`` defaults to a folder in the shared one.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_warc(pages, path, id_col, url_col, html_col, least)
     records = written(read_warc(spark, path), "records")
     kind = pages.schema[id_col].dataType
-    answers = records.where("type = 'response' and id is not null").dropDuplicates(["id"]).select(F.col("id").alias("rid"), F.col("payload_bytes").alias("rb"), F.col("payload_digest").alias("rd"))
-    asked = records.where("type = 'revisit'").join(answers, F.col("refers_to") == F.col("rid"), "left")
-    asked = asked.withColumn("payload_bytes", F.when(F.col("rd") == F.col("said"), F.col("rb"))).withColumn("payload_digest", F.when(F.col("rd") == F.col("said"), F.col("rd")))
+    answers = records.where("type = 'response' and id is not null").dropDuplicates(["id", "payload_digest"]).select(F.col("id").alias("rid"), F.col("payload_bytes").alias("rb"), F.col("payload_digest").alias("rd"))
+    asked = records.where("type = 'revisit'").join(answers, (F.col("refers_to") == F.col("rid")) & (F.col("said") == F.col("rd")), "left")
+    asked = asked.withColumn("payload_bytes", F.col("rb")).withColumn("payload_digest", F.col("rd"))
     every = records.where("type = 'response'").unionByName(asked.select(*records.columns))
     return every.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))

@@ -137,6 +137,12 @@ def test_warc_magic_in_payloads(spark):
     assert got == {i: (len((h or "").encode()), "revisit" if i == 5 else "response", 1 if i == 5 else None) for i, _, h in rows}
 
 
+def test_warc_repeated_page_ids(spark):
+    rows = [(1, "u", "a"), (1, "u", "bb"), (1, "u", "ccc"), (2, "u", "a"), (3, "u", "bb"), (4, "u", "ccc")]
+    got = sorted((r.page_id, r.record_type, r.payload_bytes) for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "response", 1), (1, "response", 2), (1, "response", 3), (2, "revisit", 1), (3, "revisit", 2), (4, "revisit", 3)]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
