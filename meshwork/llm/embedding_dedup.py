@@ -245,7 +245,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     good = F.coalesce(F.col("__label").isNotNull() & F.col("__id").isNotNull() & sound, F.lit(False))
     base = base.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.col("__label"), v.cast("array<string>")), 256)))
     classes = base.where("key is not null").groupBy("key").agg(F.first("__label").alias("label"), F.first("__v").alias("v"), F.min("__id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes.withColumn("d", F.size("v")), "classes")
+    classes = written(classes.withColumn("d", F.size("v")).withColumn("num", F.monotonically_increasing_id()), "classes")  # num tells classes apart, ids may repeat
     per = classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("alike"))
     placed = classes.join(per, ["label", "d"]).withColumns({
         "shards": F.expr(f"1 + (alike - 1) div {SHARD_ROWS}"), "blocks": F.expr(f"1 + (alike - 1) div {BLOCK_ROWS}")})
@@ -254,7 +254,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[_order(pdf["key"])]
         graph = Hnsw(_unit(pdf["v"]))
-        data = pickle.dumps((graph, pdf["rep"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)), protocol=5)
+        data = pickle.dumps((graph, pdf["num"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)), protocol=5)
         return pd.DataFrame({"label": [key[0]], "d": [key[1]], "shard": [key[2]], "blocks": [int(pdf["blocks"].iloc[0])], "graph": [data]})
 
     graphs = written(placed.groupBy("label", "d", "shard").applyInPandas(build, "label string, d int, shard long, blocks long, graph binary"), "graphs")
@@ -263,17 +263,20 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
         if not len(queries) or not len(graph):
             return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "n": np.empty(0, np.int64)})
         shard, ids, weights = pickle.loads(graph["graph"].iloc[0])
-        return _query(shard, ids, weights, _unit(queries["v"]), queries["rep"].to_numpy(np.int64), threshold)
+        return _query(shard, ids, weights, _unit(queries["v"]), queries["num"].to_numpy(np.int64), threshold)
 
-    asked = placed.select("label", "d", "block", "rep", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = placed.select("label", "d", "block", "num", "v", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     offered = graphs.select("label", "d", "shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     keys = ["label", "d", "shard", "block"]
     found = written(asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(search, "u long, v long, n long"), "found")
     drop(graphs)
     links = found.where("v < 0").groupBy("u").agg(F.sum("n").alias("others"))
     comps = components(found.where("v >= 0").select("u", "v"))
-    table = classes.join(links, classes["rep"] == links["u"], "left").join(comps, classes["rep"] == comps["node"], "left")
-    table = written(table.select("key", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "rep").alias("component_id")), "table")
+    table = classes.select("key", "copies", "rep", "num").join(links, F.col("num") == links["u"], "left").join(comps, F.col("num") == comps["node"], "left")
+    table = written(table.select("key", "copies", "rep", "num", F.coalesce("others", F.lit(0)).alias("others"), "component"), "numbered")
+    named = table.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("members"))
+    table = lookup(table, "component", F.xxhash64("num"), named, "component", "members", table.count())
+    table = written(table.select("key", "copies", "others", F.coalesce("first", "rep").alias("component_id")), "table")
     total = base.count()
     out = lookup(base.select("__id", "key"), "key", F.xxhash64("__id"), table.withColumnRenamed("key", "k2"), "k2", "copies", total)
     linked = F.coalesce(F.col("others") + F.col("copies") - 1, F.lit(0)).cast("long")

@@ -106,6 +106,12 @@ def test_embeddings_of_several_lengths(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3), 6: (0, 6)}
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (2, [1.0, 0.05], 0), (1, [0.0, 1.0], 0), (3, [0.1, 1.0], 0), (0, [-1.0, 0.0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
 def test_audit_where_links_are_sparse():
     rng = np.random.default_rng(4)
     shard = embedding_dedup.Hnsw(embedding_dedup._unit(rng.normal(size=(600, 32))))
