@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from meshwork.plans.durable import written
 
 DIMS = 1 << 16
-MAX_TRAINING = 6_000  #: documents that the scorer is trained on: those of smallest id hash
+MAX_TRAINING = 6_000  #: default of quality's ``most``
 #: Frequent short words of English, French, German and Spanish.
 FUNCTION_WORDS = (
     "the of and to in is that for on with as are this by an be was from at or de la le les des et un une dans qui que pour pas sur au "
@@ -128,9 +128,11 @@ class Linear:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.w[at] @ v) + self.b))))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, most: int = MAX_TRAINING) -> DataFrame:
     """One row per row: id, weak (posterior of good from the votes), score (hashed linear scorer), keep (score >= threshold).
 
+    The scorer is trained on at most ``most`` documents, those of smallest id hash, whatever the corpus size, as they are
+    collected on the driver; votes are counted over all rows, and all rows are scored.
     Null texts count as empty. Rows with a null id are scored but never trained on. Repeated rows score alike; an empty
     table gives an empty result. Other columns are ignored.
     """
@@ -141,9 +143,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     patterns = np.array([[int(c) - 1 for c in r[0]] for r in found], int).reshape(-1, len(named))
     _, prior, post = em(patterns, np.array([r[1] for r in found]))
     weak = {r[0]: float(p) for r, p in zip(found, post, strict=True)}
-    chosen = voted.where("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(MAX_TRAINING)
+    chosen = voted.where("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    sample = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__votes").limit(2 * MAX_TRAINING).collect())
+    sample = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__votes").limit(2 * most).collect())
     model = Linear().fit([hashed(t) for _, t, _ in sample], np.array([weak[v] for _, _, v in sample]))
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.b))  # DIMS floats
 

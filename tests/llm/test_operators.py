@@ -163,3 +163,11 @@ def test_quality(spark):
     rows = quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert sum(r.keep == (r.quality == 1) for r in rows) >= 0.85 * len(rows)
     assert quality.quality(frame(spark)).count() == len(TEXTS)
+
+
+def test_quality_training_bound(spark, monkeypatch):
+    seen = []
+    fit = quality.Linear.fit
+    monkeypatch.setattr(quality.Linear, "fit", lambda self, rows, y: seen.append(len(rows)) or fit(self, rows, y))
+    df = frame(spark, [(i, f"w{i} " * (i + 1)) for i in range(30)])
+    assert quality.quality(df, most=7).count() == 30 and quality.quality(df).count() == 30 and seen == [7, 30]
