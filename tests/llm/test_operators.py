@@ -7,6 +7,7 @@ import numpy as np
 
 from meshwork.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, toxicity, warc
 from meshwork.llm.embedding_dedup import near_dedup
+from meshwork.llm.queries_native import OP8_SQL, op8_mixing
 
 TEXTS = [(1, "a  b\tc"), (2, "a b c"), (3, None), (4, ""), (5, "x " * 3000), (6, "a b c"), (6, "a b c"), (None, "a b c"), (7, "mit license " + "0" * 40)]
 
@@ -171,3 +172,14 @@ def test_quality_training_bound(spark, monkeypatch):
     monkeypatch.setattr(quality.Linear, "fit", lambda self, rows, y: seen.append(len(rows)) or fit(self, rows, y))
     df = frame(spark, [(i, f"w{i} " * (i + 1)) for i in range(30)])
     assert quality.quality(df, most=7).count() == 30 and quality.quality(df).count() == 30 and seen == [7, 30]
+
+
+def test_mixing_equals_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(OP8_SQL).fetchall())
+    got = sorted(tuple(r) for r in op8_mixing(spark, sf).select("doc_id", "size", "source_size", "target").collect())
+    assert len(got) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) <= 1e-9 * abs(b[3]) for a, b in zip(got, want, strict=True))
