@@ -1,7 +1,7 @@
 """Lineage cuts that survive the loss of executors.
 
 Everything here writes to the folder named by ``spark.checkpoint.dir``, which a cluster shares between
-the driver and all executors. Only where the session names none (tests, a laptop) a folder of our own is set.
+the driver and all executors. Only a local session that names none (tests, a laptop) gets one of our own.
 """
 
 from __future__ import annotations
@@ -12,17 +12,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
+#: Shuffle files of a finished write are deleted; the written table is read instead of them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; sets one on the context only if the session has none."""
+    """The shared folder: that of the session, else that of its context. Only a local master without either gets one of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    app = context.applicationId
     if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="meshwork-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
+        given = context.getCheckpointDir()
+        if given is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            given = "file://" + tempfile.mkdtemp(prefix="meshwork-")
+            context.setCheckpointDir(given)
+        _FALLBACK[app] = given.rstrip("/")
     return _FALLBACK[app]
 
 
@@ -35,7 +43,12 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back; the path is kept in ``.meshwork_path``."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.meshwork_path = path
     return out
