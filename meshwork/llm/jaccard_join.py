@@ -1,22 +1,27 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Sets whose sizes can match lie in one size band or in two adjacent ones; in each such pair of bands linked sets differ in
-at most k features. The feature domain is cut into ceil((k + 1) / 2) parts, one of which holds at most one difference;
-that part is cut into three, and the two thirds without the difference are equal: one signature for each choice of two.
-So linked sets share a signature, whatever else they hold, and only sets that share one are compared, exactly.
-
-Equal sets are one class. Inside a bucket of classes that share a signature, each is compared with the least class that
-is first in one of its buckets; then only classes that are still in different components meet. While such pairs are many,
-they meet pivot by pivot; once few are left, the members outside a bucket's largest component meet its other members.
-So a group of near copies costs about its size and not its square. A pair first meets the bound of its parity sketches: a
-sketch holds the parity of the set's members in each of 256 cells, two sketches differ in at most as many bits as the
-sets have differences, and so no link is lost where they differ in more bits than a link allows.
+at most k features. The feature domain is cut into floor(k / 2) + 1 parts, one of which holds at most one difference; that
+part is cut into three, and the two thirds without the difference are equal: one signature for each choice of two. So
+linked sets share a signature, whatever else they hold, and only sets that share one are compared.
+
+A signature of features that many documents hold (a passage, a footer) or of none says little. Where signatures are short,
+spare parts are added: then so many more parts hold at most one difference, and a set needs its weak signatures only if more
+parts than the spare ones are weak in it. The features that count as frequent only steer this; links don't depend on them.
+
+Equal sets are one class. Classes connected by signatures are a group, written as their differences from one member, the
+pivot. Those that link with the pivot need no comparison with each other. For the others a prefix filter on the differences,
+rarest in the group first, finds the pairs to compare: |A ^ B| is |a ^ b| of the differences a and b, so a link needs a
+certain overlap of a and b, and differences that nobody shares add nothing to it. Each first meets, for each difference in
+its prefix, the set nearest to the pivot; then only pairs that are still in different components meet. So a group of near
+copies costs about its size and not its square, though few of its pairs may link. Every pair found is compared exactly.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +36,16 @@ SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A table of ids up to this many rows (a few MB) may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
-#: Once the pairs of different components left in buckets are at most this many for each row, pivots no longer save anything.
-PAIRS_PER_MEMBER = 50
-#: Parity sketches are this many 64-bit words.
-SKETCH_WORDS = 4
-SKETCH = [f"p{i}" for i in range(SKETCH_WORDS)]
 #: Classes that a task remembers to have sent the signatures of (bounds memory only; sending them again does no harm).
 SEEN_CLASSES = 1_000_000
+#: Signatures and features that a task holds before it combines them (bounds memory only).
+HELD = 2_000_000
+#: Signatures of fewer features than this, on average, get spare parts.
+SHORT = 8
+#: Features held by so many classes of one task, and so many in all tasks that list them, are frequent; at most so many are kept.
+OFTEN_IN_TASK, OFTEN, FREQUENT = 4, 32, 500_000
+#: Members of a group that meet one copy of their pivot.
+SALT_ROWS = 1_000
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -102,7 +110,7 @@ class Bands:
     """Size bands for the link 100 * intersection >= percent * union, and the greatest difference in each pair of bands."""
 
     def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
+        self.percent, self.starts, self.plans = percent, [1], {}
 
     def of(self, size: int) -> int:
         while len(self.starts) < 3 or self.starts[-3] <= size:  # the start after the band's end is needed too
@@ -114,30 +122,48 @@ class Bands:
         low = self.starts[instance] - 1
         return (low + low * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
+    def plan(self, instance: int) -> tuple[int, int, int]:
+        """(parts, cuts of a part, spare parts). All but floor(k / 2) parts hold at most one difference, so one more than the spare ones."""
+        if instance not in self.plans:
+            k, spare = self.differences(instance), 0
+            least = k // 2 + 1
+            if least >= 8 and 2 * (self.starts[instance] - 1) < SHORT * 3 * least:
+                spare = math.ceil(0.1 * least + 2 * math.sqrt(0.1 * least))
+            self.plans[instance] = (least + spare, 3 if k else 1, spare)
+        return self.plans[instance]
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a sorted set, in the two instances that its band takes part in."""
+    @property
+    def short(self) -> bool:
+        """Whether any instance of large sets has spare parts."""
+        return 4 * self.percent < 3 * SHORT * (100 - self.percent)
+
+
+def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
+    """PartEnum signatures of a sorted set, in the two instances that its band takes part in; ``frequent`` is sorted."""
     band = bands.of(len(s))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s, 7), dtype=np.uint64)])
+    rare = np.ones(len(s), bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] != s
+    rare = np.concatenate([[0], np.cumsum(rare)])
     out = []
     for instance in (band, band + 1):
         if instance == 0:
             continue
-        k = bands.differences(instance)
-        first, third = ((k + 2) // 2, 3) if k else (1, 1)
-        cells = first * third
+        parts, cuts, spare = bands.plan(instance)
+        cells = parts * cuts
         # cells are equal ranges of the fingerprint space, so they are runs of the sorted set
         edges = (np.arange(1, cells, dtype=np.uint64) * np.uint64((2**64 - 1) // cells)) if cells > 1 else np.empty(0, np.uint64)
         cut = np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])
         cell = sums[cut[1:]] - sums[cut[:-1]]
-        count = np.diff(cut).astype(np.uint64)
         place = np.arange(cells, dtype=np.uint64)
-        value = _mix(cell + count * ODD + place, 11)
-        if third == 1:
-            sig = value
-        else:
-            v = value.reshape(first, 3)
-            sig = np.stack([v[:, [1, 2]].sum(1, dtype=np.uint64) + np.uint64(1), v[:, [0, 2]].sum(1, dtype=np.uint64) + np.uint64(2), v[:, [0, 1]].sum(1, dtype=np.uint64) + np.uint64(3)], 1).ravel()
+        sig = _mix(cell + np.diff(cut).astype(np.uint64) * ODD + place, 11)
+        if cuts == 3:
+            v = sig.reshape(parts, 3)
+            sig = np.stack([v[:, [1, 2]].sum(1, dtype=np.uint64) + np.uint64(1), v[:, [0, 2]].sum(1, dtype=np.uint64) + np.uint64(2), v[:, [0, 1]].sum(1, dtype=np.uint64) + np.uint64(3)], 1)
+            n = np.diff(rare[cut]).reshape(parts, 3)
+            weak = n.sum(1, keepdims=True) == n  # nothing but frequent features in the other two thirds
+            sig = sig[~weak] if spare and weak.any(1).sum() <= spare else sig.ravel()
         out.append(_mix(sig, 1000 + instance))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -166,193 +192,254 @@ def digests(sets: list[np.ndarray], seed: int) -> np.ndarray:
     return _mix(sums, seed + 100).view(np.int64)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity sketches, a row of SKETCH_WORDS words for each set."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cell = _mix(np.concatenate(sets), 31) >> np.uint64(64 - 6)
-    word = _mix(np.concatenate(sets), 32) % np.uint64(SKETCH_WORDS)
-    out = np.zeros(len(sets) * SKETCH_WORDS, np.uint64)
-    np.bitwise_xor.at(out, owner * SKETCH_WORDS + word.astype(np.int64), np.uint64(1) << cell)
-    return out.reshape(-1, SKETCH_WORDS).view(np.int64)
+class Held:
+    """How many classes of a task hold each feature, of those that count OFTEN_IN_TASK or more in one filling."""
+
+    def __init__(self):
+        self.parts, self.size, self.found, self.seen = [], 0, [], set()
+
+    def add(self, name: int, s: np.ndarray) -> None:
+        if name in self.seen:
+            return
+        if len(self.seen) < SEEN_CLASSES:
+            self.seen.add(name)
+        self.parts.append(s)
+        self.size += len(s)
+        if self.size >= HELD:
+            self.count()
 
+    def count(self) -> None:
+        if self.parts:
+            x, n = np.unique(np.concatenate(self.parts), return_counts=True)
+            self.found.append((x[n >= OFTEN_IN_TASK], n[n >= OFTEN_IN_TASK]))
+            self.parts, self.size = [], 0
 
-def fingerprint(rows: DataFrame, n: int) -> DataFrame:
-    """(__id, __text) to (__id, n_shingles, class, check, sketch words); class and check are 64-bit digests of the set."""
+
+def fingerprint(rows: DataFrame, n: int, counted: bool = False) -> DataFrame:
+    """(__id, __text) to (__id, n_shingles, class, check); class and check are 64-bit digests of the set.
+
+    With ``counted``, rows with n_shingles -1 follow: class is a feature that is frequent in the task, check its count there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
+        shingler, held, kind = Shingler(n), Held(), None
+        names = ["__id", "n_shingles", "class", "check"]
         for batch in batches:
+            kind = batch.schema.types[0]
             for start, part in _slices(batch.column(1).to_pylist()):
                 sets = shingler.sets(part)
-                words = [pa.array(np.ascontiguousarray(w)) for w in sketches(sets).T]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests(sets, 21)), pa.array(digests(sets, 22)), *words],
-                    ["__id", "n_shingles", "class", "check", *SKETCH],
-                )
+                named = digests(sets, 21)
+                if counted:
+                    for name, s in zip(named.tolist(), sets, strict=True):
+                        held.add(name, s)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array([len(s) for s in sets], pa.int64()), pa.array(named), pa.array(digests(sets, 22))], names)
+        held.count()
+        for x, c in held.found:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), pa.array(np.full(len(x), -1)), pa.array(x.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__id {kind}, n_shingles long, class long, check long, " + ", ".join(f"{p} long" for p in SKETCH))
+    return rows.mapInArrow(run, f"__id {kind}, n_shingles long, class long, check long")
 
 
-def signature_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """Texts (column __text) to (sig, class), a row for each signature."""
+def frequent_features(prints: DataFrame) -> np.ndarray:
+    """The most frequent features, at most FREQUENT of them (4 MB), sorted. They only make signatures stronger."""
+    top = prints.where("n_shingles < 0").groupBy("class").agg(F.sum("check").alias("n")).where(F.col("n") >= OFTEN)
+    found = [r[0] for r in top.orderBy(F.desc("n"), "class").limit(FREQUENT).select("class").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def signature_rows(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Texts (column __text) to (sig, class, mate): a signature's least class in a part of a task, and classes that share one there.
+
+    Signatures are combined where they are made, so a signature of very many classes sends a few rows of each task; rows
+    with a mate, which shares a signature with the class, have a signature of their own.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def combined(sigs: list, owners: list) -> Iterator[pa.RecordBatch]:
+        sig, own = np.concatenate(sigs), np.concatenate(owners)
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        least = own[np.flatnonzero(first)][np.cumsum(first) - 1]
+        pair = ~first & (own != least)
+        mates = np.unique(np.stack([own[pair], least[pair]], 1), axis=0)
+        alone = _mix(_mix(mates[:, 0].view(np.uint64), 41) + mates[:, 1].view(np.uint64), 42)
+        for a, b, c in ((sig[first], own[first], pa.nulls(int(first.sum()), pa.int64())), (alone, mates[:, 0], pa.array(np.ascontiguousarray(mates[:, 1])))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b)), c], ["sig", "class", "mate"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, bands, seen = Shingler(n), Bands(percent), set()
+        shingler, bands, seen, sigs, owners, size = Shingler(n), Bands(percent), set(), [], [], 0
         for batch in batches:
             for _, part in _slices(batch.column(0).to_pylist()):
                 sets = shingler.sets(part)
-                names, found = [], []
                 for name, s in zip(digests(sets, 21).tolist(), sets, strict=True):
                     if len(s) and name not in seen:
                         if len(seen) < SEEN_CLASSES:
                             seen.add(name)
-                        names.append(name)
-                        found.append(signatures(s, bands))
-                if found:
-                    own = np.repeat(np.array(names, np.int64), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(own)], ["sig", "class"])
+                        sigs.append(signatures(s, bands, shared.value))
+                        owners.append(np.full(len(sigs[-1]), name, np.int64))
+                        size += len(sigs[-1])
+                        if size >= HELD:
+                            yield from combined(sigs, owners)
+                            sigs, owners, size = [], [], 0
+        if size:
+            yield from combined(sigs, owners)
 
-    return rows.select("__text").mapInArrow(run, "sig long, class long")
+    return rows.select("__text").mapInArrow(run, "sig long, class long, mate long")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
-    """Texts (column __text) to (class, set)."""
+    """Texts (column __text) to (class, check, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
             for _, part in _slices(batch.column(0).to_pylist()):
                 sets = shingler.sets(part)
-                yield pa.RecordBatch.from_arrays([pa.array(digests(sets, 21)), _lists(sets)], ["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(sets, 21)), pa.array(digests(sets, 22)), _lists(sets)], ["class", "check", "set"])
 
-    return rows.select("__text").mapInArrow(run, "class long, set array<long>")
+    return rows.select("__text").mapInArrow(run, "class long, check long, set array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (u, v) of classes those that link, by exact comparison of their sets.
+def _most(sizes: Column, percent: int) -> Column:
+    """The greatest symmetric difference of linked sets whose sizes add up to ``sizes``."""
+    return F.floor(sizes * (100 - percent) / (100 + percent) + 1e-9).cast("long")
 
-    Up to BROADCAST_ROWS pairs their ids go to the sets, so that only the sets of these pairs are shuffled, and once.
+
+def differences(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(group, class) to (group, m, num, node, size, psize, a, linked, delta): each set's differences from its group's pivot.
+
+    The pivot is the least class of the group. Members meet it in portions of SALT_ROWS, so a group may be of any size.
+    ``node`` is class and check, which tell two sets of one class digest apart.
+    """
+    m = groups.groupBy("group").agg(F.count(F.lit(1)).alias("m")).withColumn("salts", F.expr(f"1 + m div {SALT_ROWS}"))
+    placed = written(groups.join(m, "group").withColumn("salt", F.pmod(F.xxhash64("class"), "salts")), "placed")
+    few = placed.count() <= BROADCAST_ROWS
+    near = lambda t: F.broadcast(t) if few else t
+    sets = texts(placed.select("class")).join(near(placed), "class")
+    tops = placed.where("class = group").select("class", "salts")
+    pivots = texts(tops.select("class")).join(near(tops), "class").groupBy("class").agg(F.min_by(F.struct("check", "set"), "check").alias("p"), F.first("salts").alias("salts"))
+    pivots = pivots.select(F.col("class").alias("group"), F.col("p.check").alias("pcheck"), F.col("p.set").alias("pset"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    both = sets.join(pivots, ["group", "salt"]).withColumn("delta", F.concat(F.array_except("set", "pset"), F.array_except("pset", "set")))
+    both = both.select("group", "m", F.struct("class", "check").alias("node"), F.struct(F.col("group").alias("class"), F.col("pcheck").alias("check")).alias("pivot"), F.size("set").cast("long").alias("size"), F.size("pset").cast("long").alias("psize"), F.size("delta").cast("long").alias("a"), "delta")
+    both = both.withColumn("linked", F.col("a") <= _most(F.col("size") + F.col("psize"), percent))
+    # of a group of two nothing is left to compare
+    out = written(both.withColumn("delta", F.when(F.col("m") > 2, F.col("delta"))).withColumn("num", F.monotonically_increasing_id()), "differences")
+    drop(placed)
+    return out
+
+
+def orders(diffs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups in which not all link with the pivot: their rows with k, the greatest difference that a link allows a set, and
+
+    (num, node, size, psize, a, k, linked, order, have): the differences that others in the group hold too, rarest first.
     """
-    a = sets.select(F.col("class").alias("u"), F.col("set").alias("a"))
-    b = sets.select(F.col("class").alias("v"), F.col("set").alias("b"))
+    mixed = diffs.where("m > 2").groupBy("group").agg(F.min("linked").alias("every")).where("not every").select("group")
+    rows = diffs.where("m > 2").join(mixed, "group", "left_semi").withColumn("k", _most(F.col("size") + F.floor(F.col("size") * 100 / percent), percent))
+    seen = rows.select("num", F.explode(F.transform("delta", lambda x: F.xxhash64("group", x))).alias("gx"))
+    held = seen.groupBy("gx").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = seen.join(held, "gx").groupBy("num").agg(F.array_sort(F.collect_list(F.struct("n", "gx"))).alias("order"))  # no longer than a set and its pivot's
+    kept = rows.select("num", "node", "size", "psize", "a", "k", "linked").join(listed, "num")
+    return rows, written(kept.select("*", F.transform("order", lambda x: x["gx"]).alias("gxs"), F.size("order").alias("have")).drop("order"), "orders")
+
+
+def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, opening: bool) -> DataFrame:
+    """(u, v) nums of sets of different components that don't both link with their group's pivot and may link with each other.
+
+    Linked A and B have |a & b| >= (|a| + |b| - k) / 2, where k = k(|A| + |B|) bounds |A ^ B|. If A doesn't link with the pivot:
+    either |a| + |b| <= k, and B is one of the few at so small a distance from the pivot; or a and b share so many differences
+    that the prefixes below, in the order of how many sets of the group hold a difference, share one. The opening takes for
+    each difference only the set nearest to the pivot that has it in its prefix.
+    """
+    far = F.greatest(F.lit(1), F.col("a") - F.col("k"))
+    half = F.ceil((F.col("a") * (100 + percent) + (F.col("psize") - F.col("size")) * (100 - percent)) / (2.0 * (100 + percent)) - 1e-9)
+    first = lambda least: F.posexplode(F.slice("gxs", 1, F.greatest(F.lit(0), F.col("have") - least + 1).cast("int")))
+    left = each.where("not linked").select(F.col("num").alias("l"), F.col("size").alias("ls"), F.col("a").alias("la"), F.col("component").alias("lc"), "have", first(far).alias("at", "gx"))
+    right = each.select(F.col("num").alias("r"), F.col("size").alias("rs"), F.col("a").alias("ra"), F.col("component").alias("rc"), "have", first(F.greatest(far, half)).alias("at", "gx"))
+    left, right = (t.withColumn(n, F.col("have") - F.col("at")).drop("have", "at") for t, n in ((left, "lrest"), (right, "rrest")))
+    limit = _most(F.col("ls") + F.col("rs"), percent)
+    # if this is the first difference that the two share, they share no more than either has from here on
+    enough = 2 * F.least("lrest", "rrest") >= F.col("la") + F.col("ra") - limit
+    fits = (F.least("ls", "rs") * 100 >= F.greatest("ls", "rs") * percent) & (F.abs(F.col("la") - F.col("ra")) <= limit) & (F.col("lc") != F.col("rc"))
+    if opening:
+        right = right.groupBy("gx").agg(F.min(F.struct("ra", "r", "rs", "rc", "rrest")).alias("x")).select("gx", "x.*")
+    both = left.join(right, "gx").where(fits & enough).select("l", "r")
+    if not opening:
+        close = rows.where("not linked and a <= k").select("group", F.col("num").alias("l"), F.col("size").alias("ls"), F.col("a").alias("la"), F.col("component").alias("lc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - F.col("a"))).alias("ra"))
+        small = rows.select("group", F.col("num").alias("r"), F.col("size").alias("rs"), F.col("a").alias("ra"), F.col("component").alias("rc"))
+        both = both.unionByName(close.join(small, ["group", "ra"]).where(fits & (F.col("la") + F.col("ra") <= limit)).select("l", "r"))
+    return both.select(F.least("l", "r").alias("u"), F.greatest("l", "r").alias("v")).distinct()
+
+
+def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
+    """(u, v) nodes that link, enough of them to connect all that links connect.
+
+    First those with the pivot; then those of the opening; then all pairs that are left between different components.
+    """
+    links = diffs.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    rows, each = orders(diffs, percent)
+    if each.where("not linked").isEmpty() and rows.where("not linked and a <= k").isEmpty():
+        return links
+    for opening in (True, False):
+        comps = written(components(links), "components")
+        of = lambda t: t.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: B023, E731
+        pairs = written(pairs_to_compare(of(rows), of(each), percent, opening), "pairs")
+        links = written(links.unionByName(_links(pairs, diffs, percent)), "links")
+        drop(pairs)
+    return links
+
+
+def _links(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v) of nums the nodes of those that link, by exact comparison of their differences.
+
+    Up to BROADCAST_ROWS pairs their ids go to the differences, so that only those of these pairs are shuffled.
+    """
+    a = diffs.select(F.col("num").alias("u"), F.col("node").alias("un"), F.col("size").alias("us"), F.col("delta").alias("ud"))
+    b = diffs.select(F.col("num").alias("v"), F.col("node").alias("vn"), F.col("size").alias("vs"), F.col("delta").alias("vd"))
     if pairs.count() <= BROADCAST_ROWS:
         b = b.join(F.broadcast(pairs.select("v").distinct()), "v", "left_semi")
         pairs = F.broadcast(pairs)
-    both = a.join(pairs, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    return both.where(F.col("shared") * 100 >= (F.size("a") + F.size("b") - F.col("shared")) * percent).select("u", "v")
-
-
-def _meet(pivots: DataFrame, members: DataFrame, percent: int, once: Column) -> DataFrame:
-    """Pairs u < v of a bucket's pivots with members of other components, of a size and a sketch that can match.
-
-    ``once``, of the pivot's ``r`` and the member's columns, tells the one of two meetings of a pair that counts.
-    """
-    pivots = pivots.select("bucket", F.col("class").alias("u"), F.col("rank").alias("r"), F.col("component").alias("c"), F.col("size").alias("s"), *[F.col(p).alias(f"u{p}") for p in SKETCH])
-    both = pivots.join(members, "bucket").where(once & (F.col("component") != F.col("c")))
-    both = both.where(F.least("size", "s") * 100 >= F.greatest("size", "s") * percent)
-    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"u{p}"))) for p in SKETCH), F.lit(0))
-    both = both.where(bits * (100 + percent) <= (F.col("size") + F.col("s")) * (100 - percent))
-    return both.select(F.least("u", "class").alias("u"), F.greatest("u", "class").alias("v")).distinct()
-
-
-def _pivot_pairs(state: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Members of rank low to high - 1 meet those of greater rank."""
-    return _meet(state.where((F.col("rank") >= low) & (F.col("rank") < high)), state, percent, F.col("rank") > F.col("r"))
-
-
-def _last_pairs(state: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components: one of the two is outside the bucket's largest component."""
-    sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("main"))
-    marked = state.join(largest, "bucket")
-    return _meet(marked.where("component <> main"), marked, percent, (F.col("component") == F.col("main")) | (F.col("rank") > F.col("r")))
-
-
-def _left(state: DataFrame) -> tuple[int, int]:
-    """Ordered pairs of different components in the buckets, and the greatest rank."""
-    sizes = state.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("r"))
-    each = sizes.groupBy("bucket").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("x"), F.max("r").alias("r"))
-    found = each.agg(F.sum("x"), F.max("r")).first()
-    return found[0] or 0, found[1] or 0
+    both = a.join(pairs, "u").join(b, "v").withColumn("apart", F.size("ud") + F.size("vd") - 2 * F.size(F.array_intersect("ud", "vd")))
+    return both.where(F.col("apart") <= _most(F.col("us") + F.col("vs"), percent)).select(F.col("un").alias("u"), F.col("vn").alias("v"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row: id, n_shingles, component_id.
 
     Sets are the distinct ``n``-word shingles; shorter texts are one shingle; null, empty and blank texts have none and link
-    with nothing. component_id is the smallest id reachable by links, the row's own id for sets that are empty. Rows that
-    repeat an id are compared each by its own text. Null ids take part, but name a component only if no other id is in it
-    (then it is null). Other columns are ignored; an empty table gives an empty result.
+    with nothing. Whole texts are taken, whatever their length. component_id is the smallest id reachable by links, the row's
+    own id for sets that are empty. Rows that repeat an id are compared each by its own text. Null ids take part, but name a
+    component only if no other id is in it (then it is null). Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    prints = written(fingerprint(rows, n), "prints")
-    named = prints.where("n_shingles > 0")
-    first = [F.min(c).alias(c) for c in SKETCH]
-    classes = written(named.groupBy("class").agg(
-        F.min("__id").alias("rep"), F.min("check").alias("check"), F.max("check").alias("check2"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies"), *first), "classes")
-    if not classes.where("check <> check2").isEmpty():
-        raise ValueError("two different sets share a 64-bit digest; take other seeds for the digests")
+    short = Bands(percent).short
+    every = written(fingerprint(rows, n, counted=short), "prints")
+    frequent = frequent_features(every) if short else np.empty(0, np.uint64)
+    prints = every.where("n_shingles >= 0")
+    classes = written(prints.where("n_shingles > 0").groupBy("class", "check").agg(F.min("__id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    few = classes.count() <= BROADCAST_ROWS
+
+    def of(chosen: DataFrame) -> DataFrame:
+        """Rows of the reps of classes; a rep may have other rows too."""
+        reps = classes.select("rep") if chosen is classes else chosen.join(classes, "class").select("rep")
+        reps = F.broadcast(reps) if few else reps
+        return rows.join(reps, rows["__id"].eqNullSafe(reps["rep"]), "left_semi")
+
     # one row of each class sends its signatures; beyond the bound all rows do, as a shuffle of the texts costs more
-    own = rows
-    if classes.count() <= BROADCAST_ROWS:
-        reps = F.broadcast(classes.select("rep"))
-        own = rows.join(reps, rows["__id"].eqNullSafe(reps["rep"]), "left_semi")
-    sig = Window.partitionBy("sig")
-    spread = signature_rows(own, n, percent).select(
-        "class", F.min("class").over(sig).alias("lo"), F.max("class").over(sig).alias("hi"), F.count(F.lit(1)).over(sig).alias("m"), F.expr("bit_xor(xxhash64(class))").over(sig).alias("x"))
-    # buckets with the same members are one bucket
-    joint = written(spread.where("lo < hi").select(F.xxhash64("lo", "hi", "m", "x").alias("bucket"), "class"), "joint")
-    members = joint.distinct().join(classes.select("class", "size", *SKETCH), "class")
-    members = written(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class"))), "members")
-    drop(joint)
-
-    # the texts of one row of each class that shares a signature
-    keys = written(classes.join(members.select("class").distinct(), "class").select("class", "rep"), "keys")
-    few = keys.count() <= BROADCAST_ROWS
-    near = lambda t: F.broadcast(t) if few else t
-    reps = near(keys.select("rep"))
-    sets = shingle_sets(rows.join(reps, rows["__id"].eqNullSafe(reps["rep"]), "left_semi"), n)
-    sets = written(sets.join(near(keys.select("class")), "class", "left_semi").dropDuplicates(["class"]), "sets")
-
-    state = members.withColumn("component", F.col("class"))
-    links = tested = comps = None
-    low, left, last, total, opening = 1, 0, False, prints.count(), True
-    top = members.agg(F.max("rank")).first()[0] or 0
-    while low < top:
-        high = 2 if low == 1 else 4 * low
-        pairs = _last_pairs(state, percent) if last else _pivot_pairs(state, low, high, percent)
-        if opening:
-            pairs = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(_links(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not new.isEmpty():  # without new links components, and so the buckets left, are as they were
-            links = new if links is None else links.unionByName(new)
-            comps = written(components(links), "components")
-            state = members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-            mixed = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-            state = written(state.join(mixed, "bucket", "left_semi"), "state")  # buckets of one component are done
-        if last:
-            break
-        before = None if opening else left
-        left, top = _left(state)
-        low, opening = 1 if opening else high, False  # the opening left out pairs of rank 1
-        # the end comes when little is left, or when a round of pivots did not halve it: then most of it doesn't link
-        last = left <= PAIRS_PER_MEMBER * total or (before is not None and 2 * left > before)
-    drop(sets)
-    classes = classes.select("class", "rep", "copies")
-    if comps is not None:
-        classes = classes.join(comps.withColumnRenamed("node", "class"), "class", "left")
-        groups = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))
-        classes = classes.join(groups, "component", "left").withColumn("component_id", F.coalesce("first", "rep"))
-    else:
-        classes = classes.withColumn("component_id", F.col("rep"))
-    table = written(classes.select("class", "copies", "component_id"), "named")
-    rows = prints.select("__id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
-    out = lookup(rows.withColumnRenamed("class", "__class"), "__class", F.xxhash64("__id"), table, "class", "copies", total)
+    sent = signature_rows(of(classes) if few else rows, n, percent, frequent)
+    met = sent.withColumn("least", F.min("class").over(Window.partitionBy("sig"))).where("mate is not null or least < class")
+    edges = written(met.select(F.col("class").alias("u"), F.coalesce("mate", "least").alias("v")).distinct(), "edges")
+    groups = written(components(edges).select(F.col("component").alias("group"), F.col("node").alias("class")), "groups")
+    diffs = differences(groups, lambda chosen: shingle_sets(of(chosen), n), percent)
+    comps = written(components(linked_pairs(diffs, percent)), "components")
+    drop(edges, groups, diffs)
+    classes = classes.withColumn("node", F.struct("class", "check")).join(comps, "node", "left")
+    named = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))
+    classes = classes.join(named, "component", "left").select(F.struct("class", "check").alias("node"), "copies", F.coalesce("first", "rep").alias("component_id"))
+    table = written(classes, "named")
+    keyed = prints.select("__id", "n_shingles", F.when(F.col("n_shingles") > 0, F.struct("class", "check")).alias("__class"))
+    out = lookup(keyed, "__class", F.xxhash64("__id"), table, "node", "copies", prints.count())
     return out.select(F.col("__id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("__id")).alias("component_id"))
 
 
