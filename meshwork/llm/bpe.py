@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED_SPACE = re.compile(r"\s (?!\S)")
 PLACE = (1 << 32) - 1
+RANK, DEAD = PLACE << 32, 1 << 63  #: a rank's bits, and the mark of a pair that doesn't merge
 CACHE_WORDS, CACHE_CHARS = 400_000, 48  #: words kept per process, and the longest word kept: bounds memory only
 SLICE_BYTES = 4 << 20  #: text encoded before its rows are handed on
 
@@ -51,6 +53,7 @@ class Codec:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        self.first_pairs = [self.merges.get(a << 32 | b, DEAD) for a in self.byte_ids for b in self.byte_ids]
         size = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
         self.strings: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -62,36 +65,46 @@ class Codec:
         self.find = regex.compile(PATTERN).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}  # words that no space starts
 
     def encode_word(self, word: str) -> bytes:
-        """Ids as packed 32-bit integers. A queue entry is rank << 32 | place; a pair's entry in ``merges`` is rank << 32 | id of the merged symbol."""
-        ids = list(map(self.byte_ids.__getitem__, word.encode("utf-8", "surrogatepass")))
-        n, merge = len(ids), self.merges.get
-        queue = [(m >> 32 << 32) | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := merge(a << 32 | b)) is not None]
+        """Ids as packed 32-bit integers. ``pair[i]`` is rank << 32 | merged id of the symbol at i and its successor, DEAD if they don't merge.
+
+        A queue entry is rank << 32 | place; it is stale unless the pair at its place still has its rank.
+        """
+        data = word.encode("utf-8", "surrogatepass")
+        ids = list(map(self.byte_ids.__getitem__, data))
+        first = self.first_pairs
+        pair = [first[a << 8 | b] for a, b in zip(data, data[1:])]
+        pair.append(DEAD)
+        queue = [m & RANK | i for i, m in enumerate(pair) if m != DEAD]
         if not queue:
             return array("i", ids).tobytes()
         heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, merge, n = heapq.heappop, heapq.heappush, self.merges.get, len(ids)
         nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
             entry = pop(queue)
             i = entry & PLACE
-            a, j = ids[i], nxt[i]
-            if a < 0 or j >= n:
-                continue  # stale: the symbol is gone, or nothing follows it
-            m = merge(a << 32 | ids[j])
-            if m is None or m >> 32 != entry >> 32:
-                continue  # stale: one of the two has merged since
+            m = pair[i]
+            if m ^ entry > PLACE:
+                continue  # stale: the symbol is gone, or one of the two has merged since
             ids[i] = merged = m & PLACE
-            ids[j] = -1
+            j = nxt[i]
+            ids[j], pair[j] = -1, DEAD
             nxt[i] = k = nxt[j]
             if k < n:
                 prev[k] = i
-                if (m := merge(merged << 32 | ids[k])) is not None:
-                    push(queue, (m >> 32 << 32) | i)
+                pair[i] = m = merge(merged << 32 | ids[k], DEAD)
+                if m != DEAD:
+                    push(queue, m & RANK | i)
+            else:
+                pair[i] = DEAD
             p = prev[i]
-            if p >= 0 and (m := merge(ids[p] << 32 | merged)) is not None:
-                push(queue, (m >> 32 << 32) | p)
+            if p >= 0:
+                pair[p] = m = merge(ids[p] << 32 | merged, DEAD)
+                if m != DEAD:
+                    push(queue, m & RANK | p)
         return array("i", [x for x in ids if x >= 0]).tobytes()
 
     def _keep(self, key: str, ids: bytes) -> bytes:
@@ -103,6 +116,20 @@ class Codec:
             self.young[key] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of the pattern, from the kept ones if it is there."""
+        if word[0] == " " and len(word) > 1:
+            chunk = word[1:]
+            return self.young.get(chunk) or (self._chunk(chunk) if chunk.isalpha() else self.encode_word(word))
+        ids = self.plain.get(word)
+        if ids is None:
+            ids = self.encode_word(word)
+            if len(word) <= CACHE_CHARS:
+                if len(self.plain) >= CACHE_WORDS // 4:
+                    self.plain.clear()
+                self.plain[word] = ids
+        return ids
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a space followed by ``chunk``, which holds no space."""
         ids = self.old.get(chunk)
@@ -113,7 +140,7 @@ class Codec:
         head, last = chunk[:-1], chunk[-1:]
         if last and last in ".,;:!?" and head.isalpha():
             return (self.young.get(head) or self._chunk(head)) + self.byte_words[ord(last)]
-        return self._keep(chunk, b"".join(map(self.encode_word, self.find(" " + chunk))))
+        return b"".join(map(self._word, self.find(" " + chunk)))
 
     def encode_packed(self, text: str) -> bytes:
         """Ids of a text, packed; strings of added tokens in the text become their ids.
@@ -126,10 +153,10 @@ class Codec:
             if part in self.added:
                 out.append(array("i", [self.added[part]]).tobytes())
             elif JOINED_SPACE.search(part):
-                out.extend(map(self.encode_word, self.find(part)))
+                out.extend(map(self._word, self.find(part)))
             else:
                 first, *rest = part.split(" ")
-                out.extend(map(self.encode_word, self.find(first)))
+                out.extend(map(self._word, self.find(first)))
                 chunk = self._chunk
                 for at in range(0, len(rest), 4096):  # the young generation may change
                     get = self.young.get
@@ -195,21 +222,27 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "token_ids", te
     shared = rows.sparkSession.sparkContext.broadcast(load(vocabulary_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = _codec(shared.value).strings
+        strings = pa.array(_codec(shared.value).strings, pa.large_binary())
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
-                lists = part.column(ids_col)
-                flat = [strings[i] for i in lists.flatten().to_pylist()]
-                out, at = [], 0
-                for n in pa.compute.list_value_length(lists).to_pylist():
-                    out.append(b"".join(flat[at : at + (n or 0)]).decode("utf-8", "replace"))
-                    at += n or 0
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, text_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column(ids_col), strings)], [*part.schema.names, text_col])
 
     return rows.mapInArrow(run, _schema(rows, text_col, "string"))
 
 
+def decoded(lists: pa.ListArray, strings: pa.LargeBinaryArray) -> pa.StringArray:
+    """Texts of lists of ids: the vocabulary strings of all lists side by side, cut where the lists end."""
+    data = strings.take(lists.flatten())  # flatten leaves out null lists
+    bounds = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(bounds[ends])), data.buffers()[2]])
+    try:
+        return texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # some bytes are no UTF-8
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
 def _schema(df: DataFrame, name: str, kind: str):
     from pyspark.sql.types import StructType, _parse_datatype_string
 
