@@ -6,9 +6,12 @@ often); ``ties``, the same without direction and loops; ``trade``, from the cust
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meshwork import specs
+from meshwork.errors import GraphError
 from meshwork.operators import centrality as C
 from meshwork.operators import paths as P
 from meshwork.operators import structure as S
@@ -338,48 +341,314 @@ def group_closeness(spark, sf):
     return _one(spark, value=round(C.group_closeness_centrality(handoff(spark, sf), PICK), 9))
 
 
+DP_SQL = """p(s, t, d, path) AS (SELECT id, id, 0.0::DOUBLE, [id] FROM n UNION ALL
+SELECT p.s, e.v, p.d + e.w, list_append(p.path, e.v) FROM p JOIN e ON e.u = p.t JOIN d ON d.s = p.s AND d.t = e.v AND d.d = p.d + e.w)"""
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {DW_SQL}, {DP_SQL}, k AS (SELECT s, t, count(*) AS k FROM p GROUP BY s, t),
+i AS (SELECT s, t, unnest(path[2:-2]) AS id FROM p WHERE len(path) > 2), b AS (SELECT id, sum(1.0 / k) AS x FROM i JOIN k USING (s, t) GROUP BY id)
+SELECT id AS name, round(coalesce(x, 0) / (((SELECT count(*) FROM n) - 1.0) * ((SELECT count(*) FROM n) - 2.0)), 9) AS value FROM n LEFT JOIN b USING (id)""")
 def betweenness_weighted(spark, sf):
-    return C.betweenness_centrality(handoff(spark, sf), True, True)
+    return C.betweenness_centrality(handoff(spark, sf), True, True).select("name", F.round("value", 9).alias("value"))
+
 
+@query(f"""WITH RECURSIVE {E_SQL}, {DW_SQL}, {DP_SQL} SELECT s AS source, t AS target, d AS distance, count(*) AS k FROM p
+WHERE t IS NOT NULL GROUP BY s, t, d HAVING count(*) FILTER (list_contains(path[2:-2], 3) AND len(path) > 2) > 0""")
+def paths_involving(spark, sf):
+    return P.get_all_shortest_paths_involving(handoff(spark, sf), 3, True).select("source", "target", "distance", F.size("paths").cast("long").alias("k"))
 
+
+@query(f"""WITH RECURSIVE {E_SQL}, {D0_SQL}, {G_SQL}, x AS (SELECT u, v FROM e WHERE u NOT IN {PICKED} AND v NOT IN {PICKED}),
+y(s, t, d, sig) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n WHERE id NOT IN {PICKED} UNION ALL SELECT y.s, x.v, y.d + 1, sum(y.sig) FROM y JOIN x ON x.u = y.t JOIN d ON d.s = y.s AND d.t = x.v AND d.d = y.d + 1 GROUP BY y.s, x.v, y.d + 1)
+SELECT round(sum(1 - coalesce(y.sig, 0) / g.sig) / (((SELECT count(*) FROM n) - 5.0) * ((SELECT count(*) FROM n) - 6.0)), 9) AS value
+FROM g LEFT JOIN y ON y.s = g.s AND y.t = g.t WHERE g.s <> g.t AND g.s NOT IN {PICKED} AND g.t NOT IN {PICKED}""")
 def group_betweenness(spark, sf):
-    return _one(spark, value=C.group_betweenness_centrality(handoff(spark, sf), PICK))
+    return _one(spark, value=round(C.group_betweenness_centrality(handoff(spark, sf), PICK), 9))
 
 
+@query(f"""WITH RECURSIVE {E_SQL}, r(i, id, x) AS (SELECT 0, id, 1.0::DOUBLE / (SELECT count(*) FROM n) FROM n UNION ALL
+SELECT i, id, y / sqrt(sum(y * y) OVER ()) FROM (SELECT max(i) + 1 AS i, id, sum(y) AS y FROM (SELECT i, id, x AS y FROM r UNION ALL SELECT r.i, e.v, e.w * r.x FROM r JOIN e ON e.u = r.id) GROUP BY id) WHERE i <= 60)
+SELECT id AS name, round(x, 4) AS value FROM r WHERE i = 60""")
 def eigenvector(spark, sf):
-    return C.eigenvector_centrality(handoff(spark, sf), True)
+    """Rounded to what the tolerance of the iteration leaves certain."""
+    return C.eigenvector_centrality(handoff(spark, sf), True, tolerance=1e-9).select("name", F.round("value", 4).alias("value"))
+
+
+def _partition_checks(spark, g, found):
+    """Whether the communities are a partition and better than one community, every node its own, and the components."""
+    every = g.nodes.select("name", F.lit(0).alias("community"))
+    q = S.modularity(g, found, True)
+    return _one(spark, partition=S.is_partition(g, found), better=bool(q > max(S.modularity(g, every, True), S.modularity(g, g.nodes.select("name", F.col("name").alias("community")), True), 0.0)))
 
 
+@query("SELECT true AS partition, true AS better")
 def louvain(spark, sf):
-    return C.louvain_communities(ties(spark, sf), True)
+    g = ties(spark, sf)
+    return _partition_checks(spark, g, C.louvain_communities(g, True))
 
 
+@query("SELECT true AS partition, true AS better")
+def louvain_partitions(spark, sf):
+    g = ties(spark, sf)
+    return _partition_checks(spark, g, C.louvain_partitions(g, True)[-1])
+
+
+@query("SELECT true AS partition, true AS better")
 def leiden(spark, sf):
-    return C.leiden(ties(spark, sf), True)
+    g = ties(spark, sf)
+    return _partition_checks(spark, g, C.leiden(g, True, resolution=1.0, seed=3))
+
 
+@query("SELECT true AS partition, true AS connected")
+def leiden_cpm(spark, sf):
+    """A partition whose communities are connected."""
+    g = ties(spark, sf)
+    found = checkpointed(C.leiden(g, True, quality="cpm", resolution=0.5, seed=3))
+    inner = g.edges.join(found.select(F.col("name").alias("u"), F.col("community").alias("cu")), "u").join(found.select(F.col("name").alias("v"), F.col("community").alias("cv")), "v").where("cu = cv")
+    parts = P.connected_components(Graph(g.nodes, inner.select(*g.edges.columns), g.specs)).join(found, "name")
+    return _one(spark, partition=S.is_partition(g, found), connected=parts.groupBy("community").agg(F.count_distinct("component").alias("k")).where("k > 1").isEmpty())
 
+
+@query(f"WITH {E_SQL} SELECT count(*) AS nodes, true AS even FROM n")
 def equal_partitions(spark, sf):
-    return P.bfs_equal_size_partitions(handoff(spark, sf), 4)
+    g = handoff(spark, sf)
+    sizes = P.bfs_equal_size_partitions(g, 4).groupBy("part").count()
+    n = g.number_of_nodes()
+    return sizes.agg(F.sum("count").alias("nodes"), (F.max("count") <= n // 4 + 1).alias("even"))
 
 
 def spectral_gap(spark, sf):
     return _one(spark, value=C.spectral_gap(ties(spark, sf), True))
 
 
+@query("SELECT 200::BIGINT AS nodes, 0::BIGINT AS bad, true AS likely, true AS again")
 def gnp(spark, sf):
-    return generators.fast_gnp_random_graph(spark, 200, 0.1, True, 7).edges.select("u", "v", "weight")
+    """The number of edges within five standard deviations, weights in [0, 1), no loop, no repeat, the same graph again."""
+    e = checkpointed(generators.fast_gnp_random_graph(spark, 200, 0.1, True, 7).edges)
+    m, mean, dev = e.count(), 200 * 199 * 0.1, (200 * 199 * 0.09) ** 0.5
+    same = generators.fast_gnp_random_graph(spark, 200, 0.1, True, 7).edges.select("u", "v", "weight").exceptAll(e.select("u", "v", "weight")).isEmpty()
+    ends = F.greatest(F.max("u"), F.max("v")) + 1
+    bad = e.where("u = v or weight < 0 or weight >= 1 or u < 0 or v < 0 or u > 199 or v > 199").count() + m - e.select("u", "v").distinct().count()
+    return e.agg(ends.cast("long").alias("nodes")).select("nodes", F.lit(bad).cast("long").alias("bad"), F.lit(abs(m - mean) <= 5 * dev).alias("likely"), F.lit(same).alias("again"))
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"({u}::INTEGER, {v}::INTEGER, {w}::DOUBLE)" for u, v, w in generators.KARATE) + ") t(u, v, weight)")
 def karate(spark, sf):
     return generators.karate_club_graph(spark).edges.select("u", "v", "weight")
 
 
+@query("SELECT a.i::INTEGER AS u, b.i::INTEGER AS v FROM range(50) a(i), range(50) b(i) WHERE a.i < b.i")
 def complete(spark, sf):
     return generators.complete_graph(spark, 50, False).edges.select("u", "v")
 
 
-for _f in (betweenness_weighted, group_betweenness, eigenvector, louvain, leiden, equal_partitions, spectral_gap, gnp, karate, complete):
-    QUERIES[_f.__name__] = _f
+QUERIES["spectral_gap"] = spectral_gap
+
+
+# ---- nodes, edges and lookups ----
+
+N_SQL = "x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id AS name FROM n)"
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT idx, name FROM x")
+def all_nodes(spark, sf):
+    return handoff(spark, sf).get_all_nodes()
+
+
+@query(f"WITH {E_SQL} SELECT id AS name FROM n")
+def all_node_names(spark, sf):
+    return handoff(spark, sf).get_all_node_names()
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e")
+def all_edges(spark, sf):
+    return handoff(spark, sf).get_all_edges().select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT idx, name FROM x WHERE name = 3")
+def node(spark, sf):
+    return handoff(spark, sf).get_node(3)
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT idx, name FROM x WHERE idx = 7")
+def node_by_index(spark, sf):
+    return handoff(spark, sf).get_node_by_index(7)
+
+
+@query(f"WITH {E_SQL} SELECT (SELECT count(*) FROM n WHERE id = 3) > 0 AS three, (SELECT count(*) FROM n WHERE id = -1) > 0 AS none, (SELECT count(*) FROM n WHERE id IN {PICKED}) = 5 AS picked, false AS more")
+def has_node(spark, sf):
+    g = handoff(spark, sf)
+    return _one(spark, three=g.has_node(3), none=g.has_node(-1), picked=g.has_nodes(PICK), more=g.has_nodes([*PICK, -1]))
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e WHERE u = 3 AND v = (SELECT min(v) FROM e WHERE u = 3)")
+def edge(spark, sf):
+    g = handoff(spark, sf)
+    return g.get_edge(3, g.edges.where("u = 3").agg(F.min("v")).first()[0]).select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT h.u, h.v, 1.0::DOUBLE AS weight FROM h WHERE u = 3 AND v = (SELECT min(v) FROM e WHERE u = 3)")
+def parallel_edges(spark, sf):
+    g = handoff_multi(spark, sf)
+    return g.get_edges(3, g.edges.where("u = 3").agg(F.min("v")).first()[0]).select("u", "v", "weight")
+
+
+for _name, _call, _sql in (
+    ("edges_for_node", lambda g: g.get_edges_for_node(3).select("u", "v", "weight"), "SELECT u, v, w AS weight FROM e WHERE u = 3 UNION ALL SELECT u, v, w FROM e WHERE v = 3"),
+    ("in_edges_for_node", lambda g: g.get_in_edges_for_node(3).select("u", "v", "weight"), "SELECT u, v, w AS weight FROM e WHERE v = 3"),
+    ("out_edges_for_node", lambda g: g.get_out_edges_for_node(3).select("u", "v", "weight"), "SELECT u, v, w AS weight FROM e WHERE u = 3"),
+    ("predecessor_nodes", lambda g: g.get_predecessor_nodes(3).select("idx", "name"), f"SELECT idx, name FROM ({{N}}) WHERE name IN (SELECT u FROM e WHERE v = 3)"),
+    ("predecessor_node_names", lambda g: g.get_predecessor_node_names(3), "SELECT DISTINCT u AS name FROM e WHERE v = 3"),
+    ("successor_nodes", lambda g: g.get_successor_nodes(3).select("idx", "name"), f"SELECT idx, name FROM ({{N}}) WHERE name IN (SELECT v FROM e WHERE u = 3)"),
+    ("successor_node_names", lambda g: g.get_successor_node_names(3), "SELECT DISTINCT v AS name FROM e WHERE u = 3"),
+    ("successors_or_neighbors", lambda g: g.get_successors_or_neighbors(3).select("name"), "SELECT DISTINCT v AS name FROM e WHERE u = 3"),
+):
+    QUERIES[_name] = lambda spark, sf, f=_call: f(handoff(spark, sf))
+    ORACLE[_name] = f"WITH {E_SQL} " + _sql.replace("{N}", "SELECT row_number() OVER (ORDER BY id) - 1 AS idx, id AS name FROM n")
+
+
+def _raises(f) -> str:
+    try:
+        f()
+    except GraphError as e:
+        return e.kind
+    return "fine"
+
+
+@query("""SELECT * FROM (VALUES ('ensure_directed', 'fine', 'WrongMethod'), ('ensure_undirected', 'WrongMethod', 'fine'), ('ensure_not_multi_edges', 'fine', 'fine'),
+('ensure_weighted', 'fine', 'EdgeWeightNotSpecified'), ('edges_have_weight', 'true', 'false')) t(guard, directed, undirected)""")
+def guards(spark, sf):
+    g, t = handoff(spark, sf), ties(spark, sf).set_all_edge_weights(float("nan"))
+    rows = [(k, _raises(getattr(g, k)), _raises(getattr(t, k))) for k in ("ensure_directed", "ensure_undirected", "ensure_not_multi_edges", "ensure_weighted")]
+    return spark.createDataFrame([*rows, ("edges_have_weight", str(g.edges_have_weight()).lower(), str(t.edges_have_weight()).lower())], "guard string, directed string, undirected string")
+
+
+@query("SELECT true AS mod5, false AS twice, false AS missing")
+def is_partition(spark, sf):
+    g = handoff(spark, sf)
+    c = g.nodes.select("name", (F.col("name") % 5).alias("community"))
+    return _one(spark, mod5=S.is_partition(g, c), twice=S.is_partition(g, c.unionByName(c.where("name = 3"))), missing=S.is_partition(g, c.where("name <> 3")))
+
+
+@query(f"""WITH {E_SQL} SELECT (SELECT count(*) FROM e WHERE u = 3) + (SELECT count(*) FROM e WHERE v = 3) AS degree, (SELECT count(*) FROM e WHERE v = 3) AS into, (SELECT count(*) FROM e WHERE u = 3) AS out,
+(SELECT sum(w) FROM e WHERE u = 3) + (SELECT sum(w) FROM e WHERE v = 3) AS w_degree, (SELECT sum(w) FROM e WHERE v = 3) AS w_into, (SELECT sum(w) FROM e WHERE u = 3) AS w_out""")
+def node_degrees(spark, sf):
+    g = handoff(spark, sf)
+    row = {"degree": g.get_node_degree(3), "into": g.get_node_in_degree(3), "out": g.get_node_out_degree(3)}
+    row |= {"w_degree": g.get_node_weighted_degree(3), "w_into": g.get_node_weighted_in_degree(3), "w_out": g.get_node_weighted_out_degree(3)}
+    return spark.createDataFrame([tuple(row.values())], "degree long, into long, out long, w_degree double, w_into double, w_out double")
+
+
+BOTH_SQL = OUT.format("{0}") + " UNION ALL " + IN.format("{0}") + " UNION ALL SELECT u AS id, 2 * {0} AS x FROM e WHERE u = v"
+for _name, _x, _method, _kind in (("degree_all_loops", "1", "get_degree_for_all_nodes", "BIGINT"), ("weighted_degree_all_loops", "w", "get_weighted_degree_for_all_nodes", "DOUBLE")):
+    QUERIES[_name] = lambda spark, sf, m=_method: getattr(handoff(spark, sf), m)(loops_count_both=True)
+    ORACLE[_name] = _degree_sql(BOTH_SQL.format(_x), _kind)
+
+
+@query(f"""WITH {E_SQL}, m AS (SELECT sum(w) AS m FROM e), f AS (SELECT u % 5 AS c, w AS d, CASE WHEN u % 5 = v % 5 THEN w ELSE 0 END AS l FROM e UNION ALL SELECT v % 5, w, 0 FROM e),
+g AS (SELECT c, sum(d) AS d, sum(l) AS l FROM f GROUP BY c) SELECT round(sum(l / m - (d / (2 * m)) ** 2), 9) AS modularity FROM g, m""")
+def community_modularity(spark, sf):
+    g = handoff(spark, sf)
+    return _one(spark, modularity=round(S.compute_modularity(g, g.nodes.select("name", (F.col("name") % 5).alias("community")), True), 9))
+
+
+@query(f"""WITH {T_SQL}, m AS (SELECT sum(w) AS m FROM t), f AS (SELECT u % 5 AS c, w AS d, CASE WHEN u % 5 = v % 5 THEN w ELSE 0 END AS l FROM t UNION ALL SELECT v % 5, w, 0 FROM t),
+g AS (SELECT c, sum(d) AS d, sum(l) AS l FROM f GROUP BY c) SELECT round(sum(l / m - 0.5 * (d / (2 * m)) ** 2), 9) AS modularity FROM g, m""")
+def modularity_undirected(spark, sf):
+    g = ties(spark, sf)
+    return _one(spark, modularity=round(S.modularity(g, g.nodes.select("name", (F.col("name") % 5).alias("community")), True, resolution=0.5), 9))
+
+
+@query(f"WITH {E_SQL}, {N_SQL} SELECT a.idx AS i, b.idx AS j, coalesce(w, 0) AS value FROM x a CROSS JOIN x b LEFT JOIN e ON e.u = a.name AND e.v = b.name")
+def adjacency_rows(spark, sf):
+    m = handoff(spark, sf).get_adjacency_matrix_vec_vec(True)
+    return m.select("i", F.posexplode("row").alias("j", "value")).select("i", F.col("j").cast("long").alias("j"), "value")
+
+
+for _name, _method in (("adjacency_vec", "get_adjacency_matrix_vec"), ("adjacency_ndarray", "get_adjacency_matrix_ndarray"), ("adjacency_nalgebra", "get_adjacency_matrix_nalgebra")):
+
+    def _dense(spark, sf, method=_method):
+        a = np.asarray(getattr(handoff(spark, sf), method)(True), float).reshape(-1)
+        n = int(len(a) ** 0.5)
+        a = a.reshape(n, n)
+        return spark.createDataFrame([(n, float(a.sum()), float(np.trace(a)), float((a * np.arange(1, n + 1)).sum()))], "n long, total double, trace double, by_column double")
+
+    QUERIES[_name] = _dense
+    ORACLE[_name] = f"WITH {E_SQL}, {N_SQL} SELECT (SELECT count(*) FROM n) AS n, sum(w) AS total, coalesce(sum(w) FILTER (u = v), 0) AS trace, sum(w * (x.idx + 1))::DOUBLE AS by_column FROM e JOIN x ON x.name = e.v"
+
+
+@query(f"WITH RECURSIVE {T_SQL}, r(s, t) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.s, s.b FROM r JOIN s ON s.a = r.t) SELECT count(DISTINCT c) AS components FROM (SELECT min(t) AS c FROM r GROUP BY s)")
+def component_count(spark, sf):
+    return spark.createDataFrame([(P.number_of_connected_components(ties(spark, sf)),)], "components long")
+
+
+@query(f"WITH RECURSIVE {T_SQL}, r(t) AS (SELECT 3::BIGINT UNION SELECT s.b FROM r JOIN s ON s.a = r.t) SELECT t AS name FROM r")
+def component_of_node(spark, sf):
+    return P.node_connected_component(ties(spark, sf), 3)
+
+
+@query(f"WITH {E_SQL} SELECT least(u, v) AS u, greatest(u, v) AS v, count(*) AS unweighted FROM e GROUP BY 1, 2")
+def to_undirected_none(spark, sf):
+    g = handoff(spark, sf)
+    both = g.edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("unweighted"))
+    return g.to_undirected(None).edges.where(F.isnan("weight")).select("u", "v").join(both, ["u", "v"])
+
+
+# ---- construction ----
+
+ADDED = [(3, 1000000001, 2.5), (1000000001, 1000000002, 0.5), (1000000002, 3, 4.0), (1000000001, 1000000002, 1.5)]
+_ADDED_SQL = "(VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT, {w}::DOUBLE, {k})" for k, (u, v, w) in enumerate(ADDED)) + ") t(u, v, w, k)"
+
+
+@query(f"WITH {E_SQL} SELECT u, v, w AS weight FROM e UNION ALL SELECT u, v, arg_max(w, k) FROM {_ADDED_SQL} GROUP BY u, v")
+def add_edges(spark, sf):
+    """Edges one by one, as rows and as tuples; the last of a repeated pair stays."""
+    from meshwork.functions import rows
+
+    g = handoff(spark, sf).add_edge_tuples_weighted(ADDED[:1]).add_edge(rows.edge(*ADDED[1]))
+    return g.add_edges([rows.reversed_edge(rows.edge(3, 1000000002, 4.0)), rows.ordered(rows.edge(1000000002, 1000000001, 1.5))]).edges.select("u", "v", "weight")
+
+
+@query(f"WITH {E_SQL} SELECT u, v, true AS weighted FROM e UNION ALL SELECT * FROM (VALUES (3::BIGINT, 1000000001::BIGINT, false), (3, 1000000002, false)) t(u, v, weighted)")
+def add_edge_tuples(spark, sf):
+    g = handoff(spark, sf).add_edge_tuple(3, 1000000001).add_edge_tuples([(3, 1000000002)])
+    return g.edges.select("u", "v", (~F.isnan("weight")).alias("weighted"))
+
+
+@query(f"WITH {E_SQL} SELECT id AS name, CASE WHEN id = 3 THEN 'red' END AS colour FROM n UNION ALL SELECT * FROM (VALUES (1000000001::BIGINT, NULL), (1000000002, 'blue')) t(name, colour)")
+def add_nodes(spark, sf):
+    """Nodes with and without attributes; a node that is there is given new ones."""
+    from meshwork.functions import rows
+
+    g = handoff(spark, sf).add_node(rows.node(1000000001)).add_nodes([rows.node(1000000002, {"colour": "blue"}), rows.node(3, {"colour": "green"})]).add_node((3, {"colour": "red"}))
+    return g.nodes.select("name", F.try_element_at("attributes", F.lit("colour")).alias("colour"))
+
+
+@query("""SELECT * FROM (VALUES ('directed', 'SelfLoopsFound', 'DuplicateEdge', 'NodeNotFound'), ('directed_create_missing', 'SelfLoopsFound', 'DuplicateEdge', 'fine'), ('undirected', 'SelfLoopsFound', 'DuplicateEdge', 'NodeNotFound'),
+('undirected_create_missing', 'SelfLoopsFound', 'DuplicateEdge', 'fine'), ('multi_directed', 'fine', 'fine', 'NodeNotFound'), ('multi_undirected', 'fine', 'fine', 'NodeNotFound')) t(preset, loop, twice, missing)""")
+def presets(spark, sf):
+    """What each preset makes of a loop, of a repeated pair and of an edge between unknown nodes."""
+    names = ("directed", "directed_create_missing", "undirected", "undirected_create_missing", "multi_directed", "multi_undirected")
+    kinds = ([(1, 1)], [(1, 2), (1, 2)], [(1, 9)])
+    build = lambda name, e: _raises(lambda: Graph.of(spark, getattr(specs, name)(), e, [1, 2], "long"))
+    return spark.createDataFrame([(x, *[build(x, e) for e in kinds]) for x in names], "preset string, loop string, twice string, missing string")
+
+
+@query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS edges, 0.0::DOUBLE AS density")
+def new_graph(spark, sf):
+    g = Graph.new(spark, specs.directed())
+    return spark.createDataFrame([(g.number_of_nodes(), g.number_of_edges(), g.get_density())], "nodes long, edges long, density double")
+
+
+@query(f"WITH {E_SQL} SELECT u::VARCHAR AS u, v::VARCHAR AS v, w AS weight FROM e WHERE u IN {PICKED} AND v IN {PICKED}")
+def graphml_string(spark, sf):
+    return graphml.read_graphml_string(spark, graphml.write_graphml_string(handoff(spark, sf).get_subgraph(PICK)), LOOSE).edges.select("u", "v", "weight")
+
+
+@query("SELECT true AS through, false AS ends, false AS beside")
+def path_through_node(spark, sf):
+    paths = spark.createDataFrame([([[1, 2, 3], [4, 5]],)], "paths array<array<long>>")
+    return paths.select(*[P.contains_path_through_node("paths", k).alias(c) for k, c in ((2, "through"), (1, "ends"), (5, "beside"))])
 
 
 @query(f"WITH {E_SQL} SELECT u::VARCHAR AS u, v::VARCHAR AS v, w AS weight FROM e")

@@ -29,6 +29,23 @@ def dense_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame
     return rows.join(F.broadcast(starts), "__p").withColumn(name, (F.col("__s") + F.col("__k").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__p", "__k", "__s")
 
 
+def _text(attributes: dict | None) -> dict | None:
+    return None if attributes is None else {str(k): None if v is None else str(v) for k, v in attributes.items()}
+
+
+def _node_rows(spark: SparkSession, nodes: list, kind: str) -> DataFrame:
+    rows = [(i, *((x[0], _text(x[1])) if isinstance(x, tuple) else (x, None))) for i, x in enumerate(nodes)]
+    given = any(r[2] is not None for r in rows) or any(isinstance(x, tuple) for x in nodes)
+    out = spark.createDataFrame(rows, f"seq long, name {kind}, attributes map<string,string>")
+    return out if given else out.drop("attributes")
+
+
+def _edge_rows(spark: SparkSession, edges: list, kind: str) -> DataFrame:
+    rows = [(i, x[0], x[1], float(x[2]) if len(x) > 2 else NAN, _text(x[3]) if len(x) > 3 else None) for i, x in enumerate(edges)]
+    out = spark.createDataFrame(rows, f"seq long, u {kind}, v {kind}, weight double, attributes map<string,string>")
+    return out if any(len(x) > 3 for x in edges) else out.drop("attributes")
+
+
 class Graph:
     def __init__(self, nodes: DataFrame, edges: DataFrame, specs: GraphSpecs):
         self.nodes, self.edges, self.specs = nodes, edges, specs
@@ -41,10 +58,8 @@ class Graph:
 
     @staticmethod
     def of(spark: SparkSession, specs: GraphSpecs, edges: list = (), nodes: list = (), kind: str = "string") -> Graph:
-        """From Python rows: edges (u, v[, weight]), nodes by name."""
-        e = [(i, x[0], x[1], float(x[2]) if len(x) > 2 else NAN) for i, x in enumerate(edges)]
-        n = [(i, x[0] if isinstance(x, tuple) else x) for i, x in enumerate(nodes)]
-        return Graph.build(spark.createDataFrame(n, f"seq long, name {kind}"), spark.createDataFrame(e, f"seq long, u {kind}, v {kind}, weight double"), specs)
+        """From Python rows: edges (u, v[, weight[, attributes]]), nodes by name or as (name, attributes); attributes are dicts."""
+        return Graph.build(_node_rows(spark, nodes, kind), _edge_rows(spark, edges, kind), specs)
 
     @staticmethod
     def build(nodes: DataFrame, edges: DataFrame, specs: GraphSpecs) -> Graph:
@@ -93,7 +108,7 @@ class Graph:
         every = listed.unionByName(ends, allowMissingColumns=True)
         agg = [F.min(F.struct("g", "s", "e")).alias("o")]
         if "attributes" in nodes.columns:
-            agg.append(F.max_by("attributes", F.when(F.col("g") == 0, F.col("s"))).alias("attributes"))
+            agg.append(F.max_by(F.struct("attributes"), F.when(F.col("g") == 0, F.col("s"))).getField("attributes").alias("attributes"))
         numbered = dense_index(every.groupBy("name").agg(*agg), ["o"]).drop("o")
         return Graph(numbered.select("idx", "name", *([F.col("attributes")] if "attributes" in nodes.columns else [])), edges, specs)
 
@@ -108,29 +123,33 @@ class Graph:
             edges = edges.unionByName(more_edges.withColumn("seq", F.col("seq") + top), allowMissingColumns=True)
         return Graph.build(nodes, edges, self.specs)
 
-    def add_nodes(self, names: list) -> Graph:
-        kind = self.nodes.schema["name"].dataType.simpleString()
-        return self._with(more_nodes=self.spark.createDataFrame([(i, n) for i, n in enumerate(names)], f"seq long, name {kind}"))
+    @property
+    def _kind(self) -> str:
+        return self.nodes.schema["name"].dataType.simpleString()
+
+    def add_nodes(self, nodes: list) -> Graph:
+        """Names or (name, attributes). A node that is there gets the attributes given, null if none are, and keeps its index."""
+        return self._with(more_nodes=_node_rows(self.spark, nodes, self._kind))
 
-    def add_node(self, name) -> Graph:
-        return self.add_nodes([name])
+    def add_node(self, node) -> Graph:
+        return self.add_nodes([node])
+
+    def add_edges(self, edges: list) -> Graph:
+        """Rows (u, v[, weight[, attributes]])."""
+        return self._with(more_edges=_edge_rows(self.spark, edges, self._kind))
+
+    def add_edge(self, edge: tuple) -> Graph:
+        return self.add_edges([edge])
 
     def add_edge_tuples_weighted(self, edges: list) -> Graph:
-        kind = self.nodes.schema["name"].dataType.simpleString()
-        return self._with(more_edges=self.spark.createDataFrame([(i, u, v, float(w)) for i, (u, v, w) in enumerate(edges)], f"seq long, u {kind}, v {kind}, weight double"))
+        return self.add_edges([(u, v, w) for u, v, w in edges])
 
     def add_edge_tuples(self, edges: list) -> Graph:
-        return self.add_edge_tuples_weighted([(u, v, NAN) for u, v in edges])
-
-    def add_edges(self, edges: list) -> Graph:
-        return self.add_edge_tuples_weighted([(e[0], e[1], e[2] if len(e) > 2 else NAN) for e in edges])
+        return self.add_edges([(u, v) for u, v in edges])
 
     def add_edge_tuple(self, u, v) -> Graph:
         return self.add_edge_tuples([(u, v)])
 
-    def add_edge(self, e: tuple) -> Graph:
-        return self.add_edges([e])
-
     # ---- derived frames ----
     @cached_property
     def pairs(self) -> DataFrame:
@@ -304,12 +323,18 @@ class Graph:
         sums = rows.groupBy("name").agg(F.sum("x").cast(kind).alias("value"))
         return self.nodes.select("name").join(sums, "name", "left").withColumn("value", F.coalesce("value", F.lit(0).cast(kind)))
 
-    def get_degree_for_all_nodes(self) -> DataFrame:
-        """A loop adds 2, in directed graphs too (one in, one out)."""
-        return self._per_node(["u", "v"], False)
+    def _ends(self, loops_count_both: bool) -> list:
+        """Both ends of an edge; with ``loops_count_both`` a directed loop is an in-edge and an out-edge, and each adds 2."""
+        if not (loops_count_both and self.specs.directed):
+            return ["u", "v"]
+        return ["u", "v", *[F.when(F.col("u") == F.col("v"), F.col(c)) for c in ("u", "v")]]
+
+    def get_degree_for_all_nodes(self, loops_count_both: bool = False) -> DataFrame:
+        """A loop adds 2, in directed graphs too (one in, one out); with ``loops_count_both`` a directed loop adds 4."""
+        return self._per_node(self._ends(loops_count_both), False)
 
-    def get_weighted_degree_for_all_nodes(self) -> DataFrame:
-        return self._per_node(["u", "v"], True)
+    def get_weighted_degree_for_all_nodes(self, loops_count_both: bool = False) -> DataFrame:
+        return self._per_node(self._ends(loops_count_both), True)
 
     def _directional(self, end: str, weighted: bool) -> DataFrame:
         self.ensure_directed()
@@ -335,8 +360,8 @@ class Graph:
         row = self.edges.select(F.explode(F.array(*ends)).alias("name"), what.alias("x")).where(F.col("name") == F.lit(name)).agg(F.sum("x")).first()[0]
         return (float if weighted else int)(row or 0)
 
-    def get_node_degree(self, name):
-        return self._one(name, ["u", "v"], False)
+    def get_node_degree(self, name, loops_count_both: bool = False):
+        return self._one(name, self._ends(loops_count_both), False)
 
     def get_node_in_degree(self, name):
         return self._one(name, ["v"], False)
@@ -344,8 +369,8 @@ class Graph:
     def get_node_out_degree(self, name):
         return self._one(name, ["u"], False)
 
-    def get_node_weighted_degree(self, name):
-        return self._one(name, ["u", "v"], True)
+    def get_node_weighted_degree(self, name, loops_count_both: bool = False):
+        return self._one(name, self._ends(loops_count_both), True)
 
     def get_node_weighted_in_degree(self, name):
         return self._one(name, ["v"], True)
