@@ -166,7 +166,9 @@ class Hnsw:
 
 
 def _unit(vectors) -> np.ndarray:
+    """Rows of unit length; scaled by their largest component first, so that squares neither overflow nor vanish."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -243,7 +245,7 @@ def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id",
     base = rows.select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).cast("array<double>").alias("__v"), F.col(label_col).cast("string").alias("__label"))
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0.0)
     good = F.coalesce(F.col("__label").isNotNull() & F.col("__id").isNotNull() & sound, F.lit(False))
-    base = base.withColumn("key", F.when(good, F.sha2(F.concat_ws(",", F.col("__label"), v.cast("array<string>")), 256)))
+    base = base.withColumn("key", F.when(good, F.sha2(F.concat(F.length("__label").cast("string"), F.lit(":"), F.col("__label"), F.concat_ws(",", v.cast("array<string>"))), 256)))
     classes = base.where("key is not null").groupBy("key").agg(F.first("__label").alias("label"), F.first("__v").alias("v"), F.min("__id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.withColumn("d", F.size("v")).withColumn("num", F.monotonically_increasing_id()), "classes")  # num tells classes apart, ids may repeat
     per = classes.groupBy("label", "d").agg(F.count(F.lit(1)).alias("alike"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels (fixed values of the contract).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Wordings of license notices, by label.
+#: Wordings of license notices and of whole licenses, by label (fixed values).
 TEMPLATES = (
     ("apache-notice", "licensed under the apache license version 2 0"),
     ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted"),
@@ -30,6 +30,46 @@ TEMPLATES = (
     ("gpl-notice", "this work is licensed under the gnu general public license version 3"),
     ("mit-notice", "released under the mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    (
+        "mit-whole",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to "
+        "do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or "
+        "implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action "
+        "of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd-2-whole",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+        "the following disclaimer in the documentation and or other materials provided with the distribution this software is provided "
+        "by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied "
+        "warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or "
+        "contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited "
+        "to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any "
+        "theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of "
+        "the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc-whole",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author "
+        "disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+        "event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting "
+        "from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+        "connection with the use or performance of this software",
+    ),
+    (
+        "apache-2-header",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you "
+        "may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in "
+        "writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
 )
 THRESHOLD = 0.8
 #: A window holds at most this many times the template's words.

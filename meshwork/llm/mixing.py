@@ -58,13 +58,13 @@ def mix(
     """Words that the mix takes of each row.
 
     Returns one row per input row: id, size, source_size, target, taken; with ``carry`` the row's own columns come along
-    in a struct ``row``. Null texts have size 0, null is a source of its own. Ties of the random key are broken by id,
+    in a struct ``row``. The random key is a hash of id and text, so rows without an id or with one id are spread too. Null texts have size 0, null is a source of its own. Ties of the random key are broken by id,
     size and a hash of the text; rows equal in all of these are interchangeable, so reruns agree. A source whose texts
-    are all empty has target 0. Empty tables give an empty result. Clashing column names of ``docs`` do no harm.
+    are all empty has target 0. Empty tables give an empty result. Clashing column names of ``docs`` do no harm; texts of any length are counted whole.
     """
     base = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 2).alias("key"), F.xxhash64(text_col).alias("tie"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)), 2).alias("key"), F.xxhash64(text_col).alias("tie"),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
     thin = written(base.select("id", "source", "size", "key", "tie"), "sizes")

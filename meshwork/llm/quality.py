@@ -133,7 +133,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     The scorer is trained on at most ``most`` documents, those of smallest id hash, whatever the corpus size, as they are
     collected on the driver; votes are counted over all rows, and all rows are scored.
-    Null texts count as empty. Rows with a null id are scored but never trained on. Repeated rows score alike; an empty
+    Null texts count as empty; texts of any length are read whole. Rows with a null id are scored but never trained on. Repeated rows score alike; an empty
     table gives an empty result. Other columns are ignored.
     """
     named = votes()
@@ -145,7 +145,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     weak = {r[0]: float(p) for r, p in zip(found, post, strict=True)}
     chosen = voted.where("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    sample = sorted(tuple(r) for r in texts.join(F.broadcast(chosen), "__id").select("__id", "__text", "__votes").limit(2 * most).collect())
+    both = texts.join(F.broadcast(chosen.distinct()), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__votes").limit(most)
+    sample = [tuple(r) for r in both.select("__id", "__text", "__votes").collect()]  # bounded by ``most``; ties by id, text hash and votes
     model = Linear().fit([hashed(t) for _, t, _ in sample], np.array([weak[v] for _, _, v in sample]))
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.b))  # DIMS floats
 

@@ -29,7 +29,8 @@ class Rule:
     least: int = 1
 
 
-#: Kinds in the order in which spans with one start are listed. The first three are the base.
+#: A text is passed once: what may come before a rule's fixed part is bounded, so that a long run isn't read from each of its
+#: places. Kinds in the order in which spans with one start are listed. The first three are the base.
 BASE_RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
@@ -39,8 +40,8 @@ OWN_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,400}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("url", r"[a-z][a-z0-9+.-]{0,30}://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@"),
 )
 RULES = BASE_RULES + OWN_RULES
 
@@ -163,7 +164,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     """Spans of secrets: id, spans array<struct<start, kind (place of the rule in ``rules``), end>> sorted.
 
     One row per input row. Null texts count as empty. Rows that share an id share candidacy, which only adds checks; rows
-    without an id are checked by every rule. Empty tables give an empty result; other columns are ignored.
+    without an id are checked by every rule. Texts of any length are read whole. Spans of one start are ordered by kind. Empty tables give an empty result; other columns are ignored.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     asked = {k: q for k, q in queries.items() if q is not None}

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 #: Bound of the labelled sample that is brought to the driver: by smallest hash of the id, whole texts.
 MAX_LABELLED = 10_000
 FOLDS = 3
-MAX_WORDS = 20_000  #: lexicon entries kept, strongest first
 WORD = re.compile(r"[^\W_]+(?:['’*@$#0-9][^\W_]+)*")
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", "'": "", "’": "", "#": ""})
@@ -74,7 +73,7 @@ def make_lexicon(clean: Counter, marked: Counter, n: list[int], least: int = 4,
         return math.log((marked[k] + 0.5) / (n[1] + 1)) - math.log((clean[k] + 0.5) / (n[0] + 1))
 
     scored = {k: odds(k) for k, c in marked.items() if c >= least}
-    top = sorted((k for k, v in scored.items() if v >= floor), key=lambda k: (-scored[k], k))[:MAX_WORDS]
+    top = sorted((k for k, v in scored.items() if v >= floor), key=lambda k: (-scored[k], k))
     is_affix = lambda k: k[0] == "^" or k[-1] == "$"
     return Lexicon({k: scored[k] for k in top if not is_affix(k)}, {k: scored[k] for k in top if is_affix(k)})
 
@@ -232,7 +231,7 @@ def fit_model(rows: list[tuple[str, str, int]]) -> Model:
     comes from trees that haven't seen it. Scoring uses the lexicon of all rows.
     """
     y = np.array([r[2] for r in rows], int)
-    if len(rows) < 20 or y.min() == y.max():
+    if not len(rows) or y.min() == y.max():
         return Model(Lexicon(), None, None, float(y.mean()) if len(rows) else 0.0)
     fold = np.array([zlib.crc32(f"fold{r[0]}".encode()) % FOLDS for r in rows])
     own = [document_counts([rows[i][1] for i in np.flatnonzero(fold == k)], y[fold == k].tolist()) for k in range(FOLDS)]
@@ -255,18 +254,22 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED) -> Model:
-    """Fit from labelled rows that aren't held out: the ``most`` of smallest id hash, classes as they come."""
+    """Fit from labelled rows that aren't held out: the ``most`` of smallest id hash, classes as they come.
+
+    Rows that repeat an id are rows of their own; ties of the id hash are broken by id, text hash and label, so reruns agree.
+    """
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     chosen = given.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").select(F.col("__id").cast("string"), "__text", "__y").limit(2 * most).collect()  # bounded by ``most``
+    rows = texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__y").limit(most)
+    rows = rows.select(F.col("__id").cast("string"), "__text", "__y").collect()  # bounded by ``most``
     return fit_model(sorted((r[0], r[1], r[2]) for r in rows))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 (a column of that name is replaced). Null texts score as empty ones."""
     docs = docs.drop(score_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_WORDS and the number of trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of the labelled sample and the number of trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,12 +283,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score_col, DoubleType()))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per row of ``docs``: id, held_out, score, predicted.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most: int = MAX_LABELLED) -> DataFrame:
+    """One row per row of ``docs``: id, held_out, score, predicted. ``most`` bounds the labelled rows that the model is fitted on.
 
-    Rows without an id count as not held out. Repeated rows score alike. An empty table, or one without labels, scores 0.
+    Rows without an id count as not held out. Repeated rows score alike, null texts as empty ones, and texts of any length are
+    scored whole. Without labels every row scores 0; with one class only, that class's rate. An empty table gives an empty
+    result. Columns other than the named ones are ignored.
     """
-    model = learn(docs, labels, id_col, text_col)
+    model = learn(docs, labels, id_col, text_col, most=most)
     scored = score(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), model, "__text", "__score").drop("__text")
     return scored.select(
         F.col("__id").alias(id_col), held_out("__id").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")

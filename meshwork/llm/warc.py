@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.plans.durable import checkpointed, new_path, written
+from meshwork.plans.skew import lookup
 
 MAGIC = "WARC/1.1\r\n"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Decisions on pages whose payload is repeated are broadcast up to this many, counted first; beyond it they are shuffled.
 BROADCAST_ROWS = 500_000
+#: Offsets of a file are cut into ranges of so many bytes, by which pieces meet the records that span them.
+RANGE_BYTES = 1 << 22
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -31,10 +34,13 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
     """(__id, __url, __html, digest, refers): refers is the page that a repeated payload revisits, else null."""
     rows = pages.select(F.col(id_col).alias("__id"), F.coalesce(F.col(url_col), F.lit("")).alias("__url"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     rows = rows.withColumn("key", F.sha2(F.col("__html").cast("binary"), 256)).withColumn("digest", base32_sha1(F.col("__html").cast("binary")))
-    repeated = rows.where(F.octet_length("__html") >= least).groupBy("key", "digest").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    repeated = written(repeated.select("key", "digest", "first"), "repeated")
+    repeated = rows.where(F.octet_length("__html") >= least).groupBy("key").agg(F.min("__id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    repeated = written(repeated, "repeated")
     few = repeated.count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(repeated) if few else repeated, ["key", "digest"], "left")
+    if few:
+        rows = rows.join(F.broadcast(repeated.drop("n")), "key", "left")
+    else:
+        rows = lookup(rows, "key", F.xxhash64("__id"), repeated, "key", "n", rows.count())
     return rows.withColumn("refers", F.when(~F.col("__id").eqNullSafe(F.col("first")), F.col("first")))
 
 
@@ -150,7 +156,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def _joined(spark: SparkSession, path: str, thin: DataFrame, split: DataFrame) -> DataFrame:
     """Records that hold magic: their pieces, by offset, joined with the magic between them. One record is one group."""
     span = split.select("file", F.col("at").alias("start"), (F.col("at") + len(MAGIC) + F.col("head_len") + F.col("size") + 4).alias("stop"))
-    parts = thin.select("file", "block", "nth", "at").join(span, "file").where("at >= start and at < stop")
+    span = span.withColumn("range", F.explode(F.sequence(F.expr(f"start div {RANGE_BYTES}"), F.expr(f"stop div {RANGE_BYTES}"))))
+    pieces = thin.where("at >= 0").select("file", "block", "nth", "at", F.expr(f"at div {RANGE_BYTES}").alias("range"))
+    parts = pieces.join(span, ["file", "range"]).where("at >= start and at < stop").drop("range")
     text = _pieces(spark, path).join(parts.select("block", "nth", "file", "at", "start"), ["file", "block", "nth"])
     glued = text.groupBy("file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     glued = glued.join(split.drop("bytes", "digest").withColumnRenamed("at", "start"), ["file", "start"])
@@ -162,7 +170,8 @@ def _joined(spark: SparkSession, path: str, thin: DataFrame, split: DataFrame) -
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` as WARC, read the archives back, and return one row per record.
 
-    id, payload_bytes, payload_digest (both of the full payload; a revisit's from the response it names, that of its
+    Payloads of any length are kept whole; null html counts as empty; an empty table gives an empty result; other columns are
+    ignored. id, payload_bytes, payload_digest (both of the full payload; a revisit's from the response it names, that of its
     digest if several have the id), record_type, refers_to. ``path`` defaults to a folder in the shared one.
     """
     spark = pages.sparkSession
@@ -171,7 +180,9 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     records = written(read_warc(spark, path), "records")
     kind = pages.schema[id_col].dataType
     answers = records.where("type = 'response' and id is not null").dropDuplicates(["id", "payload_digest"]).select(F.col("id").alias("rid"), F.col("payload_bytes").alias("rb"), F.col("payload_digest").alias("rd"))
-    asked = records.where("type = 'revisit'").join(answers, (F.col("refers_to") == F.col("rid")) & (F.col("said") == F.col("rd")), "left")
+    asked = records.where("type = 'revisit'").withColumn("ask", F.concat_ws(":", "said", "refers_to"))
+    answers = answers.withColumn("answer", F.concat_ws(":", "rd", "rid")).join(asked.groupBy(F.col("ask").alias("answer")).agg(F.count(F.lit(1)).alias("n")), "answer")
+    asked = lookup(asked, "ask", F.xxhash64("file", "at"), answers.select("answer", "rb", "rd", "n"), "answer", "n", asked.count())
     asked = asked.withColumn("payload_bytes", F.col("rb")).withColumn("payload_digest", F.col("rd"))
     every = records.where("type = 'response'").unionByName(asked.select(*records.columns))
     return every.select(F.col("id").cast(kind).alias(id_col), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))

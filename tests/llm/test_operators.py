@@ -183,3 +183,158 @@ def test_mixing_equals_sql(spark):
     want = sorted(con.execute(OP8_SQL).fetchall())
     got = sorted(tuple(r) for r in op8_mixing(spark, sf).select("doc_id", "size", "source_size", "target").collect())
     assert len(got) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) <= 1e-9 * abs(b[3]) for a, b in zip(got, want, strict=True))
+
+
+def test_license_scan_of_whole_licenses(spark):
+    for label, text in license_scan.TEMPLATES[6:]:
+        w = text.split()
+        wrapped = "\n * ".join(" ".join(w[i : i + 11]).upper() for i in range(0, len(w), 11))
+        got = license_scan.license_scan(frame(spark, [(1, "x y z\n" * 50 + wrapped + "\nint main() {}"), (2, " ".join(w[: len(w) // 3]))])).collect()
+        assert label in [b.label for b in got[0].blocks] and label not in [b.label for b in got[1].blocks]
+
+
+def test_embeddings_with_extreme_values_and_odd_labels(spark):
+    rows = [(1, [1e200, 1e200], "a"), (2, [1e200, 1.1e200], "a"), (3, [1e-200, 1e-200], "a"), (4, [1e-200, -1e-200], "a"), (5, [2.0], "b,1.0"), (6, [1.0, 2.0], "b")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>, label string, component_id string, __v int")
+    assert near_dedup(empty).count() == 0
+
+
+def test_beams_of_large_shards_equal_brute_force():
+    """Two shards of 10,000 vectors each: recall of the links that the beams find, as audited and as counted over all queries."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20_000, 24))
+    x[10_000:] = x[:10_000] + 0.12 * rng.normal(size=(10_000, 24))
+    x = embedding_dedup._unit(x[rng.permutation(len(x))])
+    found = 0
+    q = x[:1000]
+    truth = int((q @ x.T >= 0.93).sum()) - len(q)
+    for ids in np.array_split(np.arange(len(x)), 2):
+        shard = embedding_dedup.Hnsw(x[ids])
+        out = embedding_dedup._query(shard, ids, np.ones(len(ids), int), q, np.arange(1000), 0.93)
+        found += int(out.n[out.v < 0].sum())
+    assert truth > 200 and found >= 0.99 * truth
+
+
+def test_secret_scan_of_long_texts(spark):
+    import time
+
+    rows = [(1, "a" * 400_000 + " http://x"), (2, "b" * 300_000 + "://u:passw@h"), (3, "eyJ" * 100_000), (3, None), (3, "password=abcdefgh " * 2000)]
+    began = time.time()
+    got = sorted((r.doc_id, len(r.spans)) for r in secret_scan.secret_scan(frame(spark, rows)).collect())
+    assert got == [(1, 0), (2, 1), (3, 0), (3, 0), (3, 2000)] and time.time() - began < 60
+    assert secret_scan.secret_scan(frame(spark, []).limit(0)).count() == 0
+
+
+def test_mixing_equals_brute_force(spark):
+    """taken, from the random keys that Spark gives: each source's line of words is cut at its budget, epoch by epoch."""
+    from pyspark.sql import functions as F
+
+    rows = [(i % 50 if i % 9 else None, "w " * (i * 7 % 23)) for i in range(400)] + [(3, "same"), (3, "same"), (None, None)]
+    df = spark.createDataFrame([(i, t, ["a", "b", "c", None][k % 4]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    keyed = df.select("*", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")), 2).alias("key"), F.xxhash64("text").alias("tie")).collect()
+    size = lambda t: len((t or "").split())
+    budget = {r.source: int(r.target + 0.5) for r in mixing.mix(df, carry=True).select("row.source", "target").distinct().collect()}
+    want = []
+    for s in ("a", "b", "c", None):
+        of = sorted((r for r in keyed if r.source == s), key=lambda r: (r.key, r.doc_id is not None, r.doc_id or 0, size(r.text), r.tie))
+        total = sum(size(r.text) for r in of)
+        epochs, left = divmod(budget[s], total)
+        for r in of:
+            part = min(size(r.text), left)
+            left -= part
+            want.append((str(r.doc_id), size(r.text), epochs * size(r.text) + part))
+    got = [(str(r.doc_id), r["size"], r.taken) for r in mixing.mix(df, bucket_rows=16).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_trees_and_isotonic_equal_brute_force():
+    rng = np.random.default_rng(2)
+    x, noise = np.round(rng.random((300, 3)), 2), rng.random(300)
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 * noise > 0.8).astype(int)
+    trees = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    p = y.mean()
+    g, h = np.full(300, p) - y, np.full(300, p * (1 - p))
+    best = max(
+        (g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1), f, c)
+        for f in range(3) for c in trees.edges[f] for m in [x[:, f] <= c] if h[m].sum() >= 1 and h[~m].sum() >= 1
+    )
+    root = trees.trees[0][0]
+    m = x[:, root[0]] <= root[1]
+    assert abs(g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1) - best[0]) < 1e-9
+    s = trees.score(x)
+    assert np.allclose(s[m], trees.base - 0.15 * g[m].sum() / (h[m].sum() + 1)) and np.allclose(s[~m], trees.base - 0.15 * g[~m].sum() / (h[~m].sum() + 1))
+    full = toxicity.Trees().fit(x, y).score(x)
+    iso = toxicity.Isotonic().fit(full, y.astype(float))(np.sort(full))
+    assert (np.diff(iso) >= -1e-12).all() and abs(iso.mean() - p) < 0.05 and ((full > 0) == (y == 1)).mean() > 0.95
+
+
+def test_em_recovers_known_accuracies():
+    rng = np.random.default_rng(6)
+    good = rng.random(20_000) < 0.7
+    accuracy = np.array([0.9, 0.8, 0.75, 0.85])
+    right = rng.random((len(good), 4)) < accuracy
+    votes = np.where(right, good[:, None], ~good[:, None]).astype(int)
+    votes[rng.random(votes.shape) < 0.1] = -1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    prob, prior, post = quality.em(patterns, counts)
+    assert abs(prior - 0.7) < 0.03 and np.allclose(prob[1, :, 1], accuracy, atol=0.03) and np.allclose(prob[0, :, 0], accuracy, atol=0.05)
+    # posteriors by Bayes, pattern by pattern
+    for v, q in zip(patterns, post, strict=True):
+        one = prior * np.prod([prob[1, i, a] for i, a in enumerate(v) if a >= 0])
+        none = (1 - prior) * np.prod([prob[0, i, a] for i, a in enumerate(v) if a >= 0])
+        assert abs(one / (one + none) - q) < 1e-3
+
+
+def test_toxicity_of_few_and_odd_rows(spark):
+    docs = frame(spark, [(i, "you are a grumblefoot " * 3 if i % 2 else "a calm day in the park") for i in range(40)] + [(None, None), (7, ""), (8, "w " * 200_000)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs, labels, most=12).collect()
+    assert len(rows) == 43 and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+    few = spark.createDataFrame([(1, 1), (3, 1)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.toxicity(docs, few).collect()} == {1.0}
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """Near copies that mostly don't link with each other: exact components, and far fewer comparisons than pairs."""
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(0, 150))] = f"e{rng.integers(0, 40)}"
+        rows.append((k, " ".join(w)))
+    for n, percent in ((3, 90), (5, 80)):
+        sets = [{tuple(t.split()[i : i + n]) for i in range(151 - n)} for _, t in rows]
+        top = list(range(len(rows)))
+
+        def find(a, top=top):
+            while top[a] != a:
+                a = top[a]
+            return a
+
+        for a in range(len(rows)):
+            for b in range(a):
+                m = len(sets[a] & sets[b])
+                if 100 * m >= percent * (len(sets[a]) + len(sets[b]) - m):
+                    x, y = find(a), find(b)
+                    top[max(x, y)] = min(x, y)
+        got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(frame(spark, rows), n=n, percent=percent).collect()}
+        assert got == {i: find(i) for i in range(len(rows))}
+    assert jaccard_join.jaccard_join(frame(spark, []).limit(0)).count() == 0
+
+
+def test_warc_of_several_files_nulls_and_long_pages(spark):
+    long = "<p>" + "é" * 3_000_000 + warc.MAGIC + "x" * 100
+    rows = [(i, None if i % 3 else f"http://h/{i}", [None, "", "same", f"own {i}"][i % 4]) for i in range(60)] + [(100, "u", long), (101, "u", long), (None, "u", "same"), (None, None, "alone")]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id in (100, 101):
+            assert r.payload_bytes == len(long.encode()) and r.refers_to == (100 if r.page_id == 101 else None)
+        elif r.page_id is not None and r.page_id % 4 == 2:
+            assert r.payload_bytes == 4 and r.refers_to == (None if r.page_id == 2 else 2)
+    assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
