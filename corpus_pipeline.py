@@ -47,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: A learnt score, a random key and merges can't be told in SQL; no test holds the five stages against brute force yet.
+#: A learnt score, a random key and merges can't be told in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
