@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
+from functools import cached_property
 
 import numpy as np
 
 
+#: A move must gain more than this, so that rounding doesn't move nodes to and fro.
+GAIN = 1e-7
+
+
 class Csr:
     """Out-neighbours by node index."""
 
@@ -15,15 +19,24 @@ class Csr:
         self.n, self.dst, self.weight = n, dst[order].astype(np.int64), weight[order]
         self.start = np.searchsorted(src[order], np.arange(n + 1))
 
-    def lists(self) -> list[list[tuple[int, float]]]:
-        d, w, s = self.dst.tolist(), self.weight.tolist(), self.start.tolist()
-        return [list(zip(d[s[i] : s[i + 1]], w[s[i] : s[i + 1]], strict=True)) for i in range(self.n)]
+    @cached_property
+    def stride(self) -> float:
+        """How far beyond the nearest pending node a step of :func:`nearest` reaches: the mean weight."""
+        return float(self.weight.mean()) if len(self.weight) else 0.0
 
-    def out_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All edges out of the nodes: (position in ``nodes``, neighbour)."""
+    @cached_property
+    def src(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), np.diff(self.start))
+
+    def edges_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All edges out of the nodes: (position in ``nodes``, position in ``dst`` and ``weight``)."""
         first, count = self.start[nodes], self.start[nodes + 1] - self.start[nodes]
         at = np.repeat(np.arange(len(nodes)), count)
-        edge = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        return at, np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+    def out_of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All edges out of the nodes: (position in ``nodes``, neighbour)."""
+        at, edge = self.edges_of(nodes)
         return at, self.dst[edge]
 
 
@@ -47,102 +60,116 @@ def levels(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list]:
     return dist, sigma, steps
 
 
-def dijkstra(adj: list, s: int, n: int) -> tuple[list, list, list, list]:
-    """Distances, path counts, predecessors on shortest paths and settling order; weights are positive."""
-    dist, sigma, pred, order = [np.inf] * n, [0.0] * n, [[] for _ in range(n)], []
-    dist[s], sigma[s] = 0.0, 1.0
-    queue, done = [(0.0, s)], [False] * n
-    while queue:
-        d, u = heapq.heappop(queue)
-        if done[u]:
-            continue
-        done[u] = True
-        order.append(u)
-        for v, w in adj[u]:
-            x = d + w
-            if x < dist[v]:
-                dist[v], sigma[v], pred[v] = x, sigma[u], [u]
-                heapq.heappush(queue, (x, v))
-            elif x == dist[v] and not done[v]:
-                sigma[v] += sigma[u]
-                pred[v].append(u)
-    return dist, sigma, pred, order
+def nearest(g: Csr, s: int) -> np.ndarray:
+    """Weighted distances (inf: unreached), by steps over all pending nodes within a stride of the nearest; weights aren't negative."""
+    dist = np.full(g.n, np.inf)
+    dist[s] = 0.0
+    pending = np.array([s])
+    while len(pending):
+        d = dist[pending]
+        now = d <= d.min() + g.stride
+        at, edge = g.edges_of(pending[now])
+        to, far = g.dst[edge], d[now][at] + g.weight[edge]
+        less = far < dist[to]
+        to = to[less]
+        np.minimum.at(dist, to, far[less])
+        waits = np.zeros(g.n, bool)
+        waits[pending[~now]] = True
+        waits[to] = True
+        pending = np.flatnonzero(waits)
+    return dist
 
 
-def distances(g: Csr, adj: list | None, s: int) -> np.ndarray:
-    """From s; inf where unreached. ``adj`` is given for weighted runs."""
-    if adj is None:
-        d = levels(g, s)[0].astype(float)
-        return np.where(d < 0, np.inf, d)
-    return np.array(dijkstra(adj, s, g.n)[0])
+def tight_levels(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Weighted distances, numbers of shortest paths, and the edges on shortest paths in rounds (from, to); weights are positive.
+
+    A node's edges come in the round after the last one that reaches it.
+    """
+    dist = nearest(g, s)
+    on = np.flatnonzero((dist[g.src] + g.weight == dist[g.dst]) & np.isfinite(dist[g.src]))
+    src, to = g.src[on], g.dst[on]
+    start, waits, sigma = np.searchsorted(src, np.arange(g.n + 1)), np.bincount(to, minlength=g.n), np.zeros(g.n)
+    sigma[s], front, steps = 1.0, np.array([s]), []
+    while len(front):
+        first, count = start[front], start[front + 1] - start[front]
+        edge = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        if not len(edge):
+            break
+        a, b = src[edge], to[edge]
+        sigma += np.bincount(b, sigma[a], g.n)
+        waits -= np.bincount(b, minlength=g.n)
+        steps.append((a, b))
+        front = np.unique(b)
+        front = front[waits[front] == 0]
+    return dist, sigma, steps
 
 
-def dependencies(g: Csr, adj: list | None, s: int) -> np.ndarray:
+def distances(g: Csr, weighted: bool, s: int) -> np.ndarray:
+    """From s; inf where unreached."""
+    if weighted:
+        return nearest(g, s)
+    d = levels(g, s)[0].astype(float)
+    return np.where(d < 0, np.inf, d)
+
+
+def dependencies(g: Csr, weighted: bool, s: int) -> np.ndarray:
     """What the source adds to each node's betweenness."""
     delta = np.zeros(g.n)
-    if adj is None:
-        _, sigma, steps = levels(g, s)
-        for src, to in reversed(steps):
-            delta += np.bincount(src, sigma[src] / sigma[to] * (1 + delta[to]), g.n)
-    else:
-        _, sigma, pred, order = dijkstra(adj, s, g.n)
-        for w in reversed(order):
-            for v in pred[w]:
-                delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
+    _, sigma, steps = (tight_levels if weighted else levels)(g, s)
+    for src, to in reversed(steps):
+        delta += np.bincount(src, sigma[src] / sigma[to] * (1 + delta[to]), g.n)
     delta[s] = 0
     return delta
 
 
 def louvain(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float) -> np.ndarray:
-    """Labels by moving nodes, in index order, to the neighbour community of greatest gain, then merging; single precision."""
+    """Labels by moving nodes, in index order, to the neighbour community of greatest gain, then merging."""
     label = np.arange(n)
-    f = np.float32
-    edges: dict[tuple[int, int], np.float32] = {}
+    edges: dict[tuple[int, int], float] = {}
     for a, b, x in zip(u.tolist(), v.tolist(), w.tolist(), strict=True):
-        edges[a, b] = edges.get((a, b), f(0)) + f(x)
+        edges[a, b] = edges.get((a, b), 0.0) + x
         if a != b:
-            edges[b, a] = edges.get((b, a), f(0)) + f(x)
+            edges[b, a] = edges.get((b, a), 0.0) + x
     size = n
-    for _ in range(1000):
-        near: list[dict[int, np.float32]] = [{} for _ in range(size)]
-        degree = np.zeros(size, f)
+    while True:
+        near: list[dict[int, float]] = [{} for _ in range(size)]
+        degree = [0.0] * size
         for (a, b), x in edges.items():
-            degree[a] += x if a != b else f(2) * x
+            degree[a] += x if a != b else 2 * x
             if a != b:
                 near[a][b] = x
-        m = degree.sum(dtype=f)
+        m = sum(degree)
         if m == 0:
             break
-        com, total = list(range(size)), degree.copy()
-        moved_any = False
-        for _ in range(1000):
+        com, total, moved_any, moved = list(range(size)), list(degree), False, True
+        while moved:
             moved = False
             for i in range(size):
-                ties: dict[int, np.float32] = {}
+                ties: dict[int, float] = {}
                 for j, x in near[i].items():
-                    ties[com[j]] = ties.get(com[j], f(0)) + x
-                own = com[i]
-                total[own] -= degree[i]
-                gain = lambda c: f(2) * ties.get(c, f(0)) - f(2 * resolution) * degree[i] * total[c] / m  # noqa: B023, E731
-                best, top = own, gain(own)
+                    c = com[j]
+                    ties[c] = ties.get(c, 0.0) + x
+                own, k = com[i], degree[i]
+                total[own] -= k
+                cost = resolution * k / m
+                best, top = own, ties.get(own, 0.0) - cost * total[own]
                 for c in sorted(ties):
-                    if gain(c) > top + f(1e-7):
-                        best, top = c, gain(c)
-                total[best] += degree[i]
+                    gain = ties[c] - cost * total[c]
+                    if gain > top + GAIN:
+                        best, top = c, gain
+                total[best] += k
                 if best != own:
                     com[i], moved, moved_any = best, True, True
-            if not moved:
-                break
         if not moved_any:
             break
         names = {c: k for k, c in enumerate(sorted(set(com)))}
         com = np.array([names[c] for c in com])
         label = com[label]
-        merged: dict[tuple[int, int], np.float32] = {}
+        merged: dict[tuple[int, int], float] = {}
         for (a, b), x in edges.items():
             ca, cb = int(com[a]), int(com[b])
             # both directions of an inner edge are listed, so each counts half of a loop
-            merged[ca, cb] = merged.get((ca, cb), f(0)) + (x if ca != cb or a == b else x / f(2))
+            merged[ca, cb] = merged.get((ca, cb), 0.0) + (x if ca != cb or a == b else x / 2)
         edges, size = merged, len(names)
     return label
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from meshwork.errors import GraphError
 from meshwork.functions import kernels
 from meshwork.operators import paths as P
-from meshwork.operators.graph import Graph
+from meshwork.operators.graph import Graph, dense_index
+from meshwork.plans.components import components
 from meshwork.plans.durable import checkpointed
 
 
@@ -26,10 +27,10 @@ def closeness_centrality(g: Graph, weighted: bool = False, wf_improved: bool = T
     n = g.number_of_nodes()
     if P.small_enough(g):
 
-        def rows(c, adj, sources):
+        def rows(c, weighted, sources):
             out = []
             for s in sources:
-                d = kernels.distances(c, adj, s)
+                d = kernels.distances(c, weighted, s)
                 d = d[np.isfinite(d)]
                 out.append((s, len(d), d.sum()))
             return pd.DataFrame(out, columns=["idx", "r", "total"])
@@ -44,11 +45,11 @@ def closeness_centrality(g: Graph, weighted: bool = False, wf_improved: bool = T
 
 
 def _raw_betweenness(g: Graph, weighted: bool) -> DataFrame:
-    P.check_weights(g, weighted)
+    P.check_weights(g, weighted, positive=True)
     if P.small_enough(g):
 
-        def rows(c, adj, sources):
-            total = sum(kernels.dependencies(c, adj, s) for s in sources)
+        def rows(c, weighted, sources):
+            total = sum(kernels.dependencies(c, weighted, s) for s in sources)
             at = np.flatnonzero(total)
             return pd.DataFrame({"idx": at, "x": total[at]})
 
@@ -57,10 +58,10 @@ def _raw_betweenness(g: Graph, weighted: bool) -> DataFrame:
     return betweenness_rounds(g, weighted)
 
 
-def betweenness_rounds(g: Graph, weighted: bool) -> DataFrame:
-    """The same for graphs too large to broadcast, keyed by (source, node).
+def count_rounds(g: Graph, weighted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distances (source, target, distance), tight edges (source, a, b) and path counts (source, b, s), keyed by (source, node).
 
-    Path counts sum over numbers of edges along tight edges; dependencies are the sum of what each node sends back.
+    Path counts sum over numbers of edges along tight edges.
     """
     adj = g.unit_adj(weighted)
     dist = checkpointed(P.length_rounds(g, weighted, g.nodes))
@@ -71,7 +72,12 @@ def betweenness_rounds(g: Graph, weighted: bool) -> DataFrame:
     while not front.isEmpty():
         front = checkpointed(front.withColumnRenamed("b", "a").join(tight, ["source", "a"]).groupBy("source", "b").agg(F.sum("x").alias("x")))
         every = checkpointed(every.unionByName(front))
-    sigma = checkpointed(every.groupBy("source", "b").agg(F.sum("x").alias("s")))
+    return dist, tight, checkpointed(every.groupBy("source", "b").agg(F.sum("x").alias("s")))
+
+
+def betweenness_rounds(g: Graph, weighted: bool) -> DataFrame:
+    """The same for graphs too large to broadcast, keyed by (source, node): dependencies are the sum of what each node sends back."""
+    _, tight, sigma = count_rounds(g, weighted)
     share = tight.join(sigma.withColumnRenamed("s", "sb"), ["source", "b"]).join(sigma.select("source", F.col("b").alias("a"), F.col("s").alias("sa")), ["source", "a"])
     share = checkpointed(share.select("source", "a", "b", (F.col("sa") / F.col("sb")).alias("r")))
     front, total = sigma.select("source", "b", F.lit(1.0).alias("x")), None
@@ -163,18 +169,15 @@ def group_closeness_centrality(g: Graph, group, weighted: bool = False) -> float
 def _counts(g: Graph, weighted: bool) -> DataFrame:
     """(source, target, distance, sigma) of all reachable pairs."""
     if not P.small_enough(g):
-        raise GraphError("InvalidArgument", "the graph is too large for counting all shortest paths")
+        dist, _, sigma = count_rounds(g, weighted)
+        return dist.join(sigma.select("source", F.col("b").alias("target"), F.col("s").alias("sigma")), ["source", "target"])
 
-    def rows(c, adj, sources):
+    def rows(c, weighted, sources):
         out = []
         for s in sources:
-            if adj is None:
-                d, sigma, _ = kernels.levels(c, s)
-                d = np.where(d < 0, np.inf, d)
-            else:
-                d, sigma = (np.array(x) for x in kernels.dijkstra(adj, s, c.n)[:2])
-            at = np.flatnonzero(np.isfinite(d))
-            out.append((np.full(len(at), s), at, d[at], sigma[at]))
+            d, sigma, _ = (kernels.tight_levels if weighted else kernels.levels)(c, s)
+            at = np.flatnonzero(np.isfinite(d) & (d >= 0))
+            out.append((np.full(len(at), s), at, d[at].astype(float), sigma[at]))
         a, b, d, x = (np.concatenate(z) for z in zip(*out, strict=True))
         return pd.DataFrame({"s": a, "t": b, "distance": d, "sigma": x})
 
@@ -186,15 +189,13 @@ def _counts(g: Graph, weighted: bool) -> DataFrame:
 def group_betweenness_centrality(g: Graph, group, normalized: bool = True, endpoints: bool = False, weighted: bool = False) -> float:
     """Pairs outside the group: the share of their shortest paths that the group cuts, by comparing the graph with and without it."""
     g.ensure_not_multi_edges()
-    P.check_weights(g, weighted)
+    P.check_weights(g, weighted, positive=True)
     n = g.number_of_nodes()
     c = _group(g, group, n - 2)
     outside = lambda d: d.where(~F.col("source").isin(*c) & ~F.col("target").isin(*c) & (F.col("source") != F.col("target")))
     every = _counts(g, weighted)
     every = checkpointed(every)
     rest = g._induced(g.nodes.where(~F.col("name").isin(*c)))
-    from meshwork.operators.graph import dense_index
-
     rest = Graph(dense_index(rest.nodes.withColumnRenamed("idx", "old"), ["old"]).drop("old"), rest.edges, rest.specs)
     left = _counts(rest, weighted).select("source", "target", F.col("distance").alias("d2"), F.col("sigma").alias("s2"))
     both = outside(every).join(left, ["source", "target"], "left")
@@ -211,23 +212,96 @@ def group_betweenness_centrality(g: Graph, group, normalized: bool = True, endpo
 
 # ---- communities and resiliency ----
 
+#: Sweeps of a level without a better partition before it ends, and sweeps at most.
+PATIENCE, MAX_SWEEPS = 3, 60
+#: The spectral gap of a graph up to this many nodes comes from a dense matrix (32 MB at most), else from subspace iteration.
+DENSE_NODES = 2_000
+
 
 def _edge_arrays(g: Graph, weighted: bool):
-    if not P.small_enough(g):
-        raise GraphError("InvalidArgument", "each move depends on the one before, so the graph must fit in one task")
-    if weighted:
-        g.ensure_weighted()
+    """The edges by node index, on the driver; only after :func:`meshwork.operators.paths.small_enough`."""
     ids = g.nodes.select("idx", "name")
     rows = g.edges.withColumn("w", F.col("weight") if weighted else F.lit(1.0)).join(ids.select(F.col("idx").alias("i"), F.col("name").alias("u")), "u")
     t = rows.join(ids.select(F.col("idx").alias("j"), F.col("name").alias("v")), "v").orderBy("seq").select("i", "j", "w").toPandas()
     return g.number_of_nodes(), t["i"].to_numpy(np.int64), t["j"].to_numpy(np.int64), t["w"].to_numpy(float)
 
 
+def community_rounds(g: Graph, weighted: bool = False, quality: str = "modularity", resolution: float = 1.0, connected: bool = False) -> DataFrame:
+    """(name, community) for graphs of any size: rounds in which half of the nodes, by hash, move at once, then a merge of communities.
+
+    A node moves to the neighbour community c of greatest gain w(node, c) - cost * mass(node) * mass(c); mass is the degree and
+    cost resolution / 2m for modularity, the number of nodes and the resolution for cpm. A level ends when PATIENCE sweeps bring
+    no better partition, and the best one is merged. With ``connected``, communities are split into their connected parts first.
+    """
+    ids = g.nodes.select(F.col("idx").alias("n"), "name")
+    e = g.edges.withColumn("w", F.col("weight") if weighted else F.lit(1.0)).join(ids.select(F.col("n").alias("a"), F.col("name").alias("u")), "u").join(ids.select(F.col("n").alias("b"), F.col("name").alias("v")), "v")
+    two = e.select("a", "b", "w").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))  # a loop counts twice, as in degrees
+    adj = checkpointed(two.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    total = adj.agg(F.sum("w")).first()[0]
+    flat = checkpointed(ids.select("n", F.col("n").alias("top")))  # node and its present vertex
+    if not total:
+        return ids.join(flat, "n").select("name", F.col("top").alias("community"))
+    cost = resolution / total if quality == "modularity" else resolution
+    if quality == "modularity":
+        mass = adj.groupBy(F.col("a").alias("n")).agg(F.sum("w").alias("mass"))
+        mass = ids.select("n").join(mass, "n", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    else:
+        mass = ids.select("n", F.lit(1.0).alias("mass"))
+    mass = checkpointed(mass)
+
+    def value(state: DataFrame) -> float:
+        """Twice the sum over communities of inner weight less half the cost of their mass squared."""
+        c = state.select("n", "c")
+        inner = adj.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0
+        return inner - cost * state.groupBy("c").agg(F.sum("mass").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()[0]
+
+    while True:
+        state = best = checkpointed(mass.withColumn("c", F.col("n")))
+        top = start = value(state)
+        idle = 0
+        for sweep in range(MAX_SWEEPS):
+            masses = state.groupBy("c").agg(F.sum("mass").alias("cm"))
+            ties = adj.where("a <> b").join(state.select(F.col("n").alias("b"), "c"), "b").groupBy(F.col("a").alias("n"), "c").agg(F.sum("w").alias("w"))
+            own = state.select("n", "c", F.lit(0.0).alias("w"))
+            options = ties.unionByName(own).groupBy("n", "c").agg(F.sum("w").alias("w")).join(masses, "c").join(state.select("n", "mass", F.col("c").alias("c0")), "n")
+            gain = F.col("w") - cost * F.col("mass") * (F.col("cm") - F.when(F.col("c") == F.col("c0"), F.col("mass")).otherwise(0.0))
+            options = options.withColumn("gain", gain + F.when(F.col("c") == F.col("c0"), 1e-12).otherwise(0.0))
+            picked = options.groupBy("n", "mass", "c0").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("x"))
+            turn = F.pmod(F.xxhash64("n", F.lit(sweep)), F.lit(2)) == 0
+            state = checkpointed(picked.select("n", "mass", F.when(turn, -F.col("x.c")).otherwise(F.col("c0")).alias("c")))
+            now = value(state)
+            if now > top + 1e-9 * abs(total):
+                best, top, idle = state, now, 0
+            else:
+                idle += 1
+                if idle >= PATIENCE:
+                    break
+        if top <= start + 1e-9 * abs(total):
+            break
+        if connected:
+            c = best.select("n", "c")
+            inner = adj.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb and a <> b")
+            parts = components(inner.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            best = checkpointed(best.join(parts.withColumnRenamed("node", "n"), "n", "left").select("n", "mass", F.coalesce("component", "n").alias("c")))
+        c = best.select("n", "c")
+        flat = checkpointed(flat.join(c.select(F.col("n").alias("top"), "c"), "top").select("n", F.col("c").alias("top")))
+        adj = checkpointed(adj.join(c.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(c.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
+        mass = checkpointed(best.groupBy(F.col("c").alias("n")).agg(F.sum("mass").alias("mass")))
+    return ids.join(flat, "n").select("name", F.col("top").alias("community"))
+
+
 def louvain_communities(g: Graph, weighted: bool = False, resolution: float = 1.0, threshold: float | None = None, seed: int | None = None) -> DataFrame:
-    """(name, community). Directed edges count as undirected. threshold and seed are accepted; moves go in index order."""
-    n, u, v, w = _edge_arrays(g, weighted)
-    if n == 0:
+    """(name, community). Directed edges count as undirected. threshold and seed are accepted; moves go in index order.
+
+    A graph too large for one task goes by :func:`community_rounds`.
+    """
+    if weighted:
+        g.ensure_weighted()
+    if g.nodes.isEmpty():
         raise GraphError("NoPartitions", "the graph is empty")
+    if not P.small_enough(g):
+        return community_rounds(g, weighted, "modularity", resolution)
+    n, u, v, w = _edge_arrays(g, weighted)
     return P.labelled(g, kernels.louvain(n, u, v, w, resolution), "community")
 
 
@@ -237,18 +311,58 @@ def louvain_partitions(g: Graph, weighted: bool = False, **options) -> list[Data
 
 
 def leiden(g: Graph, weighted: bool = False, quality: str = "modularity", resolution: float = 0.25, theta: float = 0.3, gamma: float = 0.05, seed: int = 0) -> DataFrame:
-    """(name, community); ``quality`` is modularity or cpm."""
+    """(name, community); ``quality`` is modularity or cpm.
+
+    A graph too large for one task goes by :func:`community_rounds`, whose communities are connected too.
+    """
     g.ensure_undirected()
     if quality not in ("modularity", "cpm"):
         raise GraphError("InvalidArgument", "quality is modularity or cpm")
+    if weighted:
+        g.ensure_weighted()
+    if not P.small_enough(g):
+        return community_rounds(g, weighted, quality, resolution, connected=True)
     n, u, v, w = _edge_arrays(g, weighted)
     return P.labelled(g, kernels.leiden(n, u, v, w, quality, resolution, theta, gamma, seed), "community")
 
 
 def spectral_gap(g: Graph, weighted: bool = False) -> float:
-    """Difference of the two largest eigenvalues of the adjacency matrix, held as one dense matrix."""
+    """Difference of the two largest eigenvalues of the adjacency matrix."""
     g.ensure_undirected()
-    if g.number_of_nodes() < 2:
+    n = g.number_of_nodes()
+    if n < 2:
         raise GraphError("LaPackError", "a gap needs two nodes")
+    if n > DENSE_NODES:
+        return gap_rounds(g, weighted)
     values = np.linalg.eigvalsh(g.get_adjacency_matrix_ndarray(weighted), UPLO="L")
     return float(values[-1] - values[-2])
+
+
+def gap_rounds(g: Graph, weighted: bool = False, vectors: int = 6, max_iter: int = 300, tolerance: float = 1e-7) -> float:
+    """The same by subspace iteration: the vectors are columns of a frame, one join a round; only small Gram matrices reach the driver.
+
+    The matrix is shifted by its greatest row sum, so its greatest eigenvalues are those of greatest size.
+    """
+    adj = checkpointed(g.unit_adj(weighted).select("src", F.col("dst").alias("name"), F.col("weight").alias("w")))
+    shift = adj.groupBy("name").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0
+    xs = [f"x{i}" for i in range(vectors)]
+    k = min(vectors, g.number_of_nodes())
+    xs = xs[:k]
+    x = checkpointed(g.nodes.select("name", *[(F.shiftrightunsigned(F.xxhash64("name", F.lit(i)), 11) / float(1 << 53) - 0.5).alias(c) for i, c in enumerate(xs)]))
+    before = None
+    for _ in range(max_iter):
+        sent = adj.join(x.withColumnRenamed("name", "src"), "src").select("name", *[(F.col("w") * F.col(c)).alias(f"y_{c}") for c in xs])
+        summed = sent.groupBy("name").agg(*[F.sum(f"y_{c}").alias(f"y_{c}") for c in xs])
+        both = checkpointed(x.join(summed, "name", "left").select("name", *xs, *[(F.coalesce(f"y_{c}", F.lit(0.0)) + shift * F.col(c)).alias(f"y_{c}") for c in xs]))
+        row = both.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs)], *[F.sum(F.col(a) * F.col(f"y_{b}")).alias(f"h{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs)],
+                       *[F.sum(F.col(f"y_{a}") * F.col(f"y_{b}")).alias(f"z{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs)]).first()
+        gram, ritz, new = (np.array([[row[f"{p}{i}_{j}"] for j in range(k)] for i in range(k)]) for p in "ghz")
+        half = np.linalg.inv(np.linalg.cholesky(gram))
+        values = np.linalg.eigvalsh(half @ ((ritz + ritz.T) / 2) @ half.T)
+        gap = float(values[-1] - values[-2])
+        if before is not None and abs(gap - before) <= tolerance * max(1.0, abs(values[-1] - shift)):
+            return gap
+        before = gap
+        turn = np.linalg.inv(np.linalg.cholesky((new + new.T) / 2)).T  # columns of the products made orthonormal
+        x = both.select("name", *[sum((F.col(f"y_{a}") * float(turn[i, j]) for i, a in enumerate(xs)), F.lit(0.0)).alias(b) for j, b in enumerate(xs)])
+    raise GraphError("PowerIterationFailedConvergence", f"not within {max_iter} iterations")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +11,13 @@ from pyspark.sql import functions as F
 
 from meshwork.errors import GraphError
 from meshwork.functions import kernels
-from meshwork.operators.graph import Graph
+from meshwork.operators.graph import Graph, dense_index
 from meshwork.plans.components import components
 from meshwork.plans.durable import checkpointed
 
 #: A graph up to this many adjacency rows is broadcast to the kernels (16 bytes a row); the count is taken first. Larger ones
 #: go by DataFrame rounds keyed by (source, node).
 KERNEL_EDGES = 20_000_000
-MAX_ROUNDS = 100_000
 
 
 def breadth_first_search(g: Graph, start) -> DataFrame:
@@ -121,33 +119,36 @@ def csr(g: Graph, weighted: bool, reverse: bool = False) -> kernels.Csr:
     return kernels.Csr(g.number_of_nodes(), j if reverse else i, i if reverse else j, t["weight"].to_numpy(float))
 
 
-def check_weights(g: Graph, weighted: bool) -> None:
+def check_weights(g: Graph, weighted: bool, positive: bool = False) -> None:
+    """Weights must be there and not negative; where paths are counted they must be positive, as a path may go round a cycle of zeros."""
     if weighted:
         g.ensure_weighted()
-        if not g.edges.where("weight < 0").isEmpty():
+        least = g.edges.agg(F.min("weight")).first()[0]
+        if least is not None and least < 0:
             raise GraphError("ContradictoryPaths", "negative weights")
+        if positive and least == 0:
+            raise GraphError("InvalidArgument", "paths need positive weights")
 
 
 def per_source(g: Graph, weighted: bool, kernel, schema: str, reverse: bool = False, sources: DataFrame | None = None) -> DataFrame:
-    """Run ``kernel(csr, adjacency lists or None, list of sources) -> frame`` once for the sources of each task."""
+    """Run ``kernel(csr, weighted, list of sources) -> frame`` once for the sources of each task."""
     graph = csr(g, weighted, reverse)
     shared = g.spark.sparkContext.broadcast(graph)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        adj = c.lists() if weighted else None
         for pdf in batches:
             for at in range(0, len(pdf), 512):
-                yield kernel(c, adj, pdf["idx"].to_numpy(np.int64)[at : at + 512].tolist())
+                yield kernel(c, weighted, pdf["idx"].to_numpy(np.int64)[at : at + 512].tolist())
 
     ids = (g.nodes if sources is None else sources).select("idx")
     return ids.repartition(g.spark.sparkContext.defaultParallelism, "idx").mapInPandas(run, schema)
 
 
-def _length_rows(c, adj, sources) -> pd.DataFrame:
+def _length_rows(c, weighted, sources) -> pd.DataFrame:
     out = []
     for s in sources:
-        d = kernels.distances(c, adj, s)
+        d = kernels.distances(c, weighted, s)
         at = np.flatnonzero(np.isfinite(d))
         out.append((np.full(len(at), s), at, d[at]))
     s, t, d = (np.concatenate(z) for z in zip(*out, strict=True))
@@ -184,8 +185,7 @@ def length_rounds(g: Graph, weighted: bool, start: DataFrame, cutoff: float | No
 def paths(g: Graph, dist: DataFrame, weighted: bool, first_only: bool = False) -> DataFrame:
     """(source, target, distance, paths): shortest paths over the edges with d(u) + w = d(v). Their number can be exponential."""
     adj = g.unit_adj(weighted)
-    if weighted and not g.edges.where("weight = 0").isEmpty():
-        raise GraphError("InvalidArgument", "paths need positive weights")
+    check_weights(g, weighted, positive=True)
     dist = checkpointed(dist)
     tight = dist.join(adj, dist["target"] == adj["src"]).select("source", F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("distance") + F.col("weight")).alias("d"))
     tight = checkpointed(tight.join(dist.withColumnRenamed("target", "b"), ["source", "b"]).where("d = distance").select("source", "a", "b"))
@@ -239,9 +239,15 @@ def get_all_shortest_paths_involving(g: Graph, name, weighted: bool = False) ->
 
 
 def bfs_equal_size_partitions(g: Graph, k: int) -> DataFrame:
-    """(name, part). The fill is sequential by definition, so it runs in one place, for graphs small enough."""
-    if k < 1 or not small_enough(g):
-        raise GraphError("InvalidArgument", "k must be positive and the graph small enough for one task")
+    """(name, part), parts of n // k + 1 nodes or fewer.
+
+    The greedy fill is sequential by definition, so it runs in one task while the graph fits there. A larger graph is filled
+    in the order of (least node of the component, breadth-first level from it, index), which needs no one task.
+    """
+    if k < 1:
+        raise GraphError("InvalidArgument", "k must be positive")
+    if not small_enough(g):
+        return partition_rounds(g, k)
     c, n = csr(g, False), g.number_of_nodes()
     near: list[set[int]] = [set() for _ in range(n)]
     for i in range(n):
@@ -252,10 +258,21 @@ def bfs_equal_size_partitions(g: Graph, k: int) -> DataFrame:
     return labelled(g, label, "part")
 
 
+def partition_rounds(g: Graph, k: int) -> DataFrame:
+    """The fill of :func:`bfs_equal_size_partitions` for graphs of any size."""
+    roots = checkpointed(_components(g))
+    seen = front = checkpointed(roots.where("name = component").select("name", F.lit(0).alias("level")))
+    level = 0
+    while not front.isEmpty():
+        level += 1
+        step = front.join(g.both, front["name"] == g.both["src"]).select(F.col("dst").alias("name")).distinct()
+        front = checkpointed(step.join(seen, "name", "left_anti").withColumn("level", F.lit(level)))
+        seen = checkpointed(seen.unionByName(front))
+    rows = roots.join(seen, "name").join(g.nodes.select("name", "idx"), "name").withColumnRenamed("idx", "at")
+    most = g.number_of_nodes() // k + 1
+    return dense_index(rows, ["component", "level", "at"]).select("name", F.expr(f"idx div {most}").alias("part"))
+
+
 def labelled(g: Graph, label: np.ndarray, column: str) -> DataFrame:
     rows = g.spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(label)), column: np.asarray(label, np.int64)}), f"idx long, {column} long")
     return g.nodes.join(rows, "idx").select("name", column)
-
-
-def infinite(x: float) -> bool:
-    return math.isinf(x)
