@@ -212,8 +212,8 @@ def group_betweenness_centrality(g: Graph, group, normalized: bool = True, endpo
 
 # ---- communities and resiliency ----
 
-#: Sweeps of a level without a better partition before it ends, and sweeps at most.
-PATIENCE, MAX_SWEEPS = 3, 60
+#: Sweeps of a level without a better partition before it ends, though nodes still want to move, and sweeps at most.
+PATIENCE, MAX_SWEEPS = 8, 60
 #: The spectral gap of a graph up to this many nodes comes from a dense matrix (32 MB at most), else from subspace iteration.
 DENSE_NODES = 2_000
 
@@ -230,8 +230,8 @@ def community_rounds(g: Graph, weighted: bool = False, quality: str = "modularit
     """(name, community) for graphs of any size: rounds in which half of the nodes, by hash, move at once, then a merge of communities.
 
     A node moves to the neighbour community c of greatest gain w(node, c) - cost * mass(node) * mass(c); mass is the degree and
-    cost resolution / 2m for modularity, the number of nodes and the resolution for cpm. A level ends when PATIENCE sweeps bring
-    no better partition, and the best one is merged. With ``connected``, communities are split into their connected parts first.
+    cost resolution / 2m for modularity, the number of nodes and the resolution for cpm. A level ends when no node wants to move or
+    PATIENCE sweeps bring no better partition, and the best one is merged. With ``connected``, communities are split into their connected parts first.
     """
     ids = g.nodes.select(F.col("idx").alias("n"), "name")
     e = g.edges.withColumn("w", F.col("weight") if weighted else F.lit(1.0)).join(ids.select(F.col("n").alias("a"), F.col("name").alias("u")), "u").join(ids.select(F.col("n").alias("b"), F.col("name").alias("v")), "v")
@@ -268,7 +268,9 @@ def community_rounds(g: Graph, weighted: bool = False, quality: str = "modularit
             options = options.withColumn("gain", gain + F.when(F.col("c") == F.col("c0"), 1e-12).otherwise(0.0))
             picked = options.groupBy("n", "mass", "c0").agg(F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("x"))
             turn = F.pmod(F.xxhash64("n", F.lit(sweep)), F.lit(2)) == 0
-            state = checkpointed(picked.select("n", "mass", F.when(turn, -F.col("x.c")).otherwise(F.col("c0")).alias("c")))
+            state = checkpointed(picked.select("n", "mass", F.when(turn, -F.col("x.c")).otherwise(F.col("c0")).alias("c"), (-F.col("x.c") != F.col("c0")).alias("wants")))
+            if state.where("wants").isEmpty():
+                break
             now = value(state)
             if now > top + 1e-9 * abs(total):
                 best, top, idle = state, now, 0

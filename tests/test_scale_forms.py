@@ -28,7 +28,6 @@ def triangles(spark):
 
 def test_communities_by_rounds(triangles, monkeypatch):
     monkeypatch.setattr(P, "KERNEL_EDGES", 0)
-    monkeypatch.setattr(C, "PATIENCE", 2)
     lab = values(C.louvain_communities(triangles, True), "community")
     assert lab[0] == lab[1] == lab[2] != lab[3] == lab[4] == lab[5]
     lei = C.leiden(triangles, True, quality="cpm", resolution=0.5)
