@@ -145,8 +145,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     weak = {r[0]: float(p) for r, p in zip(found, post, strict=True)}
     chosen = voted.where("__id is not null").orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    both = texts.join(F.broadcast(chosen.distinct()), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__votes").limit(most)
-    sample = [tuple(r) for r in both.select("__id", "__text", "__votes").collect()]  # bounded by ``most``; ties by id, text hash and votes
+    texts = texts.withColumn("__hash", F.xxhash64("__text"))
+    keys = texts.join(F.broadcast(chosen.distinct()), "__id").select("__id", "__hash", "__votes").distinct().orderBy(F.xxhash64("__id"), "__id", "__hash", "__votes").limit(most)
+    both = texts.join(F.broadcast(keys), ["__id", "__hash"]).dropDuplicates(["__id", "__hash", "__votes"])
+    sample = sorted(tuple(r) for r in both.select("__id", "__text", "__votes").collect())  # bounded by ``most``
     model = Linear().fit([hashed(t) for _, t, _ in sample], np.array([weak[v] for _, _, v in sample]))
     shared = docs.sparkSession.sparkContext.broadcast((model.w, model.b))  # DIMS floats
 

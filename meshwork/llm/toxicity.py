@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 #: Bound of the labelled sample that is brought to the driver: by smallest hash of the id, whole texts.
 MAX_LABELLED = 10_000
 FOLDS = 3
+LEAST = 4  #: marked documents that must hold a word or affix of the lexicon
 WORD = re.compile(r"[^\W_]+(?:['’*@$#0-9][^\W_]+)*")
 SECOND_PERSON = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "*": "", "'": "", "’": "", "#": ""})
@@ -55,24 +56,39 @@ def affixes(word: str) -> list[str]:
     return [a for n in AFFIXES if len(word) > n for a in ("^" + word[:n], word[-n:] + "$")]
 
 
-def document_counts(texts: list[str], labels: list[int]) -> tuple[Counter, Counter, list[int]]:
-    """Per class, how many documents hold each word and affix; and the documents of each class."""
-    counts, n = (Counter(), Counter()), [0, 0]
-    for text, y in zip(texts, labels, strict=True):
-        words = {w.lower() for w in WORD.findall(text)}
-        n[y] += 1
-        counts[y].update(words)
-        counts[y].update({a for w in words for a in affixes(w)})
-    return counts[0], counts[1], n
+def keys_of(text: str) -> set[str]:
+    """Words and affixes of a text."""
+    words = {w.lower() for w in WORD.findall(text)}
+    return words | {a for w in words for a in affixes(w)}
 
 
-def make_lexicon(clean: Counter, marked: Counter, n: list[int], least: int = 4, floor: float = 2.0) -> Lexicon:
+def document_counts(texts: list[str], labels: list[int], folds: np.ndarray) -> list[tuple[Counter, Counter, list[int]]]:
+    """For each fold and class, how many documents hold each word and affix, and how many there are.
+
+    Only keys that LEAST marked documents hold can enter a lexicon, so clean documents are counted for these alone.
+    """
+    own = [(Counter(), Counter(), [0, 0]) for _ in range(FOLDS)]
+    every: Counter = Counter()
+    for text, y, k in zip(texts, labels, folds, strict=True):
+        own[k][2][y] += 1
+        if y:
+            found = keys_of(text)
+            own[k][1].update(found)
+            every.update(found)
+    kept = {w for w, c in every.items() if c >= LEAST}
+    for text, y, k in zip(texts, labels, folds, strict=True):
+        if not y:
+            own[k][0].update(keys_of(text) & kept)
+    return own
+
+
+def make_lexicon(clean: Counter, marked: Counter, n: list[int], floor: float = 2.0) -> Lexicon:
     """Words and affixes whose smoothed log odds by document are at least ``floor``."""
 
     def odds(k: str) -> float:
         return math.log((marked[k] + 0.5) / (n[1] + 1)) - math.log((clean[k] + 0.5) / (n[0] + 1))
 
-    scored = {k: odds(k) for k, c in marked.items() if c >= least}
+    scored = {k: odds(k) for k, c in marked.items() if c >= LEAST}
     top = sorted((k for k, v in scored.items() if v >= floor), key=lambda k: (-scored[k], k))
     is_affix = lambda k: k[0] == "^" or k[-1] == "$"
     return Lexicon({k: scored[k] for k in top if not is_affix(k)}, {k: scored[k] for k in top if is_affix(k)})
@@ -234,7 +250,7 @@ def fit_model(rows: list[tuple[str, str, int]]) -> Model:
     if not len(rows) or y.min() == y.max():
         return Model(Lexicon(), None, None, float(y.mean()) if len(rows) else 0.0)
     fold = np.array([zlib.crc32(f"fold{r[0]}".encode()) % FOLDS for r in rows])
-    own = [document_counts([rows[i][1] for i in np.flatnonzero(fold == k)], y[fold == k].tolist()) for k in range(FOLDS)]
+    own = document_counts([r[1] for r in rows], y.tolist(), fold)
     clean, marked = sum((o[0] for o in own), Counter()), sum((o[1] for o in own), Counter())
     n = [sum(o[2][c] for o in own) for c in (0, 1)]
     x = np.empty((len(rows), len(FEATURES)))
@@ -256,12 +272,14 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED) -> Model:
     """Fit from labelled rows that aren't held out: the ``most`` of smallest id hash, classes as they come.
 
-    Rows that repeat an id are rows of their own; ties of the id hash are broken by id, text hash and label, so reruns agree.
+    Rows that repeat an id with other texts are rows of their own, rows that repeat both are one; ties of the id hash are broken by id, text hash and label, so reruns agree.
     """
     given = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     chosen = given.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    rows = texts.join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text"), "__y").limit(most)
+    texts = texts.withColumn("__hash", F.xxhash64("__text"))
+    keys = texts.join(F.broadcast(chosen), "__id").select("__id", "__hash", "__y").distinct().orderBy(F.xxhash64("__id"), "__id", "__hash", "__y").limit(most)
+    rows = texts.join(F.broadcast(keys), ["__id", "__hash"]).dropDuplicates(["__id", "__hash", "__y"])
     rows = rows.select(F.col("__id").cast("string"), "__text", "__y").collect()  # bounded by ``most``
     return fit_model(sorted((r[0], r[1], r[2]) for r in rows))
 
