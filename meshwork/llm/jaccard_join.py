@@ -13,8 +13,10 @@ Equal sets are one class. Classes connected by signatures are a group, written a
 pivot. Those that link with the pivot need no comparison with each other. For the others a prefix filter on the differences,
 rarest in the group first, finds the pairs to compare: |A ^ B| is |a ^ b| of the differences a and b, so a link needs a
 certain overlap of a and b, and differences that nobody shares add nothing to it. Each first meets, for each difference in
-its prefix, the set nearest to the pivot; then only pairs that are still in different components meet. So a group of near
-copies costs about its size and not its square, though few of its pairs may link. Every pair found is compared exactly.
+its prefix, two sets of about its size. Then each group is written as its differences from what most sets of its largest
+component hold, so that near copies differ from it by their own edits only, and they meet once more; then only pairs that
+are still in different components meet. So a group of near copies costs about its size and not its square, wherever the
+first pivot lies and though few of its pairs may link. Every pair found is compared exactly.
 """
 
 from __future__ import annotations
@@ -344,13 +346,13 @@ def orders(diffs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return rows, written(kept.select("*", F.transform("order", lambda x: x["gx"]).alias("gxs"), F.size("order").alias("have")).drop("order"), "orders")
 
 
-def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, opening: bool) -> DataFrame:
-    """(u, v) nums of sets of different components that don't both link with their group's pivot and may link with each other.
+def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, turn: int | None) -> DataFrame:
+    """(u, uc, v, vc) nums and components of sets of different components that don't both link with their group's pivot and may link.
 
     Linked A and B have |a & b| >= (|a| + |b| - k) / 2, where k = k(|A| + |B|) bounds |A ^ B|. If A doesn't link with the pivot:
     either |a| + |b| <= k, and B is one of the few at so small a distance from the pivot; or a and b share so many differences
-    that the prefixes below, in the order of how many sets of the group hold a difference, share one. The opening takes for
-    each difference only the set nearest to the pivot that has it in its prefix.
+    that the prefixes below, in the order of how many sets of the group hold a difference, share one. An opening (its turn is
+    given) takes for each difference and size class only two sets that have it in their prefix, of two components if there are.
     """
     far = F.greatest(F.lit(1), F.col("a") - F.col("k"))
     half = F.ceil((F.col("a") * (100 + percent) + (F.col("psize") - F.col("size")) * (100 - percent)) / (2.0 * (100 + percent)) - 1e-9)
@@ -362,36 +364,83 @@ def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, opening: bo
     # if this is the first difference that the two share, they share no more than either has from here on
     enough = 2 * F.least("lrest", "rrest") >= F.col("la") + F.col("ra") - limit
     fits = (F.least("ls", "rs") * 100 >= F.greatest("ls", "rs") * percent) & (F.abs(F.col("la") - F.col("ra")) <= limit) & (F.col("lc") != F.col("rc"))
-    if opening:
-        right = right.groupBy("gx").agg(F.min(F.struct("ra", "r", "rs", "rc", "rrest")).alias("x")).select("gx", "x.*")
-    both = left.join(right, "gx").where(fits & enough).select("l", "r")
-    if not opening:
+    on = ["gx"]
+    if turn is not None:
+        on, step = ["gx", "sizes"], math.log(max(100 / percent, 1.05))
+        left, right = (t.withColumn("sizes", F.floor(F.log(c) / step + turn / 2)) for t, c in ((left, "ls"), (right, "rs")))
+        some = F.struct(F.xxhash64("rc", F.lit(turn)), F.xxhash64("r", F.lit(turn)), "ra", "r", "rs", "rc", "rrest")
+        right = right.groupBy(*on).agg(F.array(F.min(some), F.max(some)).alias("x")).select(*on, F.explode("x").alias("x")).select(*on, "x.ra", "x.r", "x.rs", "x.rc", "x.rrest")
+    both = left.join(right, on).where(fits & enough).select("l", "lc", "r", "rc")
+    if turn is None:
         close = rows.where("not linked and a <= k").select("group", F.col("num").alias("l"), F.col("size").alias("ls"), F.col("a").alias("la"), F.col("component").alias("lc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - F.col("a"))).alias("ra"))
         small = rows.select("group", F.col("num").alias("r"), F.col("size").alias("rs"), F.col("a").alias("ra"), F.col("component").alias("rc"))
-        both = both.unionByName(close.join(small, ["group", "ra"]).where(fits & (F.col("la") + F.col("ra") <= limit)).select("l", "r"))
-    return both.select(F.least("l", "r").alias("u"), F.greatest("l", "r").alias("v")).distinct()
+        both = both.unionByName(close.join(small, ["group", "ra"]).where(fits & (F.col("la") + F.col("ra") <= limit)).select("l", "lc", "r", "rc"))
+    ends = F.array_sort(F.array(F.struct(F.col("l").alias("n"), F.col("lc").alias("c")), F.struct(F.col("r").alias("n"), F.col("rc").alias("c"))))
+    return both.select(ends.alias("x")).select(F.expr("x[0].n").alias("u"), F.expr("x[0].c").alias("uc"), F.expr("x[1].n").alias("v"), F.expr("x[1].c").alias("vc")).distinct()
+
+
+def nearer(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Differences (rows of :func:`differences`) of groups with a component of linked sets, from what most sets of the largest one hold.
+
+    That is no set of the group, so psize is null. The pivot is the set of the component nearest to it, and ``linked`` tells
+    of this one: sets of the component differ from the middle by what is their own, so few differences are shared.
+    """
+    inside = rows.select("group", "num", "node", "delta").join(comps, "node")
+    sizes = inside.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
+    chosen = written(sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("x")).select("group", "x.component", "x.n").where("n > 2"), "chosen")
+    held = inside.join(chosen, ["group", "component"]).select("group", "n", F.explode("delta").alias("e")).groupBy("group", "n", "e").agg(F.count(F.lit(1)).alias("c"))
+    middle = held.where("2 * c > n").groupBy("group").agg(F.collect_list("e").alias("middle"))
+    none = F.array().cast("array<long>")
+    spread = lambda t: t.withColumn("salt", F.explode(F.expr(f"sequence(0, m div {SALT_ROWS})")))
+    m = rows.groupBy("group").agg(F.first("m").alias("m"))
+    tops = spread(chosen.join(middle, "group", "left").join(m, "group").select("group", "component", "m", F.coalesce("middle", none).alias("middle"))).drop("m")
+    salted = rows.withColumn("salt", F.expr(f"pmod(xxhash64(num), 1 + m div {SALT_ROWS})"))
+    both = salted.join(tops, ["group", "salt"]).withColumn("delta", F.concat(F.array_except("delta", "middle"), F.array_except("middle", "delta"))).withColumn("a", F.size("delta").cast("long"))
+    first = written(both.select(*rows.columns, "component"), "nearer")
+    own = first.join(comps.withColumnRenamed("component", "own"), "node").where("own = component")
+    hubs = first.join(own.groupBy("group").agg(F.min(F.struct("a", "num")).alias("x")).select("x.num"), "num")
+    hubs = spread(hubs.select("group", "m", F.col("node").alias("hub"), F.col("size").alias("hsize"), F.col("delta").alias("hdelta"))).drop("m")
+    salted = first.withColumn("salt", F.expr(f"pmod(xxhash64(num), 1 + m div {SALT_ROWS})")).join(hubs, ["group", "salt"])
+    apart = F.size("delta") + F.size("hdelta") - 2 * F.size(F.array_intersect("delta", "hdelta"))
+    out = salted.withColumns({"pivot": F.col("hub"), "psize": F.lit(None).cast("long"), "linked": apart <= _most(F.col("size") + F.col("hsize"), percent)})
+    out = written(out.select(*rows.columns), "nearer")
+    drop(chosen, first)
+    return out
 
 
 def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
-    """(u, v) nodes that link, enough of them to connect all that links connect.
+    """(u, v) nodes that are connected by links, enough of them to connect all that links connect.
 
-    First those with the pivot; then those of the opening; then all pairs that are left between different components.
+    First those with the pivot; then those of an opening, and of another from the middles; then all pairs that are left
+    between different components, of which each pair of components is kept once.
     """
-    links = diffs.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    tops = lambda t: t.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    links = tops(diffs)
     rows, each = orders(diffs, percent)
     if each.where("not linked").isEmpty() and rows.where("not linked and a <= k").isEmpty():
         return links
-    for opening in (True, False):
+    for turn in (0, 1, None):
         comps = written(components(links), "components")
+        if turn == 1:
+            moved = nearer(rows.select(*diffs.columns), comps, percent)
+            if not moved.isEmpty():
+                diffs = written(diffs.join(moved.select("group").distinct(), "group", "left_anti").unionByName(moved), "differences")
+                links = written(links.unionByName(tops(moved)), "links")
+                comps = written(components(links), "components")
+                drop(each)
+                rows, each = orders(diffs, percent)
+            drop(moved)
         of = lambda t: t.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: B023, E731
-        pairs = written(pairs_to_compare(of(rows), of(each), percent, opening), "pairs")
-        links = written(links.unionByName(_links(pairs, diffs, percent)), "links")
+        pairs = written(pairs_to_compare(of(rows), of(each), percent, turn), "pairs")
+        found = _links(pairs, diffs, percent)
+        found = found.select("u", "v") if turn is not None else found.select(F.col("uc").alias("u"), F.col("vc").alias("v")).distinct()
+        links = written(links.unionByName(found), "links")
         drop(pairs)
     return links
 
 
 def _links(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (u, v) of nums the nodes of those that link, by exact comparison of their differences.
+    """Of pairs (u, uc, v, vc) of nums and components those that link, nodes for nums, by exact comparison of their differences.
 
     Up to BROADCAST_ROWS pairs their ids go to the differences, so that only those of these pairs are shuffled.
     """
@@ -401,7 +450,7 @@ def _links(pairs: DataFrame, diffs: DataFrame, percent: int) -> DataFrame:
         b = b.join(F.broadcast(pairs.select("v").distinct()), "v", "left_semi")
         pairs = F.broadcast(pairs)
     both = a.join(pairs, "u").join(b, "v").withColumn("apart", F.size("ud") + F.size("vd") - 2 * F.size(F.array_intersect("ud", "vd")))
-    return both.where(F.col("apart") <= _most(F.col("us") + F.col("vs"), percent)).select(F.col("un").alias("u"), F.col("vn").alias("v"))
+    return both.where(F.col("apart") <= _most(F.col("us") + F.col("vs"), percent)).select(F.col("un").alias("u"), "uc", F.col("vn").alias("v"), "vc")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases and brute force for the operators without a library to compare with."""
 
+import random
 import re
 import zlib
 
@@ -327,6 +328,40 @@ def test_jaccard_join_of_a_large_group_of_near_copies(spark):
     assert jaccard_join.jaccard_join(frame(spark, []).limit(0)).count() == 0
 
 
+def test_near_copies_far_from_their_pivot_meet_few_times(spark, monkeypatch):
+    """The group's pivot shares nothing with the copies, whose edits differ; a copy with many edits links with few others."""
+    rng, n, percent = random.Random(5), 240, 80
+    sets = [set(range(-100, 0))]
+    for i in range(n):
+        e = rng.randint(3, 9)
+        sets.append(set(rng.sample(range(100), 100 - e)) | {1000 + 100 * i + j for j in range(e - 2)} | set(rng.sample(range(100, 140), 2)))
+    top, found = list(range(n + 1)), 0
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in range(n + 1):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                found += 1
+                top[max(find(a), find(b))] = min(find(a), find(b))
+    rows = []
+    for i, s in enumerate(sets):
+        delta = sorted(s ^ sets[0])
+        rows.append((0, n + 1, (i, i), (0, 0), len(s), 100, len(delta), i == 0, delta, i))
+    node = "struct<class:bigint,check:bigint>"
+    diffs = spark.createDataFrame(rows, f"group long, m long, node {node}, pivot {node}, size long, psize long, a long, linked boolean, delta array<long>, num long")
+    compared, links = [], jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda pairs, *rest: compared.append(pairs.count()) or links(pairs, *rest))
+    pairs = jaccard_join.linked_pairs(diffs, percent)
+    got = {r.node[0]: r.component[0] for r in jaccard_join.components(pairs).collect()}
+    assert found > 10 * n and [got.get(i, i) for i in range(n + 1)] == [find(i) for i in range(n + 1)]
+    assert sum(compared) < 10 * n and pairs.count() < 10 * n
+
+
 def test_warc_of_several_files_nulls_and_long_pages(spark):
     long = "<p>" + "é" * 3_000_000 + warc.MAGIC + "x" * 100
     rows = [(i, None if i % 3 else f"http://h/{i}", [None, "", "same", f"own {i}"][i % 4]) for i in range(60)] + [(100, "u", long), (101, "u", long), (None, "u", "same"), (None, None, "alone")]
