@@ -1,10 +1,11 @@
 """Embedding near-dedup: a hierarchical navigable small-world graph per shard, every shard queried, links verified.
 
 Equal vectors of a label are one class. Classes are dealt to shards of bounded size; each shard gets a graph of its own,
-built in batches with numpy. Every block of classes queries every shard of its label: a query's beam widens while all that
-it holds is within the threshold, and the whole block's beam widens until it finds all links that an audit of its queries
-against brute force sees; the audit goes on until it has seen enough of them, over the whole block if need be, and its
-answers are used. A beam as wide as the shard is brute force. Cosines are verified in double precision.
+built in batches with numpy. Every block of classes queries every shard of its label: from what a query's beam holds within
+the threshold it goes on along links, in either direction, to all that is within it, so a large group costs what it holds.
+The whole block's beam widens until it finds all links that an audit of its queries against brute force sees; the audit goes
+on until it has seen enough of them, over the whole block if need be, and its answers are used. A beam that is too wide for
+its shard is brute force. Cosines are verified in double precision.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from meshwork.plans.skew import lookup
 SHARD_ROWS, BLOCK_ROWS = 20_000, 2_000  #: classes in a shard's graph, and in a block of queries: memory of one task
 #: Queries of a block are held against brute force so many at a time, until they have so many links to other vectors.
 AUDIT, AUDIT_LINKS = 48, 200
+#: A query that links with this share of a shard or more is compared with all of it, so with at most WHOLE vectors for each of its
+#: links; so is a block whose beams would have to widen to the share 1 / WIDE, as keeping them costs more than the products they save.
+WHOLE, WIDE = 32, 16
 log = logging.getLogger(__name__)
 
 
@@ -140,28 +144,54 @@ class Hnsw:
                 new = np.where(nodes[:, :, None] >= 0, links[np.maximum(nodes, 0)], -1).reshape(len(live), -1).astype(np.int64)
         return ids, sims
 
+    def _both_ways(self) -> tuple[np.ndarray, np.ndarray]:
+        """The links of the lowest level in either direction: where each vector's neighbours start, and the neighbours."""
+        src, k = np.nonzero(self.links[0] >= 0)
+        dst = self.links[0][src, k].astype(np.int64)
+        src, dst = np.concatenate([src, dst]), np.concatenate([dst, src])
+        return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(self.x)))]), dst[np.argsort(src, kind="stable")]
+
+    def _spread(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, least: float, near: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """From what the beams found on to all that links between vectors within ``least`` lead to, each tried once a query."""
+        n, (start, flat) = len(self.x), near
+        seen, count = np.zeros(len(q) * n, bool), np.zeros(len(q), int)
+        r, k = np.nonzero(ids >= 0)
+        seen[r * n + ids[r, k]] = True
+        r, k = np.nonzero((ids >= 0) & (sims >= least))
+        hits = r * n + ids[r, k]
+        every = [hits]
+        while len(hits):
+            r, c = np.divmod(hits, n)
+            count += np.bincount(r, minlength=len(q))
+            few = count[r] * WHOLE <= n
+            r, c = r[few], c[few]
+            size = start[c + 1] - start[c]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[c], size)
+            new = np.repeat(r * n, size) + flat[at]
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
+            good = [np.einsum("id,id->i", q[part // n], self.x[part % n]) >= least for part in (new[a : a + 100_000] for a in range(0, len(new), 100_000))]
+            hits = new[np.concatenate(good)] if good else new
+            every.append(hits)
+        found = np.sort(np.concatenate(every))
+        out = [part % n for part in np.split(found, np.searchsorted(found, np.arange(1, len(q)) * n))]
+        whole = np.flatnonzero(count * WHOLE > n)
+        for i, row in zip(whole, q[whole] @ self.x.T >= least, strict=True):
+            out[i] = np.flatnonzero(row)
+        return out
+
     def within(self, q: np.ndarray, least: float, ef: int) -> list[np.ndarray]:
-        """Indices of vectors at a similarity of ``least`` or more, as far as beams that widen to hold them all find them."""
+        """Indices of vectors at a similarity of ``least`` or more, as far as beams and the links from what they hold find them."""
         n = len(self.x)
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        todo = np.arange(len(q))
-        while len(todo):
+        out: list[np.ndarray] = []
+        width, near = max(16, min(512, 40_000_000 // (n + 24 * ef * 8))), self._both_ways()
+        for a in range(0, len(q), width):
+            part = q[a : a + width]
             if ef >= n // 2:
-                for i in todo:
-                    out[i] = np.flatnonzero(self.x @ q[i] >= least)
-                break
-            left = []
-            width = max(16, min(512, 40_000_000 // (n + 24 * ef * 8)))
-            for a in range(0, len(todo), width):
-                t = todo[a : a + width]
-                ids, sims = self._beam(q[t], 0, self._entries(q[t], 0, n), ef, n)
-                full = sims[:, -1] >= least
-                for i, r, s, f in zip(t, ids, sims, full, strict=True):
-                    if f:
-                        left.append(i)
-                    else:
-                        out[i] = r[s >= least]
-            todo, ef = np.array(left, int), ef * 4
+                out += [np.flatnonzero(row) for row in part @ self.x.T >= least]
+            else:
+                ids, sims = self._beam(part, 0, self._entries(part, 0, n), ef, n)
+                out += self._spread(part, ids, sims, least, near)
         return out
 
 
@@ -203,7 +233,7 @@ def _query(shard: Hnsw, ids: np.ndarray, weights: np.ndarray, q: np.ndarray, own
         if found >= true or ef >= len(shard.x):
             hits.update((i, got[i]) for i in rest)
             break
-        ef *= 2
+        ef = 2 * ef if 2 * ef * WIDE < len(shard.x) else len(shard.x)
     log.info("%d of %d queries audited; beam %d for the others found %d of %d true links", len(truth), len(q), ef if len(rest) else 0, found, true)
     us, vs, links = [], [], []
     for i in range(len(q)):

@@ -218,6 +218,22 @@ def test_beams_of_large_shards_equal_brute_force():
     assert truth > 200 and found >= 0.99 * truth
 
 
+def test_large_groups_of_near_vectors_need_no_wide_beams(monkeypatch):
+    """Groups of up to 500 vectors of which about half are within the threshold: links follow the graph, beams stay narrow."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4_000, 64))
+    for at, size in ((0, 500), (600, 100), (800, 30)):
+        x[at : at + size] = x[at] + rng.uniform(0.15, 0.35, size=(size, 1)) * rng.normal(size=(size, 64))
+    x = embedding_dedup._unit(x[rng.permutation(len(x))])
+    shard, widths, beam = embedding_dedup.Hnsw(x), [], embedding_dedup.Hnsw._beam
+    monkeypatch.setattr(embedding_dedup.Hnsw, "_beam", lambda self, q, level, entries, ef, limit: widths.append(ef) or beam(self, q, level, entries, ef, limit))
+    near = x @ x.T >= 0.93
+    out = embedding_dedup._query(shard, np.arange(4_000), np.ones(4_000, int), x, np.arange(4_000), 0.93)
+    links = out[out.v < 0].sort_values("u").n.to_numpy()
+    truth = near.sum(1) - 1
+    assert truth.max() > 100 and (links <= truth).all() and links.sum() >= 0.999 * truth.sum() and max(widths) <= 64
+
+
 def test_secret_scan_of_long_texts(spark):
     import time
 
