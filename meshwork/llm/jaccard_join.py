@@ -14,8 +14,8 @@ pivot. Those that link with the pivot need no comparison with each other. For th
 rarest in the group first, finds the pairs to compare: |A ^ B| is |a ^ b| of the differences a and b, so a link needs a
 certain overlap of a and b, and differences that nobody shares add nothing to it. Each first meets, for each difference in
 its prefix, two sets of about its size. Then each group is written as its differences from what most sets of its largest
-component hold, so that near copies differ from it by their own edits only, and they meet once more; then only pairs that
-are still in different components meet. So a group of near copies costs about its size and not its square, wherever the
+component hold, so that near copies differ from it by their own edits only, and only pairs that are still in different
+components meet. So a group of near copies costs about its size and not its square, wherever the
 first pivot lies and though few of its pairs may link. Every pair found is compared exactly.
 """
 
@@ -346,13 +346,13 @@ def orders(diffs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return rows, written(kept.select("*", F.transform("order", lambda x: x["gx"]).alias("gxs"), F.size("order").alias("have")).drop("order"), "orders")
 
 
-def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, turn: int | None) -> DataFrame:
+def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, opening: bool) -> DataFrame:
     """(u, uc, v, vc) nums and components of sets of different components that don't both link with their group's pivot and may link.
 
     Linked A and B have |a & b| >= (|a| + |b| - k) / 2, where k = k(|A| + |B|) bounds |A ^ B|. If A doesn't link with the pivot:
     either |a| + |b| <= k, and B is one of the few at so small a distance from the pivot; or a and b share so many differences
-    that the prefixes below, in the order of how many sets of the group hold a difference, share one. An opening (its turn is
-    given) takes for each difference and size class only two sets that have it in their prefix, of two components if there are.
+    that the prefixes below, in the order of how many sets of the group hold a difference, share one. The opening takes
+    for each difference and size class only two sets that have it in their prefix, of two components if there are.
     """
     far = F.greatest(F.lit(1), F.col("a") - F.col("k"))
     half = F.ceil((F.col("a") * (100 + percent) + (F.col("psize") - F.col("size")) * (100 - percent)) / (2.0 * (100 + percent)) - 1e-9)
@@ -365,13 +365,13 @@ def pairs_to_compare(rows: DataFrame, each: DataFrame, percent: int, turn: int |
     enough = 2 * F.least("lrest", "rrest") >= F.col("la") + F.col("ra") - limit
     fits = (F.least("ls", "rs") * 100 >= F.greatest("ls", "rs") * percent) & (F.abs(F.col("la") - F.col("ra")) <= limit) & (F.col("lc") != F.col("rc"))
     on = ["gx"]
-    if turn is not None:
+    if opening:
         on, step = ["gx", "sizes"], math.log(max(100 / percent, 1.05))
-        left, right = (t.withColumn("sizes", F.floor(F.log(c) / step + turn / 2)) for t, c in ((left, "ls"), (right, "rs")))
-        some = F.struct(F.xxhash64("rc", F.lit(turn)), F.xxhash64("r", F.lit(turn)), "ra", "r", "rs", "rc", "rrest")
+        left, right = (t.withColumn("sizes", F.floor(F.log(c) / step)) for t, c in ((left, "ls"), (right, "rs")))
+        some = F.struct(F.xxhash64("rc"), F.xxhash64("r"), "ra", "r", "rs", "rc", "rrest")
         right = right.groupBy(*on).agg(F.array(F.min(some), F.max(some)).alias("x")).select(*on, F.explode("x").alias("x")).select(*on, "x.ra", "x.r", "x.rs", "x.rc", "x.rrest")
     both = left.join(right, on).where(fits & enough).select("l", "lc", "r", "rc")
-    if turn is None:
+    if not opening:
         close = rows.where("not linked and a <= k").select("group", F.col("num").alias("l"), F.col("size").alias("ls"), F.col("a").alias("la"), F.col("component").alias("lc"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - F.col("a"))).alias("ra"))
         small = rows.select("group", F.col("num").alias("r"), F.col("size").alias("rs"), F.col("a").alias("ra"), F.col("component").alias("rc"))
         both = both.unionByName(close.join(small, ["group", "ra"]).where(fits & (F.col("la") + F.col("ra") <= limit)).select("l", "lc", "r", "rc"))
@@ -411,7 +411,7 @@ def nearer(rows: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
 def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
     """(u, v) nodes that are connected by links, enough of them to connect all that links connect.
 
-    First those with the pivot; then those of an opening, and of another from the middles; then all pairs that are left
+    First those with the pivot; then those of the opening; then, from the middles, all pairs that are left
     between different components, of which each pair of components is kept once.
     """
     tops = lambda t: t.where("linked and node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
@@ -419,9 +419,9 @@ def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
     rows, each = orders(diffs, percent)
     if each.where("not linked").isEmpty() and rows.where("not linked and a <= k").isEmpty():
         return links
-    for turn in (0, 1, None):
+    for opening in (True, False):
         comps = written(components(links), "components")
-        if turn == 1:
+        if not opening:
             moved = nearer(rows.select(*diffs.columns), comps, percent)
             if not moved.isEmpty():
                 diffs = written(diffs.join(moved.select("group").distinct(), "group", "left_anti").unionByName(moved), "differences")
@@ -431,9 +431,9 @@ def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
                 rows, each = orders(diffs, percent)
             drop(moved)
         of = lambda t: t.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))  # noqa: B023, E731
-        pairs = written(pairs_to_compare(of(rows), of(each), percent, turn), "pairs")
+        pairs = written(pairs_to_compare(of(rows), of(each), percent, opening), "pairs")
         found = _links(pairs, diffs, percent)
-        found = found.select("u", "v") if turn is not None else found.select(F.col("uc").alias("u"), F.col("vc").alias("v")).distinct()
+        found = found.select("u", "v") if opening else found.select(F.col("uc").alias("u"), F.col("vc").alias("v")).distinct()
         links = written(links.unionByName(found), "links")
         drop(pairs)
     return links
