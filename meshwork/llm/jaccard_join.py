@@ -33,15 +33,18 @@ from pyspark.sql import functions as F
 from meshwork.plans.components import components
 from meshwork.plans.durable import drop, written
 from meshwork.plans.skew import lookup
+from meshwork.plans.workers import trimmed
 
 SLICE_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A table of ids up to this many rows (a few MB) may be broadcast; its size is counted first.
 BROADCAST_ROWS = 500_000
+#: Up to this many pairs (16 MB), counted first, one task finds the components; more go by rounds of shuffles.
+LOCAL_PAIRS = 500_000
 #: Classes that a task remembers to have sent the signatures of (bounds memory only; sending them again does no harm).
 SEEN_CLASSES = 1_000_000
 #: Signatures and features that a task holds before it combines them (bounds memory only).
-HELD = 2_000_000
+HELD = 500_000
 #: Signatures of fewer features than this, on average, get spare parts.
 SHORT = 8
 #: Features held by so many classes of one task, and so many in all tasks that list them, are frequent; at most so many are kept.
@@ -240,7 +243,7 @@ def fingerprint(rows: DataFrame, n: int, counted: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), kind), pa.array(np.full(len(x), -1)), pa.array(x.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
     kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"__id {kind}, n_shingles long, class long, check long")
+    return rows.mapInArrow(trimmed(run), f"__id {kind}, n_shingles long, class long, check long")
 
 
 def frequent_features(prints: DataFrame) -> np.ndarray:
@@ -288,7 +291,7 @@ def signature_rows(rows: DataFrame, n: int, percent: int, frequent: np.ndarray)
         if size:
             yield from combined(sigs, owners)
 
-    return rows.select("__text").mapInArrow(run, "sig long, class long, mate long")
+    return rows.select("__text").mapInArrow(trimmed(run), "sig long, class long, mate long")
 
 
 def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -301,7 +304,7 @@ def shingle_sets(rows: DataFrame, n: int) -> DataFrame:
                 sets = shingler.sets(part)
                 yield pa.RecordBatch.from_arrays([pa.array(digests(sets, 21)), pa.array(digests(sets, 22)), _lists(sets)], ["class", "check", "set"])
 
-    return rows.select("__text").mapInArrow(run, "class long, check long, set array<long>")
+    return rows.select("__text").mapInArrow(trimmed(run), "class long, check long, set array<long>")
 
 
 def _most(sizes: Column, percent: int) -> Column:
@@ -420,13 +423,13 @@ def linked_pairs(diffs: DataFrame, percent: int) -> DataFrame:
     if each.where("not linked").isEmpty() and rows.where("not linked and a <= k").isEmpty():
         return links
     for opening in (True, False):
-        comps = written(components(links), "components")
+        comps = written(components(links, LOCAL_PAIRS), "components")
         if not opening:
             moved = nearer(rows.select(*diffs.columns), comps, percent)
             if not moved.isEmpty():
                 diffs = written(diffs.join(moved.select("group").distinct(), "group", "left_anti").unionByName(moved), "differences")
                 links = written(links.unionByName(tops(moved)), "links")
-                comps = written(components(links), "components")
+                comps = written(components(links, LOCAL_PAIRS), "components")
                 drop(each)
                 rows, each = orders(diffs, percent)
             drop(moved)
@@ -479,9 +482,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = signature_rows(of(classes) if few else rows, n, percent, frequent)
     met = sent.withColumn("least", F.min("class").over(Window.partitionBy("sig"))).where("mate is not null or least < class")
     edges = written(met.select(F.col("class").alias("u"), F.coalesce("mate", "least").alias("v")).distinct(), "edges")
-    groups = written(components(edges).select(F.col("component").alias("group"), F.col("node").alias("class")), "groups")
+    groups = written(components(edges, LOCAL_PAIRS).select(F.col("component").alias("group"), F.col("node").alias("class")), "groups")
     diffs = differences(groups, lambda chosen: shingle_sets(of(chosen), n), percent)
-    comps = written(components(linked_pairs(diffs, percent)), "components")
+    comps = written(components(linked_pairs(diffs, percent), LOCAL_PAIRS), "components")
     drop(edges, groups, diffs)
     classes = classes.withColumn("node", F.struct("class", "check")).join(comps, "node", "left")
     named = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("first"))

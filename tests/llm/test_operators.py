@@ -9,6 +9,7 @@ import numpy as np
 from meshwork.llm import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, quality, secret_scan, toxicity, warc
 from meshwork.llm.embedding_dedup import near_dedup
 from meshwork.llm.queries_native import OP8_SQL, op8_mixing
+from meshwork.plans.components import components
 
 TEXTS = [(1, "a  b\tc"), (2, "a b c"), (3, None), (4, ""), (5, "x " * 3000), (6, "a b c"), (6, "a b c"), (None, "a b c"), (7, "mit license " + "0" * 40)]
 
@@ -378,6 +379,22 @@ def test_near_copies_far_from_their_pivot_meet_few_times(spark, monkeypatch):
     assert sum(compared) < 10 * n and pairs.count() < 10 * n
 
 
+def test_few_pairs_are_settled_in_one_task(spark, monkeypatch):
+    """The same components as the rounds find, and no rounds in a join of few pairs, where each shuffle has its fixed cost."""
+    rng = random.Random(3)
+    ends = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(350)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7), (900, 900)]
+    longs = spark.createDataFrame(ends, "u long, v long")
+    pairs = longs.selectExpr("struct(u div 100 AS class, u AS check) AS u", "struct(v div 100 AS class, v AS check) AS v")
+    several = {few: [sorted(map(tuple, components(df, few).collect())) for df in (longs, pairs)] for few in (0, 100, 10_000)}
+    assert several[0] == several[100] == several[10_000] and len({c for _, c in several[0][0]}) > 10
+    monkeypatch.setattr("meshwork.plans.components._star", lambda *_: 1 / 0)
+    for none in (longs.limit(0), pairs.limit(0), longs.where("u = v")):
+        assert components(none, 10_000).count() == 0
+    rows = [(k, " ".join([f"w{k // 10}x{i}" for i in range(99 - k % 10)])) for k in range(40)]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(frame(spark, rows), n=3, percent=80).collect()}
+    assert got == {k: k // 10 * 10 for k in range(40)}
+
+
 def test_warc_of_several_files_nulls_and_long_pages(spark):
     long = "<p>" + "é" * 3_000_000 + warc.MAGIC + "x" * 100
     rows = [(i, None if i % 3 else f"http://h/{i}", [None, "", "same", f"own {i}"][i % 4]) for i in range(60)] + [(100, "u", long), (101, "u", long), (None, "u", "same"), (None, None, "alone")]
