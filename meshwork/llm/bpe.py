@@ -23,6 +23,8 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from meshwork.plans.workers import trimmed
+
 #: The splitting pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED_SPACE = re.compile(r"\s (?!\S)")
@@ -203,17 +205,20 @@ def encode(docs: DataFrame, vocabulary_path: str, text_col: str = "text", ids_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the kept words hold no cycles, and walking over them is slow
-        codec = _codec(shared.value)
-        for batch in batches:
-            for start, n in _slices(batch, batch.column(text_col)):
-                part = batch.slice(start, n)
-                ids = [codec.encode_packed(t) if t else b"" for t in part.column(text_col).to_pylist()]
-                ends = array("i", itertools.accumulate((len(x) // 4 for x in ids), initial=0))
-                plain = lambda b: pa.Array.from_buffers(pa.int32(), len(b) // 4, [None, pa.py_buffer(b)])
-                column = pa.ListArray.from_arrays(plain(ends.tobytes()), plain(b"".join(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids_col])
-
-    return docs.mapInArrow(run, _schema(docs, ids_col, "array<int>"))
+        try:
+            codec = _codec(shared.value)
+            for batch in batches:
+                for start, n in _slices(batch, batch.column(text_col)):
+                    part = batch.slice(start, n)
+                    ids = [codec.encode_packed(t) if t else b"" for t in part.column(text_col).to_pylist()]
+                    ends = array("i", itertools.accumulate((len(x) // 4 for x in ids), initial=0))
+                    plain = lambda b: pa.Array.from_buffers(pa.int32(), len(b) // 4, [None, pa.py_buffer(b)])
+                    column = pa.ListArray.from_arrays(plain(ends.tobytes()), plain(b"".join(ids)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, ids_col])
+        finally:
+            gc.enable()  # the worker runs other tasks later
+
+    return docs.mapInArrow(trimmed(run), _schema(docs, ids_col, "array<int>"))
 
 
 def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -228,7 +233,7 @@ def decode(rows: DataFrame, vocabulary_path: str, ids_col: str = "token_ids", te
                 part = batch.slice(start, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded(part.column(ids_col), strings)], [*part.schema.names, text_col])
 
-    return rows.mapInArrow(run, _schema(rows, text_col, "string"))
+    return rows.mapInArrow(trimmed(run), _schema(rows, text_col, "string"))
 
 
 def decoded(lists: pa.ListArray, strings: pa.LargeBinaryArray) -> pa.StringArray:

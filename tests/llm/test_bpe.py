@@ -1,6 +1,9 @@
+import gc
 import hashlib
 import random
 
+import pyarrow as pa
+
 from meshwork.llm import bpe
 from meshwork.llm.queries_text import op2_bpe, vocabulary
 
@@ -54,3 +57,15 @@ def test_query_equals_the_library(spark):
         ids = tok.encode(d.text or "", add_special_tokens=False).ids
         assert got[d.doc_id].n_tokens == len(ids) and got[d.doc_id].ids_sha256 == sha(",".join(map(str, ids)))
         assert got[d.doc_id].decoded_sha256 == sha(tok.decode(ids, skip_special_tokens=False))
+
+
+def test_workers_collect_garbage_after_encoding(spark):
+    """A worker runs other tasks later; with its collector off, what they leave in cycles would stay for good."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gc.isenabled()] * len(batch))], ["on"])
+
+    docs = spark.range(0, 64, 1, 16).selectExpr("id AS doc_id", "concat('some text ', id) AS text")
+    assert bpe.decode(bpe.encode(docs, vocabulary()), vocabulary()).where("decoded = text").count() == 64
+    assert {r.on for r in spark.range(0, 64, 1, 16).mapInArrow(run, "on boolean").collect()} == {True}
