@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm.fim import fill_in_middle
+from meshwork.llm.prefix_trie import prefix_trie
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +19,25 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
 
 
+OP11_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+  {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS w FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT DISTINCT c, [ascii(substr(CAST(c AS VARCHAR), k, 1)) FOR k IN range(1, length(CAST(c AS VARCHAR)) + 1)] AS b FROM t),
+k AS (SELECT c, xor(list_reduce(b, lambda a, x: list_reduce(range(8), lambda y, s: xor(y >> 1, 3988292384 * (y & 1)), xor(a, x::BIGINT)), 4294967295), 4294967295) % 9 AS h FROM bits),
+r AS (SELECT t.c, 1 AS own, i, w FROM t JOIN k USING (c) WHERE i >= h
+  UNION ALL SELECT k.c, 0, i, w FROM k JOIN t ON t.c = k.c - k.c % 5 AND i < h),
+o AS (SELECT c, row_number() OVER u AS d, list(w) OVER u AS p FROM r WINDOW u AS (PARTITION BY c ORDER BY own, i)),
+a AS (SELECT c, d, p FROM o UNION ALL SELECT c, 0, [] FROM k),
+e AS (SELECT c, max(d) AS d FROM a GROUP BY c),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(strlen(p[-1].text)), 0) AS bytes FROM a GROUP BY p, d),
+x AS (SELECT p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM a JOIN e USING (c, d) GROUP BY p),
+kids AS (SELECT p[:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+under AS (SELECT m.p[:j] AS p, sum((n_convs - 1) * bytes) AS saved, count(*) FILTER (kids.p IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(d + 1)) AS j FROM n) m LEFT JOIN kids ON kids.p = m.p GROUP BY 1)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN under ON under.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN x ON x.p = n.p LEFT JOIN n up ON n.d > 0 AND up.p = n.p[:n.d - 1]
+"""
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k FROM documents),
@@ -27,5 +51,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END A
   sha256(t) AS restored_sha256
 FROM p
 """
-QUERIES = {f.__name__: f for f in (op13_fill_in_middle,)}
-ORACLE: dict[str, str] = {"op13_fill_in_middle": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op11_prefix_trie, op13_fill_in_middle)}
+ORACLE: dict[str, str] = {"op11_prefix_trie": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
