@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from meshwork.llm.fim import fill_in_middle
 from meshwork.llm.prefix_trie import prefix_trie
+from meshwork.llm.substring_dedup import substring_dedup
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
@@ -38,6 +44,16 @@ SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs,
   saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM n JOIN under ON under.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN x ON x.p = n.p LEFT JOIN n up ON n.d > 0 AND up.p = n.p[:n.d - 1]
 """
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w[s:s + 19] ORDER BY doc_id, s) > 1 AS again FROM g),
+x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM k WHERE again),
+y AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [v FOR v, i IN w IF NOT list_contains(gone, i)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN y USING (doc_id)
+"""
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k FROM documents),
@@ -51,5 +67,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END A
   sha256(t) AS restored_sha256
 FROM p
 """
-QUERIES = {f.__name__: f for f in (op11_prefix_trie, op13_fill_in_middle)}
-ORACLE: dict[str, str] = {"op11_prefix_trie": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op11_prefix_trie, op12_substring_dedup, op13_fill_in_middle)}
+ORACLE: dict[str, str] = {"op11_prefix_trie": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
