@@ -46,13 +46,13 @@ FROM n JOIN under ON under.p = n.p LEFT JOIN kids ON kids.p = n.p LEFT JOIN x ON
 """
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM d WHERE len(w) >= 20),
-k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w[s:s + 19] ORDER BY doc_id, s) > 1 AS again FROM g),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, unnest([array_to_string(w[j:j + 19], ' ') FOR j IN range(1, len(w) - 18)]) AS v FROM d WHERE len(w) >= 20),
+k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY v ORDER BY doc_id, s) > 1 AS again FROM g),
 x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM k WHERE again),
-y AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [v FOR v, i IN w IF NOT list_contains(gone, i)] END, ' '), '')) AS kept_sha256
-FROM d LEFT JOIN y USING (doc_id)
+y AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS v FROM d),
+z AS (SELECT doc_id, count(x.i) AS gone, string_agg(v, ' ' ORDER BY i) FILTER (x.i IS NULL) AS kept FROM y LEFT JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN z USING (doc_id)
 """
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
