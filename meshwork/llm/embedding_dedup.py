@@ -1,33 +1,34 @@
 """Embedding near-dedup: a hierarchical navigable small-world graph per shard, every shard queried, links verified.
 
 Equal vectors of a label are one class. Classes are dealt to shards of bounded size; each shard gets a graph of its own,
-built in batches with numpy. Every block of classes queries every shard of its label: from what a query's beam holds within
-the threshold it goes on along links, in either direction, to all that is within it, so a large group costs what it holds.
-The whole block's beam widens until it finds all links that an audit of its queries against brute force sees; the audit goes
-on until it has seen enough of them, over the whole block if need be, and its answers are used. A beam that is too wide for
-its shard is brute force. Cosines are verified in double precision.
+built in batches with numpy. Every block of classes queries every shard
+of its label: from what a query's beam holds within the threshold it goes on along links, in either direction, to all that is
+within it, so a large group costs what it holds. The block's beam widens until it finds all true links of an audit: a sample of
+the block's queries, and where these have few links planted ones too, vectors of the shard turned to a cosine just over the
+threshold, so that an audit sees links however rare they are. All answers are the graph's. Only where no beam passes the audit is the shard compared as a whole, and a
+warning logged. Cosines are verified in double precision.
 """
 
 from __future__ import annotations
 
 import logging
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.plans.components import components
+from meshwork.plans.components import components, least_reachable
 from meshwork.plans.durable import drop, written
 from meshwork.plans.skew import lookup
 
 SHARD_ROWS, BLOCK_ROWS = 20_000, 2_000  #: classes in a shard's graph, and in a block of queries: memory of one task
-#: Queries of a block are held against brute force so many at a time, until they have so many links to other vectors.
-AUDIT, AUDIT_LINKS = 48, 200
-#: A query that links with this share of a shard or more is compared with all of it, so with at most WHOLE vectors for each of its
-#: links; so is a block whose beams would have to widen to the share 1 / WIDE, as keeping them costs more than the products they save.
-WHOLE, WIDE = 32, 16
+#: So many queries of a block are audited against brute force, and as many planted ones if those have fewer links.
+AUDIT = 48
+#: A query that links with this share of a shard or more is compared with all of it, so with at most WHOLE vectors for each of its links.
+WHOLE = 32
 log = logging.getLogger(__name__)
 
 
@@ -180,19 +181,14 @@ class Hnsw:
             out[i] = np.flatnonzero(row)
         return out
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> list[np.ndarray]:
-        """Indices of vectors at a similarity of ``least`` or more, as far as beams and the links from what they hold find them."""
+    def within(self, q: np.ndarray, least: float, ef: int) -> Iterator[list[np.ndarray]]:
+        """Slice by slice, indices of vectors at a similarity of ``least`` or more, as far as beams and the links from what they hold find them."""
         n = len(self.x)
-        out: list[np.ndarray] = []
-        width, near = max(16, min(512, 40_000_000 // (n + 24 * ef * 8))), self._both_ways()
+        width, near = max(16, min(512, 4_000_000 // n, 40_000_000 // (n + 24 * ef * 8))), self._both_ways()
         for a in range(0, len(q), width):
             part = q[a : a + width]
-            if ef >= n // 2:
-                out += [np.flatnonzero(row) for row in part @ self.x.T >= least]
-            else:
-                ids, sims = self._beam(part, 0, self._entries(part, 0, n), ef, n)
-                out += self._spread(part, ids, sims, least, near)
-        return out
+            ids, sims = self._beam(part, 0, self._entries(part, 0, n), ef, n)
+            yield self._spread(part, ids, sims, least, near)
 
 
 def _unit(vectors) -> np.ndarray:
@@ -207,61 +203,66 @@ def _order(keys) -> np.ndarray:
     return np.argsort(np.asarray(keys), kind="stable")
 
 
-def _audit(shard: Hnsw, ids: np.ndarray, q: np.ndarray, own: np.ndarray, least: float) -> dict[int, np.ndarray]:
-    """True links to other vectors, by brute force, of queries in a mixed order: where links are sparse, of all queries."""
-    truth: dict[int, np.ndarray] = {}
-    order, seen = np.random.default_rng(len(q)).permutation(len(q)), 0
-    for a in range(0, len(q), AUDIT):
-        part = order[a : a + AUDIT]
-        for i, near in zip(part.tolist(), q[part] @ shard.x.T >= least, strict=True):
-            h = np.flatnonzero(near)
-            truth[i] = h[ids[h] != own[i]]
-            seen += len(truth[i])
-        if seen >= AUDIT_LINKS:
-            break
-    return truth
+def _products(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[list[np.ndarray]]:
+    for a in range(0, len(q), 64):
+        yield [np.flatnonzero(row) for row in q[a : a + 64] @ x.T >= least]
+
+
+def _planted(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """Vectors of a shard turned in random directions to a cosine a quarter of the way from the threshold to 1."""
+    base = x[rng.permutation(len(x))[:AUDIT]]
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(1, keepdims=True) * base
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    cos = threshold + (1 - threshold) / 4
+    return np.where(size > 1e-9, cos * base + np.sqrt(1 - cos * cos) * away / np.maximum(size, 1e-9), base)  # in one dimension there is no turning
+
+
+def beam_width(shard: Hnsw, ids: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[int | None, float]:
+    """The narrowest of the beams 32, 64, ... that finds every link of the audit, None if none does; and the first beam's recall."""
+    rng = np.random.default_rng(len(q))
+    sample = rng.permutation(len(q))[:AUDIT]
+    asked = q[sample]
+    truth = [h[ids[h] != own[i]] for i, h in zip(sample.tolist(), (h for part in _products(shard.x, asked, threshold) for h in part), strict=True)]
+    if sum(map(len, truth)) < AUDIT:
+        planted = _planted(shard.x, threshold, rng)
+        asked = np.concatenate([asked, planted])
+        truth += [h for part in _products(shard.x, planted, threshold) for h in part]
+    true, ef, first = sum(map(len, truth)), 32, None
+    while True:
+        found = sum(len(np.intersect1d(g, t)) for g, t in zip((g for part in shard.within(asked, threshold, ef) for g in part), truth, strict=True))
+        first = found / max(true, 1) if first is None else first
+        log.info("beam %d found %d of %d audited links of %d queries", ef, found, true, len(asked))
+        if found == true:
+            return ef, first
+        if ef >= len(shard.x):
+            return None, first
+        ef *= 2
 
 
 def _query(shard: Hnsw, ids: np.ndarray, weights: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float) -> pd.DataFrame:
-    least = threshold - 1e-12
-    truth = _audit(shard, ids, q, own, least)
-    rest = np.setdiff1d(np.arange(len(q)), list(truth))
-    hits, true, found, ef = dict(truth), sum(map(len, truth.values())), 0, 32
-    while len(rest):
-        got = shard.within(q, least, ef)
-        found = sum(len(np.intersect1d(got[i], t)) for i, t in truth.items())
-        if found >= true or ef >= len(shard.x):
-            hits.update((i, got[i]) for i in rest)
-            break
-        ef = 2 * ef if 2 * ef * WIDE < len(shard.x) else len(shard.x)
-    log.info("%d of %d queries audited; beam %d for the others found %d of %d true links", len(truth), len(q), ef if len(rest) else 0, found, true)
-    us, vs, links = [], [], []
-    for i in range(len(q)):
-        other = hits[i][ids[hits[i]] != own[i]]
-        links.append(int(weights[other].sum()))
-        us.append(np.full(len(other), own[i], np.int64))
-        vs.append(ids[other])
-    u, v = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (us, vs))
-    u, v = _forest(u, v)
-    return pd.DataFrame({"u": np.concatenate([own, u]), "v": np.concatenate([np.full(len(own), -1, np.int64), v]), "n": np.concatenate([np.array(links, np.int64), np.full(len(u), -1, np.int64)])})
-
-
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each node of the pairs with the least node it reaches inside them: fewer pairs, the same components."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    keep = label != np.arange(len(nodes))
-    return nodes[keep], nodes[label[keep]]
+    """(u, v, n): v = -1 and the number of links for each query; and pairs that connect what the links connect, n = -1."""
+    ef, recall = beam_width(shard, ids, q, own, threshold)
+    if ef is None:
+        log.warning("no beam finds the audited links (the first: %.3f of them), so %d vectors are compared as a whole", recall, len(shard.x))
+    # one number for each vector, whether in the shard, in the block or in both; of a slice of queries only what it connects is kept
+    nodes, at = np.unique(np.concatenate([ids, own]), return_inverse=True)
+    mine, asks = at[: len(ids)], at[len(ids) :]
+    top, links, done = np.arange(len(nodes)), np.zeros(len(q), np.int64), 0
+    for hits in _products(shard.x, q, threshold) if ef is None else shard.within(q, threshold, ef):
+        us, vs = np.repeat(asks[done : done + len(hits)], [len(h) for h in hits]), mine[np.concatenate(hits)]
+        other = us != vs
+        us, vs = us[other], vs[other]
+        weight = np.zeros(len(nodes), np.int64)
+        weight[mine] = weights
+        number = np.zeros(len(nodes), np.int64)
+        np.add.at(number, us, weight[vs])
+        links[done : done + len(hits)] = number[asks[done : done + len(hits)]]
+        top = least_reachable(top[us], top[vs], len(nodes))[top]
+        done += len(hits)
+    moved = np.flatnonzero(top != np.arange(len(nodes)))
+    u, v = nodes[moved], nodes[top[moved]]
+    return pd.DataFrame({"u": np.concatenate([own, u]), "v": np.concatenate([np.full(len(own), -1, np.int64), v]), "n": np.concatenate([links, np.full(len(u), -1, np.int64)])})
 
 
 def near_dedup(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:

@@ -115,15 +115,43 @@ def test_embeddings_of_repeated_ids(spark):
     assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
 
 
-def test_audit_where_links_are_sparse():
+def test_links_come_from_the_graph_and_audits_tell_an_empty_one():
+    """Links are rare, so planted queries tell what the beams find; of a graph without links they find next to nothing."""
     rng = np.random.default_rng(4)
-    shard = embedding_dedup.Hnsw(embedding_dedup._unit(rng.normal(size=(600, 32))))
+    x = embedding_dedup._unit(rng.normal(size=(3_000, 32)))
+    q = embedding_dedup._unit(np.concatenate([x[:150] + 0.05 * rng.normal(size=(150, 32)), rng.normal(size=(350, 32))]))
+    shard, ids, own = embedding_dedup.Hnsw(x), np.arange(3_000), np.arange(10_000, 10_500)
+    ef, recall = embedding_dedup.beam_width(shard, ids, q, own, 0.93)
+    assert ef is not None and ef <= 256 and recall >= 0.9
+    found = [h for part in shard.within(q, 0.93, ef) for h in part]
+    truth = [np.flatnonzero(row) for row in q @ x.T >= 0.93]
+    assert sum(map(len, truth)) >= 150 and sum(len(np.intersect1d(f, t)) for f, t in zip(found, truth, strict=True)) >= 0.99 * sum(map(len, truth))
     for links in shard.links:
-        links[:] = -1  # a graph that finds next to nothing
-    q = embedding_dedup._unit(rng.normal(size=(200, 32)))
-    q[1] = shard.x[577]
-    out = embedding_dedup._query(shard, np.arange(600), np.ones(600, int), q, np.arange(1000, 1200), 0.93)
-    assert {(r.u, r.n) for r in out.itertuples() if r.v < 0 and r.n} == {(1001, 1)}
+        links[:] = -1
+    assert embedding_dedup.beam_width(shard, ids, q, own, 0.93)[0] is None
+    out = embedding_dedup._query(shard, ids, np.ones(3_000, int), q, own, 0.93)
+    assert out.n[out.v < 0].sum() == sum(map(len, truth))
+
+
+def test_no_link_below_the_threshold(spark):
+    cos = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0], 0), (2, cos(0.93 - 5e-13), 0), (3, [0.0, -1.0], 0), (4, [-1.0, 0.0], 1), (5, [-x for x in cos(0.93 + 5e-13)], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
+
+
+def test_memory_of_one_large_group_of_near_vectors():
+    """One shard of 20,000 vectors that all link: a block of queries holds counts and what is connected, not 40,000,000 links."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=48) + 0.1 * rng.normal(size=(20_000, 48))
+    shard = embedding_dedup.Hnsw(embedding_dedup._unit(x), ef=24)
+    tracemalloc.start()
+    out = embedding_dedup._query(shard, np.arange(20_000), np.ones(20_000, int), shard.x[:600], np.arange(600), 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out.n[out.v < 0] == (shard.x[:600] @ shard.x.T >= 0.93).sum(1) - 1).mean() > 0.999 and peak < 700e6
 
 
 def test_embeddings_of_a_label_in_several_shards(spark, monkeypatch):
@@ -152,6 +180,24 @@ def test_warc_repeated_page_ids(spark):
     assert got == [(1, "response", 1), (1, "response", 2), (1, "response", 3), (2, "revisit", 1), (3, "revisit", 2), (4, "revisit", 3)]
 
 
+def test_warc_loses_no_record_however_files_are_split(spark):
+    """Small splits cut records anywhere; another number of cores plans other splits; ids are strings that would break a header."""
+    rows = [(f"p>{i}\r\nx: %y é", f"h/{i}", ("a" * (i * 37 % 900) + (warc.MAGIC if i % 2 else "") + "b") * 3) for i in range(60)] + [("", None, "c"), (None, None, "d")]
+    path = warc.new_path(spark, "split")
+    warc.write_warc(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2), path)
+    want = sorted((i or "", len(h.encode())) for i, _, h in rows)
+    for split, cores in (("128m", "8"), ("1k", "3"), ("5000", "64")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        try:
+            read = warc.read_warc(spark, path)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")  # what is left to run is planned for other cores
+            assert sorted((r.id or "", r.payload_bytes) for r in read.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
