@@ -46,7 +46,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, lea
 
 def _record(date: str) -> Column:
     """The text of a record but for its last line break, which the text writer adds."""
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     url = F.regexp_replace("__url", r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("__html").cast("string"), F.lit(CRLF + CRLF))
@@ -76,7 +76,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(pieces: DataFrame) -> DataFrame:
-    """Thin columns of each piece: its length, and what its header says if it has one."""
+    """Thin columns of each piece: its length, its text's name, and what its header says if it has one."""
     end = F.instr("value", CRLF + CRLF)
     rows = pieces.withColumn("head", F.when(end > 0, F.expr("concat('\\r\\n', left(value, instr(value, '\\r\\n\\r\\n') + 3))")).otherwise(F.lit("")))
     named = lambda name: F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
@@ -88,11 +88,16 @@ def _parsed(pieces: DataFrame) -> DataFrame:
     body = F.when(F.octet_length(body) == F.col("size") + 4, F.expr("left(substr(value, char_length(head) - 1), char_length(value) - char_length(head) + 2 - 4)"))
     rows = rows.withColumn("body", body)
     return rows.select(
-        "file", "block", "nth", "len", "head_len", "size", F.col("body").isNotNull().alias("whole"), *_payload("body"),
+        "file", "block", "nth", "len", "head_len", "size", F.col("body").isNotNull().alias("whole"), _named().alias("name"), *_payload("body"),
         named("WARC-Type").alias("type"), named("WARC-Record-ID").alias("urn"), named("WARC-Refers-To").alias("refers"), named("WARC-Payload-Digest").alias("said"),
     )
 
 
+def _named() -> Column:
+    """128 bits and the length of a piece's text: the same in every scan, however files are split."""
+    return F.struct(F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"), F.octet_length("value").alias("n"))
+
+
 def _payload(block: str) -> list[Column]:
     """Bytes and digest of an HTTP response's payload: what follows its first empty line."""
     payload = F.expr(f"substr({block}, instr({block}, '\\r\\n\\r\\n') + 4)").cast("binary")
@@ -139,27 +144,33 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     thin = written(_placed(_parsed(_pieces(spark, path))), "pieces")
     following = F.col("at") + len(MAGIC) + F.col("head_len") + F.col("size") + 4
-    found = reachable(thin.where("at >= 0 and size is not null").withColumn("next", following))
+    found = reachable(thin.where("at >= 0 and size is not null").drop("name").withColumn("next", following))
     split = found.where("not whole")
     if split.isEmpty():
         full = found
     else:
         full = found.where("whole").unionByName(_joined(spark, path, thin, split))
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
+    page = lambda c: F.try_url_decode(F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")))
     response = F.col("type") == "response"
     return full.select(
-        "file", "at", "type", F.expr("nullif(regexp_extract(urn, '^<urn:page:(.*)>$', 1), '')").alias("id"), F.when(~response, page("refers")).alias("refers_to"),
+        "file", "at", "type", page("urn").alias("id"), F.when(~response, page("refers")).alias("refers_to"),
         F.when(response, F.col("bytes")).alias("payload_bytes"), F.when(response, F.col("digest")).alias("payload_digest"), F.regexp_replace("said", "^sha1:", "").alias("said"),
     )
 
 
 def _joined(spark: SparkSession, path: str, thin: DataFrame, split: DataFrame) -> DataFrame:
-    """Records that hold magic: their pieces, by offset, joined with the magic between them. One record is one group."""
+    """Records that hold magic: their pieces, by offset, joined with the magic between them. One record is one group.
+
+    Texts come from a second scan, which may split files elsewhere, so they are found by their names; that one is missing raises.
+    """
     span = split.select("file", F.col("at").alias("start"), (F.col("at") + len(MAGIC) + F.col("head_len") + F.col("size") + 4).alias("stop"))
     span = span.withColumn("range", F.explode(F.sequence(F.expr(f"start div {RANGE_BYTES}"), F.expr(f"stop div {RANGE_BYTES}"))))
-    pieces = thin.where("at >= 0").select("file", "block", "nth", "at", F.expr(f"at div {RANGE_BYTES}").alias("range"))
-    parts = pieces.join(span, ["file", "range"]).where("at >= start and at < stop").drop("range")
-    text = _pieces(spark, path).join(parts.select("block", "nth", "file", "at", "start"), ["file", "block", "nth"])
+    pieces = thin.where("at >= 0").select("file", "at", "name", F.expr(f"at div {RANGE_BYTES}").alias("range"))
+    parts = written(pieces.join(span, ["file", "range"]).where("at >= start and at < stop").drop("range"), "parts")
+    again = spark.read.option("lineSep", MAGIC).text(path).select("value", _named().alias("name"))
+    texts = again.join(parts.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("value").alias("value"))
+    there = F.when(F.col("value").isNull(), F.raise_error(F.lit("a piece of a record was not found again"))).otherwise(F.col("value"))
+    text = parts.join(texts, "name", "left").select("file", "start", "at", there.alias("value"))
     glued = text.groupBy("file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     glued = glued.join(split.drop("bytes", "digest").withColumnRenamed("at", "start"), ["file", "start"])
     block = F.substring(F.col("value").cast("binary"), F.col("head_len").cast("int") + 1, F.col("size").cast("int")).cast("string")
