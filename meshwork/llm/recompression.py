@@ -128,6 +128,14 @@ def anchors(s: Symbols, starts: np.ndarray, n: int) -> np.ndarray:
     return best
 
 
+def hung_names(words: np.ndarray, s: Symbols) -> np.ndarray:
+    """Names of all words that each symbol hangs on: more than its own, so fewer symbols of one name stand where nothing is repeated."""
+    powers, back = (np.cumprod(np.append(np.uint64(1), np.full(len(words), p, np.uint64))) for p in (_A, np.uint64(pow(int(_A), -1, 2**64))))
+    sums = np.append(np.uint64(0), np.cumsum(words * powers[:-1]))
+    first, last = np.clip(s.first, 0, len(words)), np.clip(s.last, 0, len(words))
+    return mix((sums[last] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+
+
 def window_names(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """96 bits naming the ``n`` words from each start: 64 and 32."""
     a = np.zeros(len(starts), np.uint64)

@@ -1,10 +1,10 @@
 """Repeated windows of words found by the symbols of a recompression that stand for them.
 
-Equal windows are stood for by symbols of one name (see :mod:`recompression`), so a window whose symbol occurs once in all documents
-is not repeated. Four jobs of one plan follow: whole documents are named, so that of equal ones only the first is looked at; symbols
-are counted, and the unique ones return to their documents; windows that are left, and those no symbol stands for, are named by their
-words and counted, and each name's first place returns to its document; what isn't first is removed. Counts are group-bys with
-partial sums, so a frequent symbol or window arrives once a task. Texts are shuffled once, and what returns to them is of their size.
+Equal windows are stood for by symbols of one name (see :mod:`recompression`), so a window whose symbol, with the words that it hangs
+on, occurs once in all documents is not repeated. Four jobs of one plan follow: whole documents are named, so that of equal ones only
+the first is looked at; symbols are counted, and the unique ones return to their documents; windows that are left, and those no symbol
+stands for, are named by their words and counted, and each name's first place returns to its document; what isn't first is removed.
+Counts are group-bys with partial sums, so what is frequent arrives once a task. Texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.llm.fim import slices
-from meshwork.llm.recompression import Symbols, anchors, recompress, split_words, window_names
+from meshwork.llm.recompression import Symbols, anchors, hung_names, recompress, split_words, window_names
 from meshwork.plans.workers import trimmed
 
 #: Bytes of text that a task works on at a time; the numpy arrays take some thirty times that. A longer text goes alone.
 SLICE_BYTES = 1 << 21
+#: Bits of a row's hash beside a window's start, which has the others: texts have up to 2^28 words.
+TIE_BITS = 35
 
 
 class _Part:
@@ -55,7 +58,7 @@ class _Part:
         """Starts of the windows that may be repeated: of first documents, and not stood for by a symbol that occurs once."""
         starts, best, symbols = self.windows(n)
         first = np.array([bool(x) for x in self.rows.column("first").to_pylist()], bool)
-        once = np.isin(symbols.name, self.rows.column("once").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        once = np.isin(hung_names(self.names, symbols), self.rows.column("once").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         return starts[first[self.doc[starts]] & ~((best >= 0) & once[best])] if len(starts) else starts
 
 
@@ -80,22 +83,22 @@ def _documents(part: _Part, n: int) -> pa.RecordBatch:
 
 
 def _symbols(part: _Part, n: int) -> pa.RecordBatch:
-    """A row per symbol that stands for some window."""
+    """A row per symbol that stands for some window, named by the words it hangs on, which such a window holds too."""
     _, best, symbols = part.windows(n)
     used = np.unique(best[best >= 0])
-    return pa.RecordBatch.from_arrays([_signed(symbols.name[used]), pa.array(part.column("row")[part.doc[symbols.lo[used]]])], ["name", "row"])
+    return pa.RecordBatch.from_arrays([_signed(hung_names(part.names, symbols)[used]), pa.array(part.column("row")[part.doc[symbols.lo[used]]])], ["name", "row"])
 
 
 def _windows(part: _Part, n: int) -> pa.RecordBatch:
+    """A row per window that may be repeated; ``place`` is its start and, in the low bits, some of its row's hash."""
     starts = part.pending(n)
     a, b = window_names(part.names, starts, n)
     doc = part.doc[starts]
     at = (starts - np.searchsorted(part.doc, doc)).astype(np.int64)
-    row, key = part.column("row")[doc], part.column("key")[doc]
-    keep = np.lexsort((at, key, b, a))  # of the windows of one name and document order the first will do
-    new = np.append(True, (a[keep][1:] != a[keep][:-1]) | (b[keep][1:] != b[keep][:-1]))[: len(keep)]
-    keep = keep[new]
-    return pa.RecordBatch.from_arrays([_signed(a[keep]), pa.array(b[keep].astype(np.int64)), pa.array(key[keep]), pa.array(at[keep]), pa.array(row[keep])], ["a", "b", "key", "at", "row"])
+    if len(at) and int(at.max()) >> (63 - TIE_BITS):
+        raise ValueError(f"a text of more than {1 << (63 - TIE_BITS)} words")
+    place = (at << TIE_BITS) | part.column("bits")[doc]
+    return pa.RecordBatch.from_arrays([_signed(a), pa.array(b.astype(np.int64)), pa.array(part.column("key")[doc]), pa.array(place)], ["a", "b", "key", "place"])
 
 
 def _kept(part: _Part, n: int) -> pa.RecordBatch:
@@ -104,7 +107,7 @@ def _kept(part: _Part, n: int) -> pa.RecordBatch:
     doc = part.doc[starts]
     origin = np.searchsorted(part.doc, np.arange(len(part.rows)))
     places = part.rows.column("firsts")
-    counts = pa.compute.fill_null(pa.compute.list_value_length(places), 0).to_numpy(zero_copy_only=False)
+    counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
     flat = places.flatten()
     first_at = flat.field("at").to_numpy(zero_copy_only=False) + origin[np.repeat(np.arange(len(part.rows)), counts)]
     first = np.isin(starts, first_at)
@@ -132,6 +135,11 @@ def _kept(part: _Part, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.rows.column("id"), pa.array(part.n_words), pa.array(removed), pa.array(spans, span), texts], ["id", "n_words", "n_removed", "spans", "kept"])
 
 
+def _row(key: Column, bits: Column) -> Column:
+    """What a row and its windows have in common. Rows that have it in common by chance also share lists, whose names tell them apart."""
+    return F.xxhash64(key, bits)
+
+
 def substring_dedup(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, n_words, n_removed long, spans, kept): each text less the words of windows of ``n`` words that also start earlier.
 
@@ -143,15 +151,17 @@ def substring_dedup(docs: DataFrame, n: int = 20, id_col: str = "doc_id", text_c
     """
     last = F.lit(2**63 - 1)
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), last).alias("key"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = rows.select("id", "key", F.xxhash64("key", "text").alias("row"), "text")
+    rows = rows.withColumn("bits", F.xxhash64("key", "text").bitwiseAND(F.lit((1 << TIE_BITS) - 1)))
+    rows = rows.select("id", "key", "bits", _row(F.col("key"), F.col("bits")).alias("row"), "text")
     whole = _over(n, rows, _documents, "row long, key long, a long, b long").groupBy("a", "b").agg(F.min(F.struct("key", "row")).alias("o"))
     once = _over(n, rows, _symbols, "name long, row long").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).where("n = 1")
     known = whole.select(F.col("o.row").alias("row"), F.lit(None).cast("long").alias("name")).unionByName(once.select("row", "name"))
-    # collect_list leaves out the null that a first document brings
-    known = known.groupBy(F.col("row").alias("r")).agg(F.collect_list("name").alias("once"), F.max(F.col("name").isNull()).alias("first"))
+    # rows meet before lists are made of them, as lists in the making are larger; a list leaves out the null that a first document brings
+    known = known.repartition("row").groupBy(F.col("row").alias("r")).agg(F.collect_list("name").alias("once"), F.max(F.col("name").isNull()).alias("first"))
     held = rows.join(known, F.col("row") == F.col("r"), "left").drop("r")
-    seen = _over(n, held, _windows, "a long, b long, key long, at long, row long")
-    firsts = seen.groupBy("a", "b").agg(F.min(F.struct("key", "at", "row")).alias("o")).select(F.col("o.row").alias("f"), F.struct("o.at", "a").alias("place"))
-    firsts = firsts.groupBy("f").agg(F.collect_list("place").alias("firsts"))
+    seen = _over(n, held, _windows, "a long, b long, key long, place long")
+    firsts = seen.groupBy("a", "b").agg(F.min(F.struct("key", "place")).alias("o"))
+    firsts = firsts.select(_row(F.col("o.key"), F.col("o.place").bitwiseAND(F.lit((1 << TIE_BITS) - 1))).alias("f"), F.shiftright("o.place", TIE_BITS).alias("at"), "a")
+    firsts = firsts.repartition("f").groupBy("f").agg(F.collect_list(F.struct("at", "a")).alias("firsts"))
     out = _over(n, held.join(firsts, F.col("row") == F.col("f"), "left").drop("f"), _kept, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
     return out.withColumnRenamed("id", id_col)
