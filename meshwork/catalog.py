@@ -307,6 +307,33 @@ def shortest_paths(spark, sf):
     return r.select("target", "distance", F.size("paths").cast("long").alias("k"), F.array_min(F.transform("paths", lambda p: F.array_join(p.cast("array<string>"), ","))).alias("first"))
 
 
+@query(f"WITH RECURSIVE {E_SQL}, {DW_SQL} SELECT s AS source, t AS target, d AS distance FROM d WHERE s IN (3, 5) AND d <= 1.0")
+def paths_within_cutoff(spark, sf):
+    return P.multi_source(handoff(spark, sf), [3, 5], True, cutoff=1.0, with_paths=False)
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {DW_SQL}, p(t, d, k) AS (SELECT 3::BIGINT, 0.0::DOUBLE, '3' UNION ALL
+SELECT e.v, p.d + e.w, p.k || ',' || e.v FROM p JOIN e ON e.u = p.t JOIN d ON d.s = 3 AND d.t = e.v AND d.d = p.d + e.w)
+SELECT t AS target, d AS distance, count(*) AS k, min(k) AS first FROM p WHERE t = 8 GROUP BY t, d""")
+def paths_to_target(spark, sf):
+    r = P.single_source(handoff(spark, sf), 3, True, target=8)
+    return r.select("target", "distance", F.size("paths").cast("long").alias("k"), F.array_min(F.transform("paths", lambda p: F.array_join(p.cast("array<string>"), ","))).alias("first"))
+
+
+@query(f"WITH RECURSIVE {E_SQL}, {DW_SQL} SELECT s AS source, t AS target, d AS distance FROM d x WHERE s IN (3, 5) AND d <= (SELECT y.d FROM d y WHERE y.s = x.s AND y.t = 8)")
+def settled_before_target(spark, sf):
+    return P.multi_source(handoff(spark, sf), [3, 5], True, target=8, with_paths=False, include_settled=True)
+
+
+@query(f"""WITH RECURSIVE {E_SQL}, {D0_SQL}, p(t, d, path) AS (SELECT 3::BIGINT, 0, [3::BIGINT] UNION ALL
+SELECT e.v, p.d + 1, min(list_append(p.path, e.v)) FROM p JOIN e ON e.u = p.t JOIN d ON d.s = 3 AND d.t = e.v AND d.d = p.d + 1 GROUP BY e.v, p.d + 1)
+SELECT t AS target, d::DOUBLE AS distance, array_to_string(path, ',') AS path FROM p""")
+def first_paths(spark, sf):
+    """Of each node's shortest paths the least in the order of names."""
+    r = P.single_source(handoff(spark, sf), 3, first_only=True)
+    return r.select("target", "distance", F.array_join(F.col("paths")[0].cast("array<string>"), ",").alias("path"))
+
+
 @query(f"WITH RECURSIVE {E_SQL}, {D0_SQL}, c AS (SELECT t, count(*) - 1 AS r, sum(d) AS x FROM d GROUP BY t) SELECT t AS name, round(CASE WHEN x > 0 THEN r / x::DOUBLE * r / ((SELECT count(*) FROM n) - 1.0) ELSE 0 END, 6) AS value FROM c")
 def closeness(spark, sf):
     return C.closeness_centrality(handoff(spark, sf)).select("name", F.round("value", 6).alias("value"))

@@ -40,12 +40,12 @@ class Csr:
         return at, self.dst[edge]
 
 
-def levels(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Hop distances (-1: unreached), numbers of shortest paths, and per level its edges (from, to)."""
+def levels(g: Csr, s: int, most: float = np.inf, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+    """Hop distances (-1: unreached), numbers of shortest paths, and per level its edges (from, to); no level beyond ``most`` or that of ``stop``."""
     dist, sigma = np.full(g.n, -1, np.int64), np.zeros(g.n)
     dist[s], sigma[s] = 0, 1.0
     front, d, steps = np.array([s]), 0, []
-    while len(front):
+    while len(front) and d + 1 <= most and (stop is None or dist[stop] < 0):
         at, to = g.out_of(front)
         src = front[at]
         d += 1
@@ -60,13 +60,18 @@ def levels(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list]:
     return dist, sigma, steps
 
 
-def nearest(g: Csr, s: int) -> np.ndarray:
-    """Weighted distances (inf: unreached), by steps over all pending nodes within a stride of the nearest; weights aren't negative."""
+def nearest(g: Csr, s: int, most: float = np.inf, stop: int | None = None) -> np.ndarray:
+    """Weighted distances (inf: unreached), by steps over all pending nodes within a stride of the nearest; weights aren't negative.
+
+    Nothing beyond ``most`` or the distance of ``stop`` is reached, and the search ends there.
+    """
     dist = np.full(g.n, np.inf)
     dist[s] = 0.0
     pending = np.array([s])
     while len(pending):
         d = dist[pending]
+        if d.min() > min(most, np.inf if stop is None else dist[stop]):
+            break
         now = d <= d.min() + g.stride
         at, edge = g.edges_of(pending[now])
         to, far = g.dst[edge], d[now][at] + g.weight[edge]
@@ -77,6 +82,7 @@ def nearest(g: Csr, s: int) -> np.ndarray:
         waits[pending[~now]] = True
         waits[to] = True
         pending = np.flatnonzero(waits)
+    dist[dist > min(most, np.inf if stop is None else dist[stop])] = np.inf
     return dist
 
 
@@ -104,11 +110,11 @@ def tight_levels(g: Csr, s: int) -> tuple[np.ndarray, np.ndarray, list]:
     return dist, sigma, steps
 
 
-def distances(g: Csr, weighted: bool, s: int) -> np.ndarray:
-    """From s; inf where unreached."""
+def distances(g: Csr, weighted: bool, s: int, most: float = np.inf, stop: int | None = None) -> np.ndarray:
+    """From s; inf where unreached, and beyond ``most`` or the distance of ``stop``."""
     if weighted:
-        return nearest(g, s)
-    d = levels(g, s)[0].astype(float)
+        return nearest(g, s, most, stop)
+    d = levels(g, s, most, stop)[0].astype(float)
     return np.where(d < 0, np.inf, d)
 
 

@@ -13,6 +13,7 @@ from meshwork.operators import paths as P
 from meshwork.operators.graph import Graph, dense_index
 from meshwork.plans.components import components
 from meshwork.plans.durable import checkpointed
+from meshwork.plans.grid import Grid, dependency_sums, reach_sums
 
 
 def degree_centrality(g: Graph) -> DataFrame:
@@ -37,7 +38,7 @@ def closeness_centrality(g: Graph, weighted: bool = False, wf_improved: bool = T
 
         sums = P.per_source(g, weighted, rows, "idx long, r long, total double", reverse=g.specs.directed).join(g.nodes, "idx").select("name", "r", "total")
     else:
-        sums = P.length_rounds(g, weighted, g.nodes).groupBy(F.col("target").alias("name")).agg(F.count(F.lit(1)).alias("r"), F.sum("distance").alias("total"))
+        sums = reach_sums(Grid(P.indexed(g, weighted), n), weighted).join(g.nodes, "idx").select("name", F.col("x").alias("r"), F.col("y").alias("total"))
     value = F.when(F.col("total") > 0, (F.col("r") - 1) / F.col("total")).otherwise(0.0)
     if wf_improved:
         value = value * ((F.col("r") - 1) / max(n - 1, 1))
@@ -55,7 +56,10 @@ def _raw_betweenness(g: Graph, weighted: bool) -> DataFrame:
 
         sums = P.per_source(g, weighted, rows, "idx long, x double").groupBy("idx").agg(F.sum("x").alias("x"))
         return g.nodes.join(sums, "idx", "left").select("name", F.coalesce("x", F.lit(0.0)).alias("x"))
-    return betweenness_rounds(g, weighted)
+    edges = checkpointed(P.indexed(g, weighted).where("a <> b"))
+    n = g.number_of_nodes()
+    sums = dependency_sums(Grid(edges, n), Grid(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"), n))
+    return g.nodes.join(sums, "idx", "left").select("name", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
 def count_rounds(g: Graph, weighted: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -75,23 +79,6 @@ def count_rounds(g: Graph, weighted: bool) -> tuple[DataFrame, DataFrame, DataFr
     return dist, tight, checkpointed(every.groupBy("source", "b").agg(F.sum("x").alias("s")))
 
 
-def betweenness_rounds(g: Graph, weighted: bool) -> DataFrame:
-    """The same for graphs too large to broadcast, keyed by (source, node): dependencies are the sum of what each node sends back."""
-    _, tight, sigma = count_rounds(g, weighted)
-    share = tight.join(sigma.withColumnRenamed("s", "sb"), ["source", "b"]).join(sigma.select("source", F.col("b").alias("a"), F.col("s").alias("sa")), ["source", "a"])
-    share = checkpointed(share.select("source", "a", "b", (F.col("sa") / F.col("sb")).alias("r")))
-    front, total = sigma.select("source", "b", F.lit(1.0).alias("x")), None
-    while True:
-        front = checkpointed(share.join(front, ["source", "b"]).groupBy("source", "a").agg(F.sum(F.col("r") * F.col("x")).alias("x")).withColumnRenamed("a", "b"))
-        if front.isEmpty():
-            break
-        total = front if total is None else checkpointed(total.unionByName(front))
-    if total is None:
-        return g.nodes.select("name", F.lit(0.0).alias("x"))
-    sums = total.where("source <> b").groupBy(F.col("b").alias("name")).agg(F.sum("x").alias("x"))
-    return g.nodes.select("name").join(sums, "name", "left").select("name", F.coalesce("x", F.lit(0.0)).alias("x"))
-
-
 def betweenness_centrality(g: Graph, weighted: bool = False, normalized: bool = True) -> DataFrame:
     n = g.number_of_nodes()
     scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 1.0) if normalized else (1.0 if g.specs.directed else 0.5)

@@ -14,6 +14,8 @@ from meshwork.functions import kernels
 from meshwork.operators.graph import Graph, dense_index
 from meshwork.plans.components import components
 from meshwork.plans.durable import checkpointed
+from meshwork.plans.edges import Bucketed, SplitEdges
+from meshwork.plans.skew import lookup
 
 #: A graph up to this many adjacency rows is broadcast to the kernels (16 bytes a row); the count is taken first. Larger ones
 #: go by DataFrame rounds keyed by (source, node).
@@ -21,16 +23,21 @@ KERNEL_EDGES = 20_000_000
 
 
 def breadth_first_search(g: Graph, start) -> DataFrame:
-    """(name, level) of all nodes reachable from ``start``."""
+    """(name, level) of all nodes reachable from ``start``. A level is appended to the levels before it; edges stay where they are."""
     g.ensure_nodes([start])
-    seen = checkpointed(g.get_node(start).select("name", F.lit(0).alias("level")))
-    front, level = seen, 0
+    return _levels(SplitEdges(g.adj), g.get_node(start).select("name"))
+
+
+def _levels(edges: SplitEdges, start: DataFrame) -> DataFrame:
+    seen, level = Bucketed(start.sparkSession, ["name"], "levels"), 0
+    front = checkpointed(start.withColumn("level", F.lit(0)))
     while not front.isEmpty():
+        seen.append(front)
         level += 1
-        step = front.join(g.adj, front["name"] == g.adj["src"]).select(F.col("dst").alias("name")).distinct()
-        front = checkpointed(step.join(seen, "name", "left_anti").withColumn("level", F.lit(level)))
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+        step = edges.out_of(front.select("name"), "name").select(F.col("dst").alias("name")).distinct()
+        front = checkpointed(step.join(seen.read(), "name", "left_anti").withColumn("level", F.lit(level)))
+    edges.drop()
+    return seen.read()
 
 
 def _components(g: Graph) -> DataFrame:
@@ -119,6 +126,17 @@ def csr(g: Graph, weighted: bool, reverse: bool = False) -> kernels.Csr:
     return kernels.Csr(g.number_of_nodes(), j if reverse else i, i if reverse else j, t["weight"].to_numpy(float))
 
 
+def indexed(g: Graph, weighted: bool) -> DataFrame:
+    """The adjacency (a, b, w) by node index; the edges of a hub don't meet its index in one task."""
+    rows = g.unit_adj(weighted)
+    total = rows.count()
+    for end, other, name in (("src", "dst", "a"), ("dst", "src", "b")):
+        degrees = rows.groupBy(F.col(end).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+        ids = g.nodes.select("name", F.col("idx").alias(name)).join(degrees, "name")
+        rows = lookup(rows, end, F.col(other), ids.withColumnRenamed("name", "k"), "k", "n", total).drop("n")
+    return rows.select("a", "b", F.col("weight").alias("w"))
+
+
 def check_weights(g: Graph, weighted: bool, positive: bool = False) -> None:
     """Weights must be there and not negative; where paths are counted they must be positive, as a path may go round a cycle of zeros."""
     if weighted:
@@ -145,41 +163,78 @@ def per_source(g: Graph, weighted: bool, kernel, schema: str, reverse: bool = Fa
     return ids.repartition(g.spark.sparkContext.defaultParallelism, "idx").mapInPandas(run, schema)
 
 
-def _length_rows(c, weighted, sources) -> pd.DataFrame:
-    out = []
-    for s in sources:
-        d = kernels.distances(c, weighted, s)
-        at = np.flatnonzero(np.isfinite(d))
-        out.append((np.full(len(at), s), at, d[at]))
-    s, t, d = (np.concatenate(z) for z in zip(*out, strict=True))
-    return pd.DataFrame({"s": s, "t": t, "distance": d})
+def lengths(g: Graph, weighted: bool = False, sources=None, cutoff: float | None = None, target=None) -> DataFrame:
+    """(source, target, distance) of all reachable pairs, the source itself at 0 included.
 
-
-def lengths(g: Graph, weighted: bool = False, sources=None, cutoff: float | None = None) -> DataFrame:
-    """(source, target, distance) of all reachable pairs, the source itself at 0 included."""
+    Searches end beyond ``cutoff``, and beyond the distance of ``target`` where it is reached; so do the rows.
+    """
     check_weights(g, weighted)
     start = g.nodes if sources is None else g.nodes.where(F.col("name").isin(*sources))
-    if small_enough(g):
-        rows = per_source(g, weighted, _length_rows, "s long, t long, distance double", sources=start)
-        ids = g.nodes.select("idx", "name")
-        out = rows.join(ids.select(F.col("idx").alias("s"), F.col("name").alias("source")), "s").join(ids.select(F.col("idx").alias("t"), F.col("name").alias("target")), "t")
-        out = out.select("source", "target", "distance")
-    else:
-        out = length_rounds(g, weighted, start, cutoff)
-    return out if cutoff is None else out.where(F.col("distance") <= cutoff)
-
-
-def length_rounds(g: Graph, weighted: bool, start: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """The same by relaxing a frontier keyed by (source, target)."""
-    adj = g.unit_adj(weighted)
-    best = front = checkpointed(start.select(F.col("name").alias("source"), F.col("name").alias("target"), F.lit(0.0).alias("distance")))
-    while not front.isEmpty():
-        step = front.join(adj, front["target"] == adj["src"]).select("source", F.col("dst").alias("target"), (F.col("distance") + F.col("weight")).alias("d"))
-        step = step if cutoff is None else step.where(F.col("d") <= cutoff)
-        step = step.groupBy("source", "target").agg(F.min("d").alias("d"))
-        front = checkpointed(step.join(best, ["source", "target"], "left").where("distance is null or d < distance").select("source", "target", F.col("d").alias("distance")))
-        best = checkpointed(best.join(front.select("source", "target"), ["source", "target"], "left_anti").unionByName(front))
-    return best
+    if not small_enough(g):
+        return length_rounds(g, weighted, start, cutoff, target)
+    stop = None if target is None else g.get_node(target).first()["idx"]
+    most = np.inf if cutoff is None else cutoff
+
+    def kernel(c, weighted, sources) -> pd.DataFrame:
+        out = []
+        for s in sources:
+            d = kernels.distances(c, weighted, s, most, stop)
+            at = np.flatnonzero(np.isfinite(d))
+            out.append((np.full(len(at), s), at, d[at]))
+        s, t, d = (np.concatenate(z) for z in zip(*out, strict=True))
+        return pd.DataFrame({"s": s, "t": t, "distance": d})
+
+    rows = per_source(g, weighted, kernel, "s long, t long, distance double", sources=start)
+    ids = g.nodes.select("idx", "name")
+    out = rows.join(ids.select(F.col("idx").alias("s"), F.col("name").alias("source")), "s").join(ids.select(F.col("idx").alias("t"), F.col("name").alias("target")), "t")
+    return out.select("source", "target", "distance")
+
+
+def length_rounds(g: Graph, weighted: bool, start: DataFrame, cutoff: float | None = None, target=None) -> DataFrame:
+    """The same by delta-stepping: pairs (source, target) are settled bucket after bucket of distances, each a mean weight wide.
+
+    Inside a bucket the light edges, no heavier than its width, are followed until nothing comes nearer; what is settled then is
+    appended to a log and sends along its heavy edges once. Pairs beyond the bucket wait; those of a source that has settled the
+    target are dropped.
+    """
+    edges = SplitEdges(g.unit_adj(weighted))
+    width, pair = edges.mean or 1.0, ["source", "target"]
+    settled = Bucketed(g.spark, pair, "settled")
+    waiting = checkpointed(start.select(F.col("name").alias("source"), F.col("name").alias("target"), F.lit(0.0).alias("distance")))
+    settled.append(waiting.limit(0))
+
+    def sent(front: DataFrame, which: str) -> DataFrame:
+        rows = edges.out_of(front, "target").where(which).select("source", F.col("dst").alias("target"), (F.col("distance") + F.col("weight")).alias("distance"))
+        rows = rows if cutoff is None else rows.where(F.col("distance") <= cutoff)
+        return rows.groupBy(*pair).agg(F.min("distance").alias("distance")).join(settled.read(), pair, "left_anti")
+
+    while (least := waiting.agg(F.min("distance")).first()[0]) is not None:
+        end = max((least // width + 1) * width, float(np.nextafter(least, np.inf)))
+        best = front = checkpointed(waiting.where(F.col("distance") < end))
+        later = [waiting.where(F.col("distance") >= end)]
+        while not front.isEmpty():
+            step = checkpointed(sent(front, f"weight <= {width!r}"))
+            later.append(step.where(F.col("distance") >= end))
+            nearer = step.where(F.col("distance") < end).join(best.withColumnRenamed("distance", "old"), pair, "left").where("old is null or distance < old")
+            front = checkpointed(nearer.drop("old"))
+            best = checkpointed(best.join(front, pair, "left_anti").unionByName(front))
+        if (edges.heaviest or 0.0) > width:
+            later.append(sent(best, f"weight > {width!r}"))
+        rest = later[0]
+        for more in later[1:]:
+            rest = rest.unionByName(more)
+        rest = checkpointed(rest.groupBy(*pair).agg(F.min("distance").alias("distance")))
+        settled.append(best)
+        rest = rest.join(settled.read(), pair, "left_anti")
+        if target is not None:
+            rest = rest.join(settled.read().where(F.col("target") == F.lit(target)).select("source"), "source", "left_anti")
+        waiting = checkpointed(rest)
+    edges.drop()
+    out = settled.read()
+    if target is not None:
+        limit = out.where(F.col("target") == F.lit(target)).select("source", F.col("distance").alias("most"))
+        out = out.join(limit, "source", "left").where("most is null or distance <= most").drop("most")
+    return out
 
 
 def paths(g: Graph, dist: DataFrame, weighted: bool, first_only: bool = False) -> DataFrame:
@@ -208,10 +263,7 @@ def multi_source(g: Graph, sources, weighted: bool = False, target=None, cutoff:
     """Independent runs from each source. With a target only its row is returned, or with ``include_settled`` all nearer nodes too."""
     check_weights(g, weighted)
     g.ensure_nodes([*sources, *([] if target is None else [target])])
-    dist = lengths(g, weighted, list(sources), cutoff)
-    if target is not None and include_settled:
-        limit = dist.where(F.col("target") == F.lit(target)).select("source", F.col("distance").alias("most"))
-        dist = dist.join(limit, "source", "left").where("most is null or distance <= most").drop("most")
+    dist = lengths(g, weighted, list(sources), cutoff, target)
     out = paths(g, dist, weighted, first_only) if with_paths else dist
     return out if target is None or include_settled else out.where(F.col("target") == F.lit(target))
 
@@ -224,7 +276,7 @@ def all_pairs(g: Graph, weighted: bool = False, target=None, cutoff: float | Non
     check_weights(g, weighted)
     if target is not None:
         g.ensure_nodes([target])
-    dist = lengths(g, weighted, None, cutoff)
+    dist = lengths(g, weighted, None, cutoff, target)
     out = paths(g, dist, weighted, first_only) if with_paths else dist
     return out if target is None else out.where(F.col("target") == F.lit(target))
 
