@@ -75,7 +75,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = exact_dedup(docs, id_col, text_col).where("kept").select(
         F.col(id_col).alias("__kid"), F.col("text_sha256").alias("__ksha")
     ).dropDuplicates(["__kid", "__ksha"])
-    rows = docs.withColumn("__sha", _sha256(normalised(F.col(text_col))))
-    on = rows[id_col].eqNullSafe(labels["__kid"]) & (rows["__sha"] == labels["__ksha"])
-    found = rows.join(labels, on, "inner")
-    return found.dropDuplicates(["__kid", "__ksha"]).select(*docs.columns)
+    # in a struct, own columns can have any names
+    rows = docs.select(docs[id_col].alias("__id"), _sha256(normalised(docs[text_col])).alias("__sha"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    found = rows.join(labels, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")), "inner")
+    return found.dropDuplicates(["__kid", "__ksha"]).select("__row.*")

@@ -69,3 +69,15 @@ def test_run_on_odd_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{d}/none/documents.parquet")
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/none/labels.parquet")
     assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
+
+
+def test_stages_with_clashing_names(spark):
+    """Columns named as the stages' own helpers come through as they are, and decide nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = {c: exact_dedup.F.lit("clash") for c in ("__score", "__score_", "__kid", "__ksha", "__sha", "__id", "__row")}
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "exact dedup"):
+        plain, odd = stages[name](spark, docs, SF), stages[name](spark, docs.withColumns(clash), SF)
+        assert odd.columns == [*docs.columns, *clash]
+        rows = odd.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) and all(r[c] == "clash" for r in rows for c in clash)
