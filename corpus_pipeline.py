@@ -13,7 +13,10 @@ from meshwork.plans.durable import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.3 stay. The labels are the given ones; texts come from the stage's input."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, score_col="__score").where("__score < 0.3").select(*docs.columns)
+    name = "__score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return toxicity.score(docs, model, score_col=name).where(F.col(name) < 0.3).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
