@@ -188,6 +188,21 @@ def predecessors_map(spark, sf):
     return handoff(spark, sf).get_predecessors_map().select("name", F.size("predecessors").cast("long").alias("k"), F.aggregate("predecessors", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+def _chunk_sql(near: str, far: str) -> str:
+    return f"""WITH {E_SQL}, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM n), d AS (SELECT {near} AS id, count(*) AS d FROM e GROUP BY 1)
+SELECT d.id AS name, (x.i * (1 + (d.d - 1) // 16)) // x.n AS chunk, count(*) AS k, sum({far})::BIGINT AS total FROM e JOIN d ON d.id = {near} JOIN x ON x.id = {far} GROUP BY 1, 2"""
+
+
+@query(_chunk_sql("u", "v"))
+def successors_chunks(spark, sf):
+    return handoff(spark, sf).get_successors_chunks(16).select("name", "chunk", F.size("successors").cast("long").alias("k"), F.aggregate("successors", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(_chunk_sql("v", "u"))
+def predecessors_chunks(spark, sf):
+    return handoff(spark, sf).get_predecessors_chunks(16).select("name", "chunk", F.size("predecessors").cast("long").alias("k"), F.aggregate("predecessors", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query(f"WITH {E_SQL}, x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM n) SELECT a.i AS i, b.i AS j, w AS value FROM e JOIN x a ON a.id = u JOIN x b ON b.id = v")
 def adjacency_coo(spark, sf):
     return handoff(spark, sf).get_adjacency_matrix_sprs(True)

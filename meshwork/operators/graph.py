@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from meshwork.errors import GraphError
 from meshwork.plans.durable import checkpointed
+from meshwork.plans.skew import lookup
 from meshwork.specs import GraphSpecs
 
 NAN = float("nan")
@@ -294,6 +295,28 @@ class Graph:
         rows = self.adj if self.specs.directed else self.adj.limit(0)
         return rows.groupBy(F.col("dst").alias("name")).agg(F.sort_array(F.collect_set("src")).alias("predecessors"))
 
+    def _chunks(self, near: str, far: str, most: int, column: str) -> DataFrame:
+        rows = self.adj.select(F.col(near).alias("name"), F.col(far).alias("other"))
+        total, n = rows.count(), self.number_of_nodes()
+        degrees = rows.groupBy(F.col("name").alias("k")).agg(F.count(F.lit(1)).alias("d"))
+        seen = rows.groupBy(F.col("other").alias("o")).agg(F.count(F.lit(1)).alias("m"))
+        ids = self.nodes.select("name", "idx").join(seen, F.col("name") == F.col("o")).select("o", "idx", "m")
+        rows = lookup(lookup(rows, "name", F.col("other"), degrees, "k", "d", total), "other", F.col("name"), ids, "o", "m", total)
+        chunk = F.expr(f"(idx * (1 + (d - 1) div {most})) div {max(n, 1)}")
+        return rows.groupBy("name", chunk.alias("chunk")).agg(F.sort_array(F.collect_set("other")).alias(column))
+
+    def get_successors_chunks(self, most: int = 10_000) -> DataFrame:
+        """(name, chunk, successors): the map in pieces, so that no row or task holds a hub's whole list.
+
+        A node of d successors has 1 + (d - 1) div ``most`` chunks, each of which holds those of a range of node indices.
+        """
+        return self._chunks("src", "dst", most, "successors")
+
+    def get_predecessors_chunks(self, most: int = 10_000) -> DataFrame:
+        """The same of predecessors; empty for undirected graphs."""
+        rows = self._chunks("dst", "src", most, "predecessors")
+        return rows if self.specs.directed else rows.limit(0)
+
     def get_successors_or_neighbors(self, name) -> DataFrame:
         return self.get_successor_nodes(name) if self.specs.directed else self.get_neighbor_nodes(name)
 

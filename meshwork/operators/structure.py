@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from meshwork.errors import GraphError
 from meshwork.operators.graph import Graph
+from meshwork.plans.durable import checkpointed
+from meshwork.plans.skew import lookup
 
 
 def edge_boundary(g: Graph, first, second=None) -> DataFrame:
@@ -107,8 +109,41 @@ def generalized_degree(g: Graph, names=None) -> DataFrame:
     return _only(rows, names)
 
 
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """Rows (a, b, ...), both ways, with the ranks ra and rb of their ends: (degree, name). A hub's rows don't meet its degree in one task."""
+    total = pairs.count()
+    degree = pairs.groupBy(F.col("a").alias("n")).agg(F.count(F.lit(1)).alias("d"))
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = lookup(pairs, end, F.col(other), degree, "n", "d", total).withColumn(f"r{end}", F.struct(F.col("d"), F.col(end).alias("n"))).drop("d")
+    return checkpointed(pairs)
+
+
 def square_clustering(g: Graph, names=None) -> DataFrame:
-    """Over pairs u < w of a node's (out-)neighbours; counted with signs, so no count can wrap."""
+    """Over pairs u < w of a node's (out-)neighbours; counted with signs, so no count can wrap.
+
+    In undirected graphs a node's sums follow from its squares, its triangles and its neighbours' degrees. A square is found from
+    its corner of highest (degree, name): of the paths of two steps down from there that end in one node, any two are a square.
+    So no two neighbours of a hub are paired, unless they are of higher rank.
+    """
+    if g.specs.directed:
+        return _only(_square_pairs(g), names)
+    s = _ranked(g.adj.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    down = s.where("ra > rb").select(F.col("a").alias("top"), F.col("ra").alias("rt"), F.col("b").alias("mid"))
+    paths = down.join(s.select(F.col("a").alias("mid"), F.col("b").alias("low"), F.col("rb").alias("rl")), "mid").where("rt > rl").select("top", "mid", "low")
+    pairs = paths.groupBy("top", "low").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    corners = pairs.select(F.explode(F.array("top", "low")).alias("name"), F.expr("c * (c - 1) div 2").alias("q"))
+    corners = corners.unionByName(paths.join(pairs, ["top", "low"]).select(F.col("mid").alias("name"), (F.col("c") - 1).alias("q")))
+    squares = corners.groupBy("name").agg(F.sum("q").alias("q"))
+    closed = triangle_rows(s.select("a", "b", F.lit(1.0).alias("s"))).select(F.explode(F.array("x", "y", "z")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("t"))
+    around = s.groupBy(F.col("a").alias("name")).agg(F.count(F.lit(1)).alias("k"), F.sum("rb.d").alias("ends"))
+    rows = g.nodes.select("name").join(around, "name", "left").join(squares, "name", "left").join(closed, "name", "left")
+    q, k = F.coalesce("q", F.lit(0)), F.coalesce("k", F.lit(0))
+    possible = (k - 1) * F.coalesce("ends", F.lit(0)) - q - k * (k - 1) - 2 * F.coalesce("t", F.lit(0))
+    return _only(rows.select("name", F.when(possible > 0, q / possible).otherwise(0.0).alias("value")), names)
+
+
+def _square_pairs(g: Graph) -> DataFrame:
+    """The sums pair by pair, for directed graphs, where a square's corners aren't alike."""
     a = g.adj.where("src <> dst").select("src", "dst")
     degree = a.groupBy(F.col("src").alias("n")).agg(F.count(F.lit(1)).alias("k"))
     with_k = a.join(degree.withColumnRenamed("n", "dst"), "dst", "left").select("src", "dst", F.coalesce("k", F.lit(0)).alias("k"))
@@ -124,7 +159,7 @@ def square_clustering(g: Graph, names=None) -> DataFrame:
     theta = shared + 1 + F.coalesce("tie", F.lit(0))
     sums = p.groupBy(F.col("v").alias("name")).agg(F.sum(shared).alias("q"), F.sum(F.col("kx") - theta + F.col("ky") - theta + shared).alias("all"))
     rows = g.nodes.select("name").join(sums, "name", "left")
-    return _only(rows.select("name", F.when(F.col("all") > 0, F.col("q") / F.col("all")).otherwise(0.0).alias("value")), names)
+    return rows.select("name", F.when(F.col("all") > 0, F.col("q") / F.col("all")).otherwise(0.0).alias("value"))
 
 
 def constraint(g: Graph, names=None, weighted: bool = False, strict: bool = False) -> DataFrame:
@@ -140,14 +175,30 @@ def constraint(g: Graph, names=None, weighted: bool = False, strict: bool = Fals
         mutual = a.unionByName(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     m = mutual.groupBy("src", "dst").agg(F.sum("weight").alias("m"))
     base = m.withColumn("m2", F.lit(2.0)) if g.specs.directed and not weighted and not strict else m.withColumn("m2", F.col("m"))
-    p = m.join(base.groupBy("src").agg(F.sum("m2").alias("all")), "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("m") / F.col("all")).alias("p"))
-    two = p.select("a", F.col("b").alias("w"), F.col("p").alias("p1")).join(p.select(F.col("a").alias("w"), "b", F.col("p").alias("p2")), "w").where("a <> b")
-    two = two.groupBy("a", "b").agg(F.sum(F.col("p1") * F.col("p2")).alias("q"))
-    c = p.join(two, ["a", "b"], "left").groupBy(F.col("a").alias("name")).agg(F.sum(F.pow(F.col("p") + F.coalesce("q", F.lit(0.0)), F.lit(2.0))).alias("value"))
+    shares = base.groupBy("src").agg(F.sum("m2").alias("all"), F.count(F.lit(1)).alias("n"))
+    p = lookup(m, "src", F.col("dst"), shares.withColumnRenamed("src", "k"), "k", "n", m.count()).select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("m") / F.col("all")).alias("p"))
+    c = _closed(_ranked(p)).groupBy("a", "b").agg(F.sum("p").alias("p")).groupBy(F.col("a").alias("name")).agg(F.sum(F.col("p") * F.col("p")).alias("value"))
     out = g.nodes.select("name").join(c, "name", "left").join(g.adj.select(F.col("src").alias("name")).distinct().withColumn("has", F.lit(True)), "name", "left")
     return _only(out.select("name", F.when(F.col("has"), F.coalesce("value", F.lit(float("nan")))).otherwise(F.lit(float("nan"))).alias("value")), names)
 
 
+def _closed(p: DataFrame) -> DataFrame:
+    """(a, b, p): the share of each tie, and for each triangle on it the product of the shares round its third node.
+
+    ``p`` has ties both ways. A triangle is found once, from its node of lowest rank, so a hub's pairs of neighbours are few.
+    """
+    end = lambda c, r: F.struct(F.col(c).alias("n"), F.col(r).alias("r"))
+    there = p.where("ra < rb").select("a", end("b", "rb").alias("y"), F.col("p").alias("out"))
+    back = p.where("ra > rb").select(F.col("b").alias("a"), F.col("a").alias("n"), F.col("p").alias("in"))
+    up = checkpointed(there.join(back, (there["a"] == back["a"]) & (F.col("y.n") == F.col("n"))).select(there["a"].alias("x"), "y", "out", "in"))
+    two = up.select("x", "y", F.col("out").alias("xy"), F.col("in").alias("yx")).join(up.select("x", F.col("y").alias("z"), F.col("out").alias("xz"), F.col("in").alias("zx")), "x").where("y.r < z.r")
+    third = up.select(F.col("x").alias("ny"), F.col("y.n").alias("nz"), F.col("out").alias("yz"), F.col("in").alias("zy"))
+    three = two.join(third, (F.col("y.n") == F.col("ny")) & (F.col("z.n") == F.col("nz")))
+    part = lambda a, b, first, second: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), (F.col(first) * F.col(second)).alias("p"))
+    parts = F.array(part("x", "ny", "xz", "zy"), part("ny", "x", "yz", "zx"), part("x", "nz", "xy", "yz"), part("nz", "x", "zy", "yx"), part("ny", "nz", "yx", "xz"), part("nz", "ny", "zx", "xy"))
+    return p.select("a", "b", "p").unionByName(three.select(F.explode(parts).alias("t")).select("t.a", "t.b", "t.p"))
+
+
 def is_partition(g: Graph, communities: DataFrame) -> bool:
     """communities(community, name): each node exactly once and nothing else."""
     names = communities.select("name")
