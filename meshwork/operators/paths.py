@@ -164,12 +164,12 @@ def per_source(g: Graph, weighted: bool, kernel, schema: str, reverse: bool = Fa
 
 
 def lengths(g: Graph, weighted: bool = False, sources=None, cutoff: float | None = None, target=None) -> DataFrame:
-    """(source, target, distance) of all reachable pairs, the source itself at 0 included.
+    """(source, target, distance) of all reachable pairs, the source itself at 0 included; sources are names or a table of them.
 
     Searches end beyond ``cutoff``, and beyond the distance of ``target`` where it is reached; so do the rows.
     """
     check_weights(g, weighted)
-    start = g.nodes if sources is None else g.nodes.where(F.col("name").isin(*sources))
+    start = g.nodes if sources is None else g.nodes.join(sources, "name", "left_semi") if isinstance(sources, DataFrame) else g.nodes.where(F.col("name").isin(*sources))
     if not small_enough(g):
         return length_rounds(g, weighted, start, cutoff, target)
     stop = None if target is None else g.get_node(target).first()["idx"]
@@ -237,13 +237,24 @@ def length_rounds(g: Graph, weighted: bool, start: DataFrame, cutoff: float | No
     return out
 
 
-def paths(g: Graph, dist: DataFrame, weighted: bool, first_only: bool = False) -> DataFrame:
-    """(source, target, distance, paths): shortest paths over the edges with d(u) + w = d(v). Their number can be exponential."""
+def paths(g: Graph, dist: DataFrame, weighted: bool, first_only: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """(source, target, distance, paths): shortest paths over the edges with d(u) + w = d(v). Their number can be exponential.
+
+    With ``wanted`` (source, target) only the paths of these pairs are spelt out, over the edges that lead to their targets.
+    """
     adj = g.unit_adj(weighted)
     check_weights(g, weighted, positive=True)
     dist = checkpointed(dist)
     tight = dist.join(adj, dist["target"] == adj["src"]).select("source", F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("distance") + F.col("weight")).alias("d"))
     tight = checkpointed(tight.join(dist.withColumnRenamed("target", "b"), ["source", "b"]).where("d = distance").select("source", "a", "b"))
+    if wanted is not None:
+        ends = needed = checkpointed(wanted.select("source", F.col("target").alias("b")).distinct())
+        while not ends.isEmpty():
+            before = ends.join(tight, ["source", "b"]).select("source", F.col("a").alias("b")).distinct()
+            ends = checkpointed(before.join(needed, ["source", "b"], "left_anti"))
+            needed = checkpointed(needed.unionByName(ends))
+        tight = checkpointed(tight.join(needed, ["source", "b"], "left_semi"))
+        dist = dist.join(wanted.select("source").distinct(), "source", "left_semi")
     every = front = checkpointed(dist.where("source = target").select("source", F.col("target").alias("b"), F.array("source").alias("path")))
     while True:
         step = front.withColumnRenamed("b", "a").join(tight, ["source", "a"]).select("source", "b", F.concat("path", F.array("b")).alias("path"))
@@ -256,7 +267,7 @@ def paths(g: Graph, dist: DataFrame, weighted: bool, first_only: bool = False) -
     found = every.groupBy("source", F.col("b").alias("target")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
     if first_only:
         found = found.withColumn("paths", F.slice("paths", 1, 1))
-    return dist.join(found, ["source", "target"])
+    return (dist if wanted is None else dist.join(wanted.select("source", "target").distinct(), ["source", "target"], "left_semi")).join(found, ["source", "target"])
 
 
 def multi_source(g: Graph, sources, weighted: bool = False, target=None, cutoff: float | None = None, first_only: bool = False, with_paths: bool = True, include_settled: bool = False) -> DataFrame:
@@ -287,7 +298,18 @@ def contains_path_through_node(paths_col: str, name):
 
 
 def get_all_shortest_paths_involving(g: Graph, name, weighted: bool = False) -> DataFrame:
-    return all_pairs(g, weighted, with_paths=True).where(contains_path_through_node("paths", name))
+    """Pairs of other nodes of which some shortest path leads through the node, with all their shortest paths.
+
+    Searches to and from the node tell which pairs they are, by d(s, node) + d(node, t) = d(s, t), up to rounding; only their paths
+    are spelt out, and looked through.
+    """
+    g.ensure_nodes([name])
+    ahead = checkpointed(lengths(g, weighted, [name]).where("source <> target").select("target", F.col("distance").alias("on")))
+    behind = checkpointed(lengths(g.reverse(), weighted, [name]).where("source <> target").select(F.col("target").alias("source"), F.col("distance").alias("to"))) if g.specs.directed else ahead.select(F.col("target").alias("source"), F.col("on").alias("to"))
+    dist = checkpointed(lengths(g, weighted, behind.select(F.col("source").alias("name"))))
+    near = F.abs(F.col("to") + F.col("on") - F.col("distance")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("distance"))
+    wanted = checkpointed(dist.where("source <> target").join(behind, "source").join(ahead, "target").where(near).select("source", "target"))
+    return paths(g, dist, weighted, wanted=wanted).where(contains_path_through_node("paths", name))
 
 
 def bfs_equal_size_partitions(g: Graph, k: int) -> DataFrame:

@@ -31,6 +31,8 @@ def values(df):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_closeness_and_betweenness_over_pieces(spark, small_grid, monkeypatch, weighted):
     """A directed graph with a hub, a node that nothing reaches and one without edges."""
+    if weighted:
+        monkeypatch.setattr(grid, "SOURCES", 17)  # one block
     edges = [e for e in random_edges(16, 0.15, 5, 3) if e[1] != 3]
     g = Graph.of(spark, specs.directed_create_missing(), edges, nodes=[*range(17)], kind="int")
     close = values(C.closeness_centrality(g, weighted))
