@@ -121,9 +121,11 @@ def csr(g: Graph, weighted: bool, reverse: bool = False) -> kernels.Csr:
     a = g.unit_adj(weighted)
     ids = g.nodes.select("idx", "name")
     ends = a.join(ids.select(F.col("idx").alias("i"), F.col("name").alias("src")), "src").join(ids.select(F.col("idx").alias("j"), F.col("name").alias("dst")), "dst")
-    t = ends.select("i", "j", "weight").orderBy("i", "j").toPandas()
-    i, j = t["i"].to_numpy(np.int64), t["j"].to_numpy(np.int64)
-    return kernels.Csr(g.number_of_nodes(), j if reverse else i, i if reverse else j, t["weight"].to_numpy(float))
+    t = ends.select("i", "j", "weight").toArrow()
+    i, j, w = (t.column(c).to_numpy() for c in ("i", "j", "weight"))
+    order = np.lexsort((j, i))  # a pair stands once
+    i, j, w = i[order], j[order], w[order]
+    return kernels.Csr(g.number_of_nodes(), j if reverse else i, i if reverse else j, w)
 
 
 def indexed(g: Graph, weighted: bool) -> DataFrame:
