@@ -49,10 +49,20 @@ s{i} AS (SELECT doc_id, {i} AS kind, k, list_sum(gaps[1:k]) + coalesce(list_sum(
   FROM (SELECT *, unnest(range(1, len(alls) + 1)) AS k FROM p{i}) WHERE parts[k] >= {least})"""
 
 
-#: Rules as the SQL engine reads them: no look-behind (a greedy run of hex digits has none before it) and either case spelt out.
+#: Rules as the SQL engine reads them, without looking around: a leftmost match of a greedy run begins where the run does.
+#: Either case is spelt out.
+_LOOKS = ("(?<![0-9a-f])", "(?<![A-Za-z0-9_-])", r"(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10})", "(?<![a-z0-9+.-])")
+
+
+def _without_looks(regex: str) -> str:
+    for look in _LOOKS:
+        regex = regex.replace(look, "")
+    return regex.replace("{32,}", "+")
+
+
 _SQL_RULES = [
     (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    *[(r.regex.replace("(?<![0-9a-f])[0-9a-f]{32,}", "[0-9a-f]+"), r.group, r.least) for r in RULES[1:]],
+    *[(_without_looks(r.regex), r.group, r.least) for r in RULES[1:]],
 ]
 _NAMES = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
 OP6_SQL = (

@@ -29,8 +29,9 @@ class Rule:
     least: int = 1
 
 
-#: A text is passed once: what may come before a rule's fixed part is bounded, so that a long run isn't read from each of its
-#: places. Kinds in the order in which spans with one start are listed. The first three are the base.
+#: A text is passed once: a rule that begins with an unbounded run is tried only where that run begins, and a header of any
+#: length is read on only if what must follow it is there. Kinds in the order in which spans with one start are listed. The
+#: first three are the base. The spans of ``jwt`` and ``url`` begin with the run of characters that holds the header or scheme.
 BASE_RULES = (
     Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
@@ -40,8 +41,8 @@ OWN_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,400}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url", r"[a-z][a-z0-9+.-]{0,30}://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10})[A-Za-z0-9_-]*?eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("url", r"(?<![a-z0-9+.-])[0-9+.-]*[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@"),
 )
 RULES = BASE_RULES + OWN_RULES
 
@@ -139,25 +140,38 @@ def candidates(index: DataFrame, queries: dict[str, frozenset[frozenset[str]]])
     return held.select("__cid", kinds.alias("__kinds")).where(F.size("__kinds") > 0)
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array's first 1, 2, ... values, by doubling: each step adds to every sum the one that many places before it."""
+    n = F.size(values)
+    doublings = F.when(n > 1, F.sequence(F.lit(0), F.length(F.bin(n - 1)) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def step(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        earlier = F.concat(F.array_repeat(F.lit(0), back), F.slice(sums, 1, n - back))
+        return F.zip_with(sums, earlier, lambda a, b: a + b)
+
+    return F.aggregate(doublings, values, step)
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, kind order, end) of a rule's leftmost non-overlapping matches, in code points.
 
-    The text falls into the pieces between matches and the matches themselves; their lengths add up to the places.
+    The text falls into the pieces between matches and the matches themselves; the running sums of their lengths are the
+    places. n matches take n log n steps.
     """
-    cut = F.transform(F.split(text, rule.regex, -1), F.char_length)
+    gaps = F.transform(F.split(text, rule.regex, -1), F.char_length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)), F.char_length)
     good = F.transform(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)), F.char_length)
-    # the steps zip (gap, match, part); the fold carries the place reached and the spans so far
-    steps = F.arrays_zip(F.slice(cut, 1, F.size(whole)).alias("gap"), whole.alias("all"), good.alias("part"))
-    kind = "array<struct<start:int,kind:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+    # the last piece has no match after it; one-element arrays bind what is used twice
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("all"), good.alias("part")), lambda x: x["all"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.array(F.struct(start.alias("start"), F.lit(order).alias("kind"), (start + x["all"]).alias("end")))
-        return F.struct((start + x["all"]).alias("at"), F.when(x["part"] >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        ends = running_sums(F.transform(found, lambda x: x["gap"] + x["all"]))
+        placed = F.zip_with(found, ends, lambda x, end: F.struct(x["part"].alias("part"), F.struct((end - x["all"]).alias("start"), F.lit(order).alias("kind"), end.alias("end")).alias("span")))
+        return F.transform(F.filter(placed, lambda x: x["part"] >= rule.least), lambda x: x["span"])
 
-    return F.when(text.rlike(rule.regex), F.aggregate(steps, zero, step, lambda acc: acc["spans"])).otherwise(F.array().cast(kind))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return F.when(text.rlike(rule.regex), F.transform(F.array(steps), spans)[0]).otherwise(none)
 
 
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -291,6 +291,34 @@ def test_secret_scan_of_long_texts(spark):
     assert secret_scan.secret_scan(frame(spark, []).limit(0)).count() == 0
 
 
+def spans_by_hand(text):
+    """(start, kind, end) by Python's regex engine, with the plain forms of the rules that look around."""
+    plain = {"jwt": r"[A-Za-z0-9_-]*?eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "url": r"[0-9+.-]*[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@", "hex": r"[0-9a-f]+"}
+    found = []
+    for k, rule in enumerate(secret_scan.RULES):
+        found += [(m.start(), k, m.end()) for m in re.finditer(plain.get(rule.kind, rule.regex), text) if len(m.group(rule.group)) >= rule.least]
+    return sorted(found)
+
+
+def test_secret_scan_equals_brute_force(spark):
+    """Pieces that begin, break or prolong every rule, in random order; headers and schemes of any length."""
+    rng = random.Random(11)
+    pieces = ["eyJ", "eyJ" + "a" * 12, ".", "eyJ" + "B" * 1000, "_" * 10, "://", "http", "9+z", "u:passw@", "@", ":", "/", " ", "é", "s" * 100, "AKIA" + "Q" * 13, "token=", "abcdefgh", "0f" * 17, "ghp_" + "x" * 36, "xoxb-" + "1" * 9, "-----BEGIN RSA PRIVATE KEY-----"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))) for i in range(600)]
+    rows += [(600, "eyJ" + "h" * 1000 + ".eyJ" + "p" * 1000 + "." + "s" * 50), (601, "x" * 500 + "://u:passw@h"), (602, "tokeneyJ" + "h" * 10 + ".eyJ" + "p" * 10 + "." + "s" * 10)]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.secret_scan(frame(spark, rows)).collect()}
+    assert got == {i: spans_by_hand(t) for i, t in rows}
+    assert {k for s in got.values() for _, k, _ in s} == set(range(len(secret_scan.RULES))) and [len(got[i]) for i in (600, 601, 602)] == [1, 1, 1]
+
+
+def test_secret_scan_of_many_secrets_in_one_text(spark):
+    text = "password=abcdefgh " * 100_000
+    (row,) = secret_scan.secret_scan(frame(spark, [(1, text)])).collect()
+    assert [tuple(s) for s in row.spans] == [(18 * i, 0, 18 * i + 17) for i in range(100_000)]
+    sums = spark.range(70).select(secret_scan.F.col("id").cast("int").alias("n")).select("n", secret_scan.running_sums(secret_scan.F.expr("transform(sequence(0, n), x -> x * 3 + 1)")).alias("s"))
+    assert all(r.s == [sum(3 * j + 1 for j in range(i + 1)) for i in range(r.n + 1)] for r in sums.collect())
+
+
 def test_mixing_equals_brute_force(spark):
     """taken, from the random keys that Spark gives: each source's line of words is cut at its budget, epoch by epoch."""
     from pyspark.sql import functions as F
