@@ -2,8 +2,11 @@
 
 Blocks are windows over the word sequence of the whole text, so a notice may be wrapped over lines, and a long line is no
 block of its own. Tokens are ordered by how often the whole corpus holds them, rarest first. A block that contains at least
-``threshold`` of a template's distinct tokens must hold one of the template's prefix tokens, its |T| - need + 1 rarest ones;
-texts with none of these, or with fewer of the template's words than needed, are dropped before verification.
+``threshold`` of a template's distinct tokens must hold one of the template's prefix tokens, its |T| - need + 1 rarest ones.
+Each place of a prefix token is a seed, taken as the rarest of the template's tokens in its block (a block with a rarer one
+has that one's seed): the block lies within a window's length on either side, and holds no token of the template that comes
+before the seed's in the order. Fewer than ``need`` places there (length), or fewer than ``need`` distinct tokens from the
+seed's position in the order on (position), and the seed is dropped; blocks are counted only where seeds remain.
 The templates are a fixed library, so they, not the corpus, are what every task holds.
 """
 
@@ -92,9 +95,14 @@ class Template:
     span: int  #: most words of a window
 
     @property
-    def rare(self) -> frozenset[bytes]:
-        """The prefix: a window without any of these holds too few."""
-        return frozenset(self.ordered[: len(self.ordered) - self.need + 1])
+    def rank(self) -> dict[bytes, int]:
+        """Position of each token in the order."""
+        return {t: i for i, t in enumerate(self.ordered)}
+
+    @property
+    def prefix(self) -> int:
+        """Tokens from this position on are too few for a window that holds none before it."""
+        return len(self.ordered) - self.need + 1
 
 
 def compile_templates(templates, frequency: dict[bytes, int], threshold: float, spread: float = SPREAD) -> list[Template]:
@@ -107,11 +115,11 @@ def compile_templates(templates, frequency: dict[bytes, int], threshold: float,
 
 class Matcher:
     def __init__(self, templates: list[Template]):
-        self.index = {t for x in templates for t in x.rare}
-        self.holders: dict[bytes, list[int]] = {}
+        self.index = {t for x in templates for t in x.ordered[: x.prefix]}
+        self.holders: dict[bytes, list[tuple[int, int]]] = {}
         for k, x in enumerate(templates):
-            for t in x.ordered:
-                self.holders.setdefault(t, []).append(k)
+            for t, r in x.rank.items():
+                self.holders.setdefault(t, []).append((k, r))
         self.templates = templates
 
     def windows(self, found: list[bytes]) -> list[tuple[int, int, float]]:
@@ -120,28 +128,18 @@ class Matcher:
         For each end, the shortest window of at most ``span`` words that holds as many of the template's tokens as any such
         window; of overlapping ones the fullest, then the first, stays.
         """
-        at: dict[int, list[int]] = {}
         if self.index.isdisjoint(found):
             return []
+        at: dict[int, tuple[list[int], list[int]]] = {}
         for i, t in enumerate(found):
-            for k in self.holders.get(t, ()):
-                at.setdefault(k, []).append(i)
+            for k, r in self.holders.get(t, ()):
+                places, ranks = at.setdefault(k, ([], []))
+                places.append(i)
+                ranks.append(r)
         out = []
-        for k, places in at.items():
+        for k, (places, ranks) in at.items():
             x = self.templates[k]
-            if len(places) < x.need or not any(found[i] in x.rare for i in places):
-                continue  # too few words, or none of the prefix
-            held: Counter = Counter()
-            low, hits = 0, []
-            for i in places:
-                held[found[i]] += 1
-                while i - places[low] >= x.span or held[found[places[low]]] > 1:
-                    held[found[places[low]]] -= 1
-                    if not held[found[places[low]]]:
-                        del held[found[places[low]]]
-                    low += 1
-                if len(held) >= x.need:
-                    hits.append((-len(held), places[low], i))
+            hits = [h for low, high in _reaches(x, places, ranks) for h in _full_windows(x, places[low:high], ranks[low:high])]
             kept: list[tuple[int, int]] = []
             for n, start, end in sorted(hits):
                 j = bisect_left(kept, (start, end))
@@ -167,6 +165,42 @@ class Matcher:
         return len(found), sorted(places, key=lambda p: (p[1], p[0])), blocks
 
 
+def _reaches(x: Template, places: list[int], ranks: list[int]) -> list[tuple[int, int]]:
+    """Stretches of ``places`` in which every window that reaches the threshold lies: the joined reaches of seeds that stay."""
+    out: list[tuple[int, int]] = []
+    low = high = 0
+    for i, r in enumerate(ranks):
+        while places[i] - places[low] >= x.span:
+            low += 1
+        while high < len(places) and places[high] - places[i] < x.span:
+            high += 1
+        if r >= x.prefix or high - low < x.need or (out and high <= out[-1][1]):
+            continue  # no seed, too few places, or all of its reach is counted already
+        if len({q for q in ranks[low:high] if q >= r}) < x.need:
+            continue
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def _full_windows(x: Template, places: list[int], ranks: list[int]) -> list[tuple[int, int, int]]:
+    """(-tokens held, first place, last place) by end, for the shortest window with the most tokens, if they are enough."""
+    held: Counter = Counter()
+    low, hits = 0, []
+    for i, r in zip(places, ranks):
+        held[r] += 1
+        while i - places[low] >= x.span or held[ranks[low]] > 1:
+            held[ranks[low]] -= 1
+            if not held[ranks[low]]:
+                del held[ranks[low]]
+            low += 1
+        if len(held) >= x.need:
+            hits.append((-len(held), places[low], i))
+    return hits
+
+
 def token_frequency(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How often the whole corpus holds each token of the vocabulary (the templates' tokens, a fixed number)."""
 

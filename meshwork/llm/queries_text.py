@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm import bpe
 from meshwork.llm.jaccard_join import jaccard_join
-from meshwork.llm.license_scan import TEMPLATES, THRESHOLD, license_scan, words
+from meshwork.llm.license_scan import SPREAD, TEMPLATES, THRESHOLD, license_scan, words
 from meshwork.llm.quality import quality
 from meshwork.llm.toxicity import toxicity
 
@@ -49,10 +51,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates() -> str:
+    """(label, template, token, distinct tokens, tokens needed, most words of a window), by template and token."""
     rows = []
-    for label, text in TEMPLATES:
+    for k, (label, text) in enumerate(TEMPLATES):
         tokens = sorted({t.decode() for t in words(text)})
-        rows.append(f"('{label}', [{', '.join(repr(t) for t in tokens)}])")
+        need, span = max(1, math.ceil(THRESHOLD * len(tokens) - 1e-9)), math.ceil(SPREAD * len(words(text)))
+        rows += [f"('{label}', {k}, '{t}', {len(tokens)}, {need}, {span})" for t in tokens]
     return ", ".join(rows)
 
 
@@ -63,9 +67,11 @@ p AS (SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = '
   UNION ALL SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license')), 'apache' FROM d
   UNION ALL SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license')), 'gpl' FROM d),
 b AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id),
-lines AS (SELECT doc_id, list_distinct({_WORDS_SQL.format("line")}) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-tpl(label, need) AS (VALUES {_templates()}),
-hit AS (SELECT doc_id, label, len(list_intersect(w, need))::DOUBLE / len(need) AS c FROM lines, tpl WHERE len(list_intersect(w, need)) >= ceil({THRESHOLD} * len(need) - 1e-9)),
+tpl(label, k, word, size, need, span) AS (VALUES {_templates()}),
+m AS (SELECT doc_id, label, k, word, size, need, span, i FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) JOIN tpl USING (word)),
+win AS (SELECT doc_id, label, size, need,
+  count(DISTINCT word) OVER (PARTITION BY doc_id, k ORDER BY i RANGE BETWEEN span - 1 PRECEDING AND CURRENT ROW) AS n FROM m),
+hit AS (SELECT doc_id, label, n::DOUBLE / size AS c FROM win WHERE n >= need),
 every AS (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM hit),
 a AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id),
 s AS (SELECT doc_id, max(c) AS c FROM hit GROUP BY doc_id)

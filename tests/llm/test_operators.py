@@ -291,6 +291,43 @@ def test_secret_scan_of_long_texts(spark):
     assert secret_scan.secret_scan(frame(spark, []).limit(0)).count() == 0
 
 
+def blocks_by_hand(found, template):
+    """(first place, containment) over every window of at most ``span`` words; of overlapping ones the fullest, then the first."""
+    hits, wanted = [], set(template.ordered)
+    for end in range(len(found)):
+        if found[end] in wanted:
+            held = [(len(wanted.intersection(found[start : end + 1])), start) for start in range(max(0, end - template.span + 1), end + 1)]
+            n, start = max(held)  # of the fullest the shortest
+            if n >= template.need:
+                hits.append((-n, start, end))
+    kept = []
+    for n, start, end in sorted(hits):
+        if all(end < a or b < start for a, b, _ in kept):
+            kept.append((start, end, -n / len(template.ordered)))
+    return [(start, c) for start, _, c in kept]
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Windows of random words, of which some repeat in a template; frequencies that put each word first in some order."""
+    rng = random.Random(5)
+    templates = (("a", "b c d e f g h i j k"), ("b", "c c d x y"), ("c", "b q"), ("d", "b c d e f g h i j k l m n o p q r s t u"))
+    rows = [(i, " ".join(rng.choice("bcdefghijklmnopqrstuxyz" + "-" * (i % 17)) for _ in range(rng.randint(0, 120)))) for i in range(300)]
+    for threshold, spread in ((0.8, 2.0), (0.5, 1.0), (1.0, 4.0)):
+        for _ in range(3):
+            frequency = {w.encode(): rng.randint(0, 5) for w in "bcdefghijklmnopqrstuxyz"}
+            ready = license_scan.compile_templates(templates, frequency, threshold, spread)
+            matcher, some = license_scan.Matcher(ready), 0
+            for _, text in rows:
+                found = license_scan.words(text.replace("-", "other"))
+                want = sorted((start, k, c) for k, x in enumerate(ready) for start, c in blocks_by_hand(found, x))
+                assert matcher.windows(found) == want
+                some += len(want)
+            assert some > 0
+    got = {r.doc_id: sorted((b.label, b.containment) for b in r.blocks) for r in license_scan.license_scan(frame(spark, rows + rows[:5]), templates=templates).collect()}
+    ready = license_scan.compile_templates(templates, license_scan.token_frequency(frame(spark, rows + rows[:5]), {t for _, x in templates for t in license_scan.words(x)}), 0.8)
+    assert got == {i: sorted((x.label, c) for x in ready for _, c in blocks_by_hand(license_scan.words(t), x)) for i, t in rows}
+
+
 def spans_by_hand(text):
     """(start, kind, end) by Python's regex engine, with the plain forms of the rules that look around."""
     plain = {"jwt": r"[A-Za-z0-9_-]*?eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "url": r"[0-9+.-]*[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/@]{3,}@", "hex": r"[0-9a-f]+"}
