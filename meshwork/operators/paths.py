@@ -16,6 +16,7 @@ from meshwork.plans.components import components
 from meshwork.plans.durable import checkpointed
 from meshwork.plans.edges import Bucketed, SplitEdges
 from meshwork.plans.skew import lookup
+from meshwork.plans.strong import strong_components
 
 #: A graph up to this many adjacency rows is broadcast to the kernels (16 bytes a row); the count is taken first. Larger ones
 #: go by DataFrame rounds keyed by (source, node).
@@ -66,47 +67,9 @@ def node_connected_component(g: Graph, name) -> DataFrame:
 
 
 def strongly_connected_components(g: Graph) -> DataFrame:
-    """(name, component) by colouring: the least name that reaches a node is its colour; what the colour's root is reached
-    from inside the colour is its component. Settled nodes leave, with those that have no edge in or no edge out."""
+    """(name, component), the least name of each; see :func:`strong_components`."""
     g.ensure_directed()
-    edges = checkpointed(g.adj.where("src <> dst").select("src", "dst"))
-    left = checkpointed(g.nodes.select("name"))
-    done = left.limit(0).withColumn("component", F.col("name"))
-    while not left.isEmpty():
-        ends = edges.select(F.col("src").alias("name")).intersect(edges.select(F.col("dst").alias("name")))
-        trimmed = left.join(ends, "name", "left_anti")
-        if not trimmed.isEmpty():
-            done = checkpointed(done.unionByName(trimmed.select("name", F.col("name").alias("component"))))
-            left = checkpointed(left.join(ends, "name", "left_semi"))
-        else:
-            colour = _spread(left.select("name", F.col("name").alias("c")), edges)
-            inner = edges.join(colour.select(F.col("name").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("name").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
-            back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-            root = colour.where("name = c").select("name", F.lit(1).alias("hit"))
-            reached = _reach(root, checkpointed(back))
-            scc = checkpointed(colour.join(reached, "name", "left_semi").select("name", F.col("c").alias("component")))
-            done = checkpointed(done.unionByName(scc))
-            left = checkpointed(left.join(scc, "name", "left_anti"))
-        edges = checkpointed(edges.join(left.withColumnRenamed("name", "src"), "src", "left_semi").join(left.withColumnRenamed("name", "dst"), "dst", "left_semi"))
-    return done
-
-
-def _spread(colour: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least colour along edges, to the fixpoint."""
-    while True:
-        sent = edges.join(colour, edges["src"] == colour["name"]).select(F.col("dst").alias("name"), "c")
-        new = checkpointed(colour.unionByName(sent).groupBy("name").agg(F.min("c").alias("c")))
-        if new.join(colour, ["name", "c"], "left_anti").isEmpty():
-            return new
-        colour = new
-
-
-def _reach(start: DataFrame, edges: DataFrame) -> DataFrame:
-    seen = front = checkpointed(start.select("name"))
-    while not front.isEmpty():
-        front = checkpointed(front.join(edges, front["name"] == edges["src"]).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti"))
-        seen = checkpointed(seen.unionByName(front))
-    return seen
+    return strong_components(g.nodes, g.adj)
 
 
 # ---- kernels over a broadcast graph ----
