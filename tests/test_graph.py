@@ -1,6 +1,8 @@
 """Golden values on small graphs and the karate club."""
 
+import importlib
 import math
+import sys
 
 import pytest
 
@@ -154,7 +156,11 @@ def test_matrices_and_generators(spark):
         generators.fast_gnp_random_graph(spark, 10, 1.0, True)
 
 
-def test_entry_without_the_subpackage(spark):
-    import __spark_entry__ as entry
-
-    assert entry.entry(spark).count() > 0 and set(catalog.QUERIES) <= set(entry.queries())
+def test_entry_without_the_subpackage(spark, monkeypatch):
+    """Importing the subpackage fails as if its folder were gone; the entry then has the graph queries and no other."""
+    for name in ("__spark_entry__", *[m for m in sys.modules if m.startswith("meshwork.llm") or m == "corpus_pipeline"]):
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "meshwork.llm", None)
+    entry = importlib.import_module("__spark_entry__")
+    assert entry.entry(spark).count() > 0 and entry.queries() == catalog.QUERIES and entry.oracle_sql() == catalog.ORACLE
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
