@@ -4,8 +4,7 @@ A turn settles nodes without an edge in or without one out, and takes out every
 place is taken by an edge between its ends, and it is settled last, as part of its ends' component if they share one. What is
 left is coloured: each node gets the pivot of least random rank that reaches it, and whatever reaches the pivot back inside its
 colour is the pivot's component. No component crosses colours, so the edges between colours go.
-Tables between rounds are written and read again, so that their sizes are known: the sizes that Spark expects of a checkpoint
-multiply from join to join, without end.
+Tables between rounds are written and read again, so that their sizes are known and not estimated from join to join.
 No join has a hub's edges in one task: neighbours of chains are unique, other lookups settle hot keys by a bounded broadcast,
 and fronts travel to edges that are cut at hubs.
 """
