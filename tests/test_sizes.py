@@ -1,5 +1,6 @@
 """What larger tables brought to light: empty cuts, dense matrices in pieces, searches from blocks of sources."""
 
+import itertools
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -112,3 +113,31 @@ def test_a_krylov_basis_of_little_room_and_repeated_eigenvalues():
     for a, room in ((path, 1 << 20), (path, 0), (np.kron(np.eye(2), path), 1 << 20), (star, 1 << 20), (np.kron(np.eye(2), star), 1 << 20), (np.zeros((30, 30)), 1 << 20), (star[:3, :3], 0)):
         values = np.linalg.eigvalsh(a)
         assert kernels.krylov_gap(lambda x, a=a: a @ x, len(a), room) == pytest.approx(values[-1] - values[-2], abs=1e-7)
+
+
+def test_paths_down_travel_as_lists(spark, monkeypatch):
+    """One row for each tie, though there are many more paths, each of which was a row before; hubs in parts give the same."""
+    rng = np.random.default_rng(8)
+    ties = [(u, v) for u in range(40) for v in range(u + 1, 40) if u < 2 or rng.random() < 0.3]
+    g = Graph.of(spark, specs.undirected_create_missing(), ties, nodes=[*range(42)], kind="int")
+    near: dict = {v: set() for v in range(42)}
+    for u, v in ties:
+        near[u].add(v), near[v].add(u)
+
+    def square(v):
+        q = possible = 0
+        for u, w in itertools.combinations(near[v], 2):
+            both = len((near[u] & near[w]) - {v})
+            theta = both + 1 + (w in near[u])
+            q, possible = q + both, possible + len(near[u]) - theta + len(near[w]) - theta + both
+        return q / possible if possible > 0 else 0.0
+
+    want = {v: pytest.approx(square(v)) for v in near}
+    assert {r.name: r.value for r in S.square_clustering(g).collect()} == want
+    rows = S._path_lists(S._by_rank(g)[1])[0].collect()
+    assert len(rows) == len(ties) < sum(len(r.lows) for r in rows) / 3
+    monkeypatch.setattr(S, "GROUP_PATHS", 60)
+    monkeypatch.setattr(S, "LIST_NODES", 7)
+    monkeypatch.setattr(S, "TASK_PATHS", 100)
+    assert {r.name: r.value for r in S.square_clustering(g).collect()} == want
+    assert max(r.part for r in S._path_lists(S._by_rank(g)[1])[0].collect()) > 2
