@@ -2,8 +2,9 @@
 
 A turn settles nodes without an edge in or without one out, and takes out every chain (nodes with one edge in and one out): its
 place is taken by an edge between its ends, and it is settled last, as part of its ends' component if they share one. What is
-left is coloured: each node gets the pivot of least random rank that reaches it, and whatever reaches the pivot back inside its
-colour is the pivot's component. No component crosses colours, so the edges between colours go.
+left is searched both ways from the node of most edges, which settles a giant component with each edge used once a way. If that was
+no giant, what is left is coloured: each node gets the pivot of least random rank that reaches it, and whatever reaches the pivot back
+inside its colour is the pivot's component. No component crosses colours, so the edges between colours go.
 Tables between rounds are written and read again, so that their sizes are known and not estimated from join to join.
 No join has a hub's edges in one task: neighbours of chains are unique, other lookups settle hot keys by a bounded broadcast,
 and fronts travel to edges that are cut at hubs.
@@ -20,6 +21,8 @@ from meshwork.plans.skew import lookup
 
 #: Pivots are chosen in a turn that has settled or contracted less than this share of its nodes by degrees alone.
 ENOUGH = 0.1
+#: A component with at least this share of a turn's nodes is a giant; the turn ends when it is found.
+GIANT = 0.5
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,10 +47,14 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         edges = written(inner.unionByName(_between(over, _degrees(kept.select("name"), over), F.lit(True)).select("src", "dst")).distinct())
         left, before, n = kept.select("name"), n, kept.count()
         if n > (1 - ENOUGH) * before:
-            found, edges = _pivots(_degrees(left, edges), edges, turn)
-            settled.append(found)
-            left = written(left.join(found, "name", "left_anti"))
-            n = left.count()
+            before = n
+            for search in (_giant, _pivots):
+                found, edges = search(_degrees(left, edges), edges, turn)
+                settled.append(found)
+                left = written(left.join(found, "name", "left_anti"))
+                n = left.count()
+                if n <= (1 - GIANT) * before:
+                    break
     if not settled:
         return left.select("name", F.col("name").alias("component"))
     done = settled[0]
@@ -111,21 +118,37 @@ def _jump(state: DataFrame, size: int) -> DataFrame:
     return state.select("name", "end", "least", F.col("to").isNotNull().alias("open"))
 
 
-def _pivots(node: DataFrame, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Components of this turn's pivots (name, component), and the edges that are left inside colours."""
+def _giant(node: DataFrame, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The component (name, component) of the node of most edges, and the edges that are left without it."""
     node = written(node)
-    colour = written(_colours(node.select("name"), edges, turn))
-    inner = written(_between(edges, node.join(colour, "name"), F.col("c.pivot")).select("src", "dst"))
-    back = SplitEdges(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight")))
-    seen = Bucketed(node.sparkSession, ["name"], "reached")
-    front = written(colour.where("name = c.pivot").select("name"))
+    pivot = written(node.orderBy((F.col("nin") * F.col("nout")).desc(), "name").limit(1).select("name"))
+    edges = edges.withColumn("weight", F.lit(1.0))
+    both = _reached(edges, pivot).join(_reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), pivot), "name", "left_semi")
+    found = written(both.crossJoin(F.broadcast(pivot.withColumnRenamed("name", "component"))))
+    rest = node.select("name").join(found, "name", "left_anti")
+    return found, written(_between(edges, _degrees(rest, edges), F.lit(True)).select("src", "dst"))
+
+
+def _reached(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """The names that ``front`` reaches, its own among them. Each node sends once."""
+    split, seen = SplitEdges(edges), Bucketed(front.sparkSession, ["name"], "reached")
     while not front.isEmpty():
         seen.append(front)
-        step = back.out_of(front, "name").select(F.col("dst").alias("name")).distinct()
+        step = split.out_of(front, "name").select(F.col("dst").alias("name")).distinct()
         front = written(step.join(seen.read(), "name", "left_anti"))
-    found = written(colour.join(seen.read(), "name", "left_semi").select("name", F.col("c.pivot").alias("component")))
+    out = written(seen.read())
+    split.drop()
     seen.drop()
-    back.drop()
+    return out
+
+
+def _pivots(node: DataFrame, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Components of this turn's pivots (name, component), and the edges that are left inside colours."""
+    node = written(node)
+    colour = written(_colours(node.select("name"), edges, turn))
+    inner = written(_between(edges, node.join(colour, "name"), F.col("c.pivot")).select("src", "dst"))
+    reached = _reached(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1.0).alias("weight")), colour.where("name = c.pivot").select("name"))
+    found = written(colour.join(reached, "name", "left_semi").select("name", F.col("c.pivot").alias("component")))
     rest = node.select("name").join(found, "name", "left_anti")
     return found, written(_between(inner, _degrees(rest, inner), F.lit(True)).select("src", "dst"))
 

@@ -54,3 +54,12 @@ def test_random_graphs(spark, monkeypatch, hot):
     pairs += [(200, 201 + i) for i in range(8)] + [(201 + i, 200) for i in range(0, 8, 2)]  # a hub
     names = sorted({x for e in pairs for x in e})
     assert components(spark, names, pairs) == by_hand(names, pairs)
+
+
+def test_a_giant_component_needs_no_colours(spark, monkeypatch):
+    """Before, every node sent its colour on whenever it changed, several times over all edges."""
+    monkeypatch.setattr(strong, "_colours", None)
+    rng = random.Random(5)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(250)] + [(50, 1), (2, 51), (51, 52)]
+    names = sorted({x for e in pairs for x in e})
+    assert components(spark, names, pairs) == by_hand(names, pairs)
