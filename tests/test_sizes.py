@@ -217,3 +217,18 @@ def test_louvain_sweeps_over_packed_edges(spark, monkeypatch):
     assert C.SEQUENTIAL_EDGES <= 200_000
     monkeypatch.setattr(C, "SEQUENTIAL_EDGES", 1_000)
     assert partition(C.louvain_communities(g, True)) == {frozenset(v for v in want if want[v] == k) for k in range(6)}
+
+
+def test_partitions_cut_no_lineage_in_sweeps(spark, monkeypatch):
+    """Whatever the number of sweeps; before, each of up to 60 left two checkpoints and their plans with the driver."""
+    from meshwork.plans import communities, durable
+
+    g, want = planted(spark)
+    monkeypatch.setattr(C, "SEQUENTIAL_EDGES", 0)
+    monkeypatch.setattr(communities, "PIECE", 300)
+    cuts = []
+    for module in (C, communities):
+        monkeypatch.setattr(module, "checkpointed", lambda df: cuts.append(1) or durable.checkpointed(df))
+    [found] = C.louvain_partitions(g, True)
+    assert partition(found) == {frozenset(v for v in want if want[v] == k) for k in range(6)}
+    assert len(cuts) <= 8
