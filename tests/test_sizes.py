@@ -254,3 +254,25 @@ def test_a_dense_matrix_by_strips(spark, tmp_path):
         rows.write.parquet(str(tmp_path / str(k)))
         room.append(sum(f.stat().st_size for f in (tmp_path / str(k)).glob("*.parquet")))
     assert room[0] < room[1] / 2
+
+
+@pytest.mark.parametrize("half", [1, 2])
+def test_paths_are_spelt_out_where_they_are_found(spark, monkeypatch, half):
+    """With paths of several lengths between a pair, some paths at a time, for names in another order than nodes; nothing is shuffled after the searches."""
+    c = random_graph(25, 0.15, 6)
+    d, sigma, steps = kernels.path_steps(c, True, 2)
+    alike = []
+    for most in (3, 1 << 16):
+        monkeypatch.setattr(kernels, "PATHS_AT_ONCE", most)
+        lots = list(kernels.spelt_paths(2, steps, sigma, np.isfinite(d) & (d > 0), np.arange(25)[::-1]))
+        alike.append([np.concatenate(z).tolist() for z in zip(*lots, strict=True)])
+        assert alike[-1][1] == sigma[alike[-1][0]].tolist() and (len(lots) > 3) == (most == 3)
+    assert alike[0] == alike[1]
+    edges = [(f"{int(u) * 7 % 25}", f"{int(v) * 7 % 25}", float(w) / half) for u, v, w in zip(c.src, c.dst, c.weight, strict=True)]
+    g = Graph.of(spark, specs.directed_create_missing().but(self_loops=True), edges)
+    found = P.get_all_shortest_paths_involving(g, "7", True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    every = {(r.source, r.target): (r.distance, r.paths) for r in P.all_pairs(g, True, with_paths=True).collect()}
+    want = {k: x for k, x in every.items() if k[0] != "7" != k[1] and any("7" in p for p in x[1])}
+    got = {(r.source, r.target): (r.distance, r.paths) for r in found.collect()}
+    assert got == want and max(len({len(p) for p in x[1]}) for x in want.values()) > 1 and max(len(x[1]) for x in want.values()) > 3
