@@ -276,3 +276,42 @@ def test_paths_are_spelt_out_where_they_are_found(spark, monkeypatch, half):
     want = {k: x for k, x in every.items() if k[0] != "7" != k[1] and any("7" in p for p in x[1])}
     got = {(r.source, r.target): (r.distance, r.paths) for r in found.collect()}
     assert got == want and max(len({len(p) for p in x[1]}) for x in want.values()) > 1 and max(len(x[1]) for x in want.values()) > 3
+
+
+def alike(a, b):
+    return a.n == b.n and len(a.classes) == len(b.classes) and all(x[0] == y[0] and all(np.array_equal(p, q) for p, q in zip(x[1:], y[1:], strict=True)) for x, y in zip(a.classes, b.classes, strict=True)) and all(np.array_equal(p, q) for k in ("outward", "inward") for p, q in zip(getattr(a, k), getattr(b, k), strict=True))
+
+
+def test_searches_go_by_sweeps_beyond_the_bound_of_other_kernels(spark, monkeypatch):
+    """Their edges are sorted by tasks; before, the driver sorted all, and beyond the bound messages of 1,024 sources an edge were shuffled."""
+    c = random_graph(40, 0.1, 2)
+    g = Graph.of(spark, specs.directed_create_missing().but(self_loops=True), [(int(u), int(v), float(w)) for u, v, w in zip(c.src, c.dst, c.weight, strict=True)], nodes=[*range(40)], kind="int")
+    for weighted in (False, True):
+        assert alike(P.sweeps(g, weighted), kernels.Sweeps(P.csr(g, weighted), weighted))
+    jobs = (lambda: C.closeness_centrality(g), lambda: C.closeness_centrality(g, True), lambda: C.betweenness_centrality(g), lambda: C.betweenness_centrality(g, True), lambda: P.all_pairs(g), lambda: P.all_pairs(g, True))
+    get = lambda rows: sorted((*r[:-1], round(r[-1], 9)) for r in rows.collect())
+    want = [get(f()) for f in jobs]
+    group = C.group_betweenness_centrality(g, [1, 2])
+    monkeypatch.setattr(P, "KERNEL_EDGES", g.adj.count() // 2)
+    for name in ("csr", "length_rounds"):
+        monkeypatch.setattr(P, name, None)
+    for name in ("Grid", "count_rounds"):
+        monkeypatch.setattr(C, name, None)
+    assert not P.small_enough(g) and [get(f()) for f in jobs] == want
+    assert C.group_betweenness_centrality(g, [1, 2]) == pytest.approx(group)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_edges_are_laid_out_a_stretch_at_a_time(weighted, monkeypatch):
+    """Before, all that left a front at once, some 40 bytes an edge."""
+    c = random_graph(60, 0.2, 7)
+    g, own, sizes = kernels.Sweeps(c, weighted), np.arange(60), []
+    monkeypatch.setattr(kernels, "STRETCH", 50)
+    edges = kernels._edges
+    monkeypatch.setattr(kernels, "_edges", lambda *a: sizes.append(len((found := edges(*a))[0])) or found)
+    onward = kernels.Sweeps.onward
+    monkeypatch.setattr(kernels.Sweeps, "onward", lambda self, k, rows: (sizes.append(len(x[0])) or x for x in onward(self, k, rows)))
+    assert all(np.array_equal(*x) for x in zip(kernels.reach_totals(c, weighted, own), kernels.reach_totals(g, weighted, own), strict=True))
+    for s in own:
+        assert np.allclose(kernels.dependencies(c, weighted, s), kernels.dependencies_from(g, s))
+    assert max(sizes) <= max(100, len(c.dst) // 8 + 1) < len(c.dst) / 2
